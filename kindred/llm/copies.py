@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a key keeps: letters, digits, marks, and the CJK radicals, which Unicode counts among the symbols.
-KEPT = r"\p{L}\p{N}\p{M}\x{2E80}-\x{2FDF}"
+from kindred.functions.codepoints import bare_hashes, mix
 
 
-def bare(text: Column) -> Column:
-    """`text` without blanks, letter case and punctuation; null where no letter or digit is left."""
-    kept = F.regexp_replace(F.lower(text), f"[^{KEPT}]+", "")
-    return F.when(kept.rlike(r"[\p{L}\p{N}\x{2E80}-\x{2FDF}]"), kept)
+def formatting_keys(fields: list[pa.Array], ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a key that is equal for records equal up to formatting, and where there is one: every field holds a letter or digit."""
+    hashed = [bare_hashes(x, (101, 202)) for x in fields]
+    solid = np.logical_and.reduce([s for _, s in hashed])
+    first, second = (np.stack([h[k] for h, _ in hashed]) for k in (0, 1))
+    with np.errstate(over="ignore"):
+        if ordered:
+            second = mix(second + np.arange(len(fields), dtype=np.uint64)[:, None], 3)
+        else:
+            first = np.sort(first, axis=0)
+        low = np.zeros(first.shape[1], np.uint64)
+        for part in first:
+            low = mix(low + part, 1)
+        high = mix(second.sum(axis=0, dtype=np.uint64), 2)
+    return low.view(np.int64), high.view(np.int64), solid
 
 
-def formatting_key(fields: list[str], ordered: bool = False) -> Column:
-    """128 bits that are equal for records equal up to formatting (and up to the order of `fields`); null where a field has no letter or digit."""
-    parts = [bare(F.col(x)) for x in fields]
-    known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
-    if not ordered:
-        if len(parts) == 2:
-            parts = [F.least(*parts), F.greatest(*parts)]
-        else:
-            parts = [F.array_join(F.array_sort(F.array(*parts)), "\x00")]
-    return F.when(known, F.unhex(F.md5(F.concat_ws("\x00", *parts))))
+def keyed_rows(df: DataFrame, id_col: str, fields: list[str], ordered: bool = False) -> DataFrame:
+    """(id, k1, k2): the formatting key of each row, null where a field is null or has no letter or digit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high, solid = formatting_keys(batch.columns[1:], ordered)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, mask=~solid), pa.array(high, mask=~solid)], ["id", "k1", "k2"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, *fields).mapInArrow(run, f"id {kind}, k1 bigint, k2 bigint")
 
 
 def group_copies(
@@ -41,32 +53,31 @@ def group_copies(
 ) -> DataFrame:
     """(id, keep_id, n_copies): each row's group of equal records, its smallest id and its size.
 
-    Keys that hold at least `hot_rows` rows are found exactly from partial counts (one row per key and map task is
-    shuffled) and the `max_hot` largest are kept, which bounds what is broadcast and leaves every other group below
-    max(hot_rows, rows / max_hot). Their rows are aggregated in two levels, by (key, salt) and then by key; all others
-    in one shuffle by key. Representatives are the smallest ids.
+    Keys are 128 bits of the fields' code points without blanks, letter case and punctuation. Those that hold at least
+    `hot_rows` rows are found exactly from partial counts (a map task shuffles one row per key) and the `max_hot`
+    largest are kept, which bounds what is broadcast and leaves every other group below max(hot_rows, rows / max_hot).
+    Rows of hot keys are aggregated in two levels, by (key, salt) and then by key; all others in one shuffle by key.
+    Representatives are the smallest ids.
 
     Null, empty and mark-only fields: the row takes part in no group and comes out alone with n_copies = 1. Rows with
     the same id and key count as copies of each other. Rows with a null id are kept, and never represent a group with
     known ids. An empty table gives an empty result; other columns are not read.
     """
-    rows = df.select(F.col(id_col).alias("id"), formatting_key(list(fields), ordered).alias("key"))
-    keyed, alone = rows.where(F.col("key").isNotNull()), rows.where(F.col("key").isNull())
-    counts = keyed.groupBy("key").count().where(F.col("count") >= hot_rows)
-    hot_keys = [(bytes(r["key"]),) for r in counts.orderBy(F.desc("count"), "key").limit(max_hot).collect()]
-    spark = df.sparkSession
+    rows = keyed_rows(df, id_col, list(fields), ordered)
+    keyed, alone = rows.where("k1 IS NOT NULL"), rows.where("k1 IS NULL")
+    counts = keyed.groupBy("k1", "k2").count().where(F.col("count") >= hot_rows)
+    hot_keys = [(r["k1"], r["k2"]) for r in counts.orderBy(F.desc("count"), "k1", "k2").limit(max_hot).collect()]
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies"))
-    cold = keyed
+    cold, key = keyed, ["k1", "k2"]
     if hot_keys:
-        hot = F.broadcast(spark.createDataFrame(hot_keys, "key binary"))
-        cold = keyed.join(hot, "key", "left_anti")
-        heavy = keyed.join(hot, "key", "left_semi")
-        salted = heavy.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(
+        hot = F.broadcast(df.sparkSession.createDataFrame(hot_keys, "k1 bigint, k2 bigint"))
+        cold, heavy = keyed.join(hot, key, "left_anti"), keyed.join(hot, key, "left_semi")
+        salted = heavy.groupBy(*key, F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(
             F.min("id").alias("low"), F.count(F.lit(1)).alias("n")
         )
-        groups = salted.groupBy("key").agg(F.min("low").alias("keep_id"), F.sum("n").alias("n_copies"))
-        heavy = heavy.join(F.broadcast(groups), "key").select("id", "keep_id", "n_copies")
-    group = Window.partitionBy("key")
+        groups = salted.groupBy(*key).agg(F.min("low").alias("keep_id"), F.sum("n").alias("n_copies"))
+        heavy = heavy.join(F.broadcast(groups), key).select("id", "keep_id", "n_copies")
+    group = Window.partitionBy(*key)
     cold = cold.select("id", F.min("id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("n_copies"))
     out = cold.unionAll(heavy) if hot_keys else cold
     return out.unionAll(alone)
@@ -75,14 +86,15 @@ def group_copies(
 def collapse_copies(df: DataFrame, id_col: str = "pair_id", fields: tuple[str, ...] = ("text_a", "text_b"), **how) -> DataFrame:
     """One record per group, the one with the smallest id, and `n_copies`; all columns of `df` are kept.
 
-    Rows whose id repeats within a group come out once; a clashing column `n_copies` of `df` is replaced.
+    Rows that share an id and a group come out once; a column `n_copies` of `df` is replaced. Rows without a key and
+    rows whose ids are null come out as they are, with n_copies = 1 unless their group has no other id.
     """
-    kept = group_copies(df, id_col, fields, **how).where(F.col("id").eqNullSafe(F.col("keep_id")))
-    kept = kept.groupBy("id").agg(F.max("n_copies").alias("n_copies"))
-    rest = df.drop("n_copies").withColumn("__key", formatting_key(list(fields), how.get("ordered", False)).isNotNull())
-    out = rest.join(kept, rest[id_col].eqNullSafe(kept["id"])).drop("id")
-    keyed = out.where("__key").dropDuplicates([id_col])
-    return keyed.unionByName(out.where("NOT __key").withColumn("n_copies", F.lit(1).cast("long"))).drop("__key")
+    kept = group_copies(df, id_col, fields, **how).where(F.col("id") == F.col("keep_id"))
+    kept = kept.groupBy(F.col("id").alias("__id")).agg(F.max("n_copies").alias("n_copies"))
+    rest = df.drop("n_copies")
+    named = rest.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__id")).drop("__id").dropDuplicates([id_col])
+    nameless = rest.where(F.col(id_col).isNull()).withColumn("n_copies", F.lit(1).cast("long"))
+    return named.unionByName(nameless)
 
 
 def copies_found(df: DataFrame, **how) -> DataFrame:
