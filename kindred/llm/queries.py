@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.copies import collapse_copies, copies_found, group_copies
+from kindred.llm.overlap import overlap_report, overlaps_found
 from kindred.llm.terms import term_counts
 from kindred.session import table
 
@@ -23,6 +24,14 @@ def p1_records(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_copies(pairs)
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps_found(table(spark, folder, "pairs"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_report(table(spark, folder, "pairs"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts(table(spark, folder, "corpus")).where(F.col("mark").isNotNull()).select("token", "mark")
 
@@ -32,7 +41,7 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p4_found", "p4_counts"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts"]
     return {name: globals()[name] for name in names}
 
 
