@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.copies import collapse_copies, copies_found, group_copies
+from kindred.llm.leaks import leaked_items
 from kindred.llm.overlap import overlap_report, overlaps_found
 from kindred.llm.terms import term_counts
 from kindred.session import table
@@ -40,8 +41,12 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts(table(spark, folder, "corpus"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts", "p8_found"]
     return {name: globals()[name] for name in names}
 
 
