@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.copies import collapse_copies, copies_found, group_copies
+from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
 from kindred.llm.overlap import overlap_report, overlaps_found
 from kindred.llm.terms import term_counts
@@ -41,12 +42,22 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts(table(spark, folder, "corpus"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = characteristic_matches(table(spark, folder, "pairs"), table(spark, folder, "queries"))
+    return found.select("query_id", F.col("id").alias("pair_id"))
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scores = term_scores(table(spark, folder, "pairs"))
+    return scores.select(F.col("id").alias("pair_id"), "term", "n", F.round("score", 6).alias("score"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts", "p8_found"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts", "p6_found", "p6_scores", "p8_found"]
     return {name: globals()[name] for name in names}
 
 
@@ -62,11 +73,21 @@ terms AS (SELECT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(tokens) A
 counts AS (SELECT token, count(*) AS word_counts, count(DISTINCT doc_id) AS word_docs FROM terms GROUP BY token),
 marked AS (SELECT *, CASE WHEN word_docs < 3 THEN 'rare' WHEN word_docs > 0.05 * (SELECT count(*) FROM docs) THEN 'common' END AS mark FROM counts)"""
 
+# Chinese characters are set apart by blanks, then runs of letters and digits are terms.
+APART = "regexp_extract_all(regexp_replace(lower({0}), '([\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{31FFF}}\\x{{2E80}}-\\x{{2FDF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\x{{2E80}}-\\x{{2FDF}}]+')"
+P6_SCORES = f"""
+terms AS (SELECT pair_id, unnest(list_concat(coalesce({APART.format("text_a")}, []), coalesce({APART.format("text_b")}, []))) AS term FROM pairs),
+joint AS (SELECT pair_id, term, count(*) AS n FROM terms GROUP BY ALL),
+sizes AS (SELECT pair_id, count(*) AS size FROM terms GROUP BY ALL),
+totals AS (SELECT term, count(*) AS total FROM terms GROUP BY ALL),
+mass AS (SELECT sum(size ** 0.75) AS mass FROM sizes)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {P1_GROUPS} SELECT keep_id, pair_id AS copy_id FROM grouped WHERE pair_id <> keep_id",
         "p1_records": f"WITH {P1_GROUPS} SELECT pair_id, text_a, text_b, labels, n_copies FROM grouped WHERE pair_id = keep_id",
+        "p6_scores": f"WITH {P6_SCORES} SELECT pair_id, term, n, round(greatest(0, ln(n * mass / (total * size ** 0.75))), 6) AS score FROM joint JOIN sizes USING (pair_id) JOIN totals USING (term), mass",
         "p4_found": f"WITH {P4_COUNTS} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
         "p4_counts": f"WITH {P4_COUNTS} SELECT token, word_counts, word_docs, mark FROM marked",
     }
