@@ -92,11 +92,12 @@ class Tokens(NamedTuple):
     hash: np.ndarray
     start: np.ndarray  #: in code points, over all texts
     length: np.ndarray
+    points: np.ndarray  #: of all texts
 
 
-def tokens(texts: pa.Array, seed: int = 7) -> Tokens:
+def tokens(texts: pa.Array, seed: int = 7, lower: bool = True) -> Tokens:
     """A Chinese character is a token, else a run of letters and digits; in the order of the text."""
-    d = decode(texts)
+    d = decode(texts, lower)
     word = d.kind == WORD
     joined = np.zeros(len(word), bool)  # continues the token before
     if len(word):
@@ -106,4 +107,4 @@ def tokens(texts: pa.Array, seed: int = 7) -> Tokens:
     opens = np.nonzero((~joined)[inside])[0]
     length = np.diff(np.append(opens, len(points)))
     where = np.nonzero(inside)[0][opens]
-    return Tokens(d.row[where], span_hash(points, opens, length, seed), where, length)
+    return Tokens(d.row[where], span_hash(points, opens, length, seed), where, length, d.points)
