@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kindred.llm.copies import collapse_copies, copies_found, group_copies
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
+from kindred.llm.lookalike import consistent_texts, look_alikes_found
 from kindred.llm.overlap import overlap_report, overlaps_found
 from kindred.llm.terms import term_counts
 from kindred.session import table
@@ -34,6 +35,14 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "pairs"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alikes_found(table(spark, folder, "pairs"))
+
+
+def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return consistent_texts(table(spark, folder, "pairs").select("pair_id", "text_a", "text_b"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts(table(spark, folder, "corpus")).where(F.col("mark").isNotNull()).select("token", "mark")
 
@@ -57,7 +66,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p4_found", "p4_counts", "p6_found", "p6_scores", "p8_found"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p8_found"]
     return {name: globals()[name] for name in names}
 
 
