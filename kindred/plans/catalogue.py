@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kindred.session import table
+from kindred.sources.rejects import parse_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = parse_lines(table(spark, folder, "raw_records"), table(spark, folder, "raw_files"))
+    return parsed.where(F.col("reason").isNotNull()).select("line_id", "reason")
+
+
+def p5_rows(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = parse_lines(table(spark, folder, "raw_records"), table(spark, folder, "raw_files"))
+    return parsed.where(F.col("reason").isNull()).drop("reason")
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: globals()[name] for name in ("p5_found", "p5_rows")}
 
 
 def oracle_sql() -> dict[str, str]:
