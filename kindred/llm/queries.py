@@ -12,6 +12,7 @@ from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
 from kindred.llm.lookalike import consistent_texts, look_alikes_found
 from kindred.llm.overlap import overlap_report, overlaps_found
+from kindred.llm.packing import pack_texts
 from kindred.llm.terms import term_counts
 from kindred.session import table
 
@@ -61,12 +62,20 @@ def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select(F.col("id").alias("pair_id"), "term", "n", F.round("score", 6).alias("score"))
 
 
+def p7_pack_512(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_texts(table(spark, folder, "documents"), 512)
+
+
+def p7_pack_2048(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_texts(table(spark, folder, "documents"), 2048)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p8_found"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found"]
     return {name: globals()[name] for name in names}
 
 
