@@ -97,7 +97,10 @@ class Tokens(NamedTuple):
 
 def tokens(texts: pa.Array, seed: int = 7, lower: bool = True) -> Tokens:
     """A Chinese character is a token, else a run of letters and digits; in the order of the text."""
-    d = decode(texts, lower)
+    return tokens_of(decode(texts, lower), seed)
+
+
+def tokens_of(d: Decoded, seed: int = 7) -> Tokens:
     word = d.kind == WORD
     joined = np.zeros(len(word), bool)  # continues the token before
     if len(word):
