@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.llm.abuse import abuse_rates, abuse_scores
 from kindred.llm.copies import collapse_copies, copies_found, group_copies
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
@@ -74,8 +75,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    scores = abuse_scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    return scores.where("abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse_rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found", "p9_found", "p9_rates"]
     return {name: globals()[name] for name in names}
 
 
