@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from kindred.functions.binding import let
+
 #: Punctuation that word splitting turns into blanks, with tab and line feed.
 FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
@@ -74,21 +76,21 @@ def char_ngrams(text: Column, low: int, high: int, strip_blanks: bool = False) -
     if strip_blanks:
         text = F.replace(text, F.lit(" "), F.lit(""))
 
-    def of(n: int) -> Column:
+    def of(text: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.length(text) - n + 1)
         return F.when(F.length(text) >= n, F.transform(places, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high)])
+    return let(text, lambda t: F.concat(*[of(t, n) for n in range(low, high)]))
 
 
 def word_ngrams(tokens: Column, low: int, high: int, sep: str = " ") -> Column:
     """All runs of low to high tokens (inclusive)."""
 
-    def of(n: int) -> Column:
+    def of(tokens: Column, n: int) -> Column:
         places = F.sequence(F.lit(1), F.size(tokens) - n + 1)
         return F.when(F.size(tokens) >= n, F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), sep))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return let(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def is_space(char: Column) -> Column:

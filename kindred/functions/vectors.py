@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kindred.functions.binding import let
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -45,10 +47,14 @@ def cosine_floored(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(eps))
 
 
+def at_least_mean(a: Column) -> Column:
+    return let(mean(a), lambda m: F.transform(a, lambda x: x >= m))
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Dimensions in which being at least one's own mean differs."""
-    ma, mb = mean(a), mean(b)
-    return F.aggregate(F.zip_with(a, b, lambda x, y: ((x >= ma) != (y >= mb)).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    differ = F.zip_with(at_least_mean(a), at_least_mean(b), lambda x, y: (x != y).cast("int"))
+    return F.aggregate(differ, F.lit(0), lambda acc, x: acc + x)
 
 
 def jaccard_distance(a: Column, b: Column) -> Column:
@@ -58,45 +64,56 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.try_divide(total(differ), total(either))
 
 
+def centred(a: Column) -> Column:
+    return let(mean(a), lambda m: F.transform(a, lambda x: x - m))
+
+
 def pearson(a: Column, b: Column) -> Column:
-    ma, mb = mean(a), mean(b)
-    return cosine(F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb))
+    return let(centred(a), lambda x: let(centred(b), lambda y: cosine(x, y)))
 
 
 def kl_divergence(p: Column, q: Column) -> Column:
     """Null where a probability is not positive: no smoothing."""
-    low = F.least(F.array_min(p), F.array_min(q))
-    return F.when(low > 0, total(F.zip_with(p, q, lambda x, y: x * F.log(x / y))))
+
+    def divergence(p: Column, q: Column) -> Column:
+        return F.when(F.least(F.array_min(p), F.array_min(q)) > 0, total(F.zip_with(p, q, lambda x, y: x * F.log(x / y))))
+
+    return let(p, lambda x: let(q, lambda y: divergence(x, y)))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    powers = let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top)))
+    return let(powers, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def l2_normalised(a: Column, eps: float | None = None) -> Column:
-    n = norm(a) if eps is None else F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: F.try_divide(x, n))
+    size = norm(a) if eps is None else F.greatest(norm(a), F.lit(eps))
+    return let(size, lambda n: F.transform(a, lambda x: F.try_divide(x, n)))
 
 
 def mahalanobis_pairs(a: Column, b: Column) -> Column:
     """array<struct<i, j, distance>>: the two vectors are two variables observed in n dimensions; the distance of each two dimensions
     i < j under the inverse of their 2 x 2 sample covariance. Null where it is singular."""
-    n, ma, mb = F.size(a), mean(a), mean(b)
-    da, db = F.transform(a, lambda x: x - ma), F.transform(b, lambda x: x - mb)
-    var_a, var_b, cov = dot(da, da) / (n - 1), dot(db, db) / (n - 1), dot(da, db) / (n - 1)
-    det = var_a * var_b - cov * cov
+    n = F.size(a)
+
+    def of(x: Column, y: Column, k: Column) -> Column:
+        """k: variances of a and b, covariance, determinant."""
+        var_a, var_b, cov, det = (F.get(k, F.lit(i)) for i in range(4))
+
+        def distance(i: Column, j: Column) -> Column:
+            u, v = F.get(x, i) - F.get(x, j), F.get(y, i) - F.get(y, j)
+            return F.sqrt(F.greatest((u * u * var_b - 2 * u * v * cov + v * v * var_a) / det, F.lit(0.0)))
+
+        def row(i: Column) -> Column:
+            return F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), distance(i, j).alias("distance")))
 
-    def distance(i: Column, j: Column) -> Column:
-        x, y = F.get(a, i) - F.get(a, j), F.get(b, i) - F.get(b, j)
-        return F.sqrt(F.greatest(F.try_divide(x * x * var_b - 2 * x * y * cov + y * y * var_a, det), F.lit(0.0)))
+        return F.when(det > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row)))
 
-    def row(i: Column) -> Column:
-        return F.transform(F.sequence(i + 1, n - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), distance(i, j).alias("distance")))
+    def moments(x: Column, y: Column) -> Column:
+        var_a, var_b, cov = dot(x, x) / (n - 1), dot(y, y) / (n - 1), dot(x, y) / (n - 1)
+        return F.array(var_a, var_b, cov, var_a * var_b - cov * cov)
 
-    return F.when(det > 0, F.flatten(F.transform(F.sequence(F.lit(0), n - 2), row)))
+    return let(centred(a), lambda x: let(centred(b), lambda y: let(moments(x, y), lambda k: of(x, y, k))))
 
 
 def max_sim(query: Column, document: Column, metric: str = "cosine") -> Column:
@@ -104,8 +121,9 @@ def max_sim(query: Column, document: Column, metric: str = "cosine") -> Column:
     if metric == "l2":
         best = lambda q: F.array_max(F.transform(document, lambda d: -total(F.zip_with(q, d, lambda x, y: (x - y) * (x - y)))))
         return total(F.transform(query, best))
-    q, d = (F.transform(m, lambda v: l2_normalised(v, 1e-12)) for m in (query, document))
-    return total(F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y)))))
+    unit = lambda m: F.transform(m, lambda v: l2_normalised(v, 1e-12))
+    best = lambda q, d: total(F.transform(q, lambda x: F.array_max(F.transform(d, lambda y: dot(x, y)))))
+    return let(unit(document), lambda d: let(unit(query), lambda q: best(q, d)))
 
 
 def attention_pool(query: Column, keys: Column, values: Column, mask: Column | None = None) -> Column:

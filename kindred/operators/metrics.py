@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.vectors import cosine
+from kindred.functions.vectors import cosine, softmax
 from kindred.operators.corpus import running_sums
 
 
@@ -62,10 +62,7 @@ def simcse_loss(rows: DataFrame, batch_col: str, item_col: str, group_col: str,
 
 def double_softmax_cross_entropy(label: Column, logits: Column) -> Column:
     """Softmax, and cross-entropy on top that takes the probabilities for logits."""
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return logits_cross_entropy(label, F.transform(e, lambda x: x / s))
+    return logits_cross_entropy(label, softmax(logits))
 
 
 def roc_auc(rows: DataFrame, label_col: str, score_col: str) -> DataFrame:
@@ -84,7 +81,7 @@ def roc_auc(rows: DataFrame, label_col: str, score_col: str) -> DataFrame:
 def running_average(rows: DataFrame, order: list, value_col: str) -> DataFrame:
     """`rows` with `average`, the mean of all values so far."""
     summed = running_sums(rows.withColumn("__one", F.lit(1).cast("long")), order, {"__sum": value_col, "__n": "__one"})
-    return summed.withColumn("average", F.col("__sum") / F.col("__n")).drop("__one", "__sum", "__n")
+    return summed.withColumn("average", F.col("__sum").cast("double") / F.col("__n")).drop("__one", "__sum", "__n")
 
 
 def piecewise_linear(step: Column, points: list[tuple[int, float]]) -> Column:

@@ -12,7 +12,7 @@ from kindred.functions import text as T
 from kindred.functions import vectors as V
 from kindred.operators import classify, corpus, embed, lsh, metrics, pairs, rank, vocab
 from kindred.plans.sql import SQL
-from kindred.session import table
+from kindred.session import parallel, table
 from kindred.sources import readers
 from kindred.sources.rejects import parse_lines
 
@@ -419,7 +419,7 @@ def shingled(spark, folder):
     """(item_id, features): runs of five words of each whole document."""
     words = T.word_tokens(F.col("text"))
     grams = F.array_distinct(T.word_ngrams(words, 5, 5))
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("item_id"), F.transform(F.coalesce(grams, F.array().cast("array<string>")), lambda g: lsh.feature_number(g)).alias("features"))
+    return parallel(table(spark, folder, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("item_id"), F.transform(F.coalesce(grams, F.array().cast("array<string>")), lambda g: lsh.feature_number(g)).alias("features"))
 
 
 @query
@@ -545,7 +545,8 @@ def stopword_filter(spark, folder):
 
 @query
 def pair_lines(spark, folder):
-    return readers.pair_lines(table(spark, folder, "raw_records").select(F.col("line_text").alias("value")).where("value IS NOT NULL"))
+    stripped = F.regexp_replace("line_text", r"^\s+|\s+$", "").alias("value")
+    return readers.pair_lines(table(spark, folder, "raw_records").select(stripped).where("value <> ''"))
 
 
 @query
@@ -664,8 +665,9 @@ def lr_schedule(spark, folder):
 
 @query
 def running_avg(spark, folder):
-    rows = table(spark, folder, "events").select("event_id", "value")
-    return metrics.running_average(rows, [F.asc("event_id")], "value").select("event_id", F.round("average", 4).alias("average"))
+    # decimal sums are exact in any order
+    rows = table(spark, folder, "events").select("event_id", F.col("value").cast("decimal(18,4)").alias("value"))
+    return metrics.running_average(rows, [F.asc("event_id")], "value").select("event_id", "average")
 
 
 # --- lexical classifiers

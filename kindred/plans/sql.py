@@ -222,7 +222,7 @@ a AS (SELECT (1 - alpha) / nullif(alpha * v / 2.0, 0) AS a FROM al) SELECT token
 rare AS (SELECT *, min((field, pos)) OVER (PARTITION BY pair_id, token) AS f FROM joined WHERE idx IS NULL)
 SELECT pair_id AS id, field, pos, token, idx FROM joined WHERE idx IS NOT NULL UNION ALL SELECT pair_id, field, pos, token, (dense_rank() OVER (PARTITION BY pair_id ORDER BY f) + 34999)::VARCHAR FROM rare""",
     "stopword_filter": f"{BASE} SELECT doc_id, pos::INTEGER AS pos, token FROM words WHERE lower(token) NOT IN ('the', 'a', 'to', 'how', '的', '我')",
-    "pair_lines": "WITH p AS (SELECT string_split(line_text, chr(9)) AS f FROM raw_records WHERE line_text IS NOT NULL) SELECT f[1] AS text_a, f[2] AS text_b, CASE WHEN len(f) = 3 THEN try_cast(f[3] AS INTEGER) ELSE 0 END AS labels FROM p WHERE len(f) >= 2",
+    "pair_lines": "WITH s AS (SELECT regexp_replace(line_text, '^\\s+|\\s+$', '', 'g') AS l FROM raw_records), p AS (SELECT string_split(l, chr(9)) AS f FROM s WHERE l <> '') SELECT f[1] AS text_a, f[2] AS text_b, CASE WHEN len(f) <> 3 THEN 0 WHEN regexp_full_match(trim(f[3], ' '), '[0-9]{1,9}') THEN trim(f[3], ' ')::INTEGER END AS labels FROM p WHERE len(f) >= 2",
     "json_pairs": "SELECT substr(sha256(coalesce(text_a, '') || chr(9) || coalesce(text_b, '')), 1, 32) AS rid, coalesce(labels, 2) AS labels, text_a, text_b FROM pairs",
     "sentence_ids": f"{COMPONENTS} SELECT sid, sentence FROM sentences",
     "sentence_edges": f"{COMPONENTS} SELECT src, dst FROM edges",
@@ -246,6 +246,6 @@ p AS (SELECT batch, i, ln(sum(exp(s))) - max(CASE WHEN own THEN s END) AS l FROM
     "auc": f"""WITH {SCORED}, r AS (SELECT same, (rank() OVER (ORDER BY score) + rank() OVER (ORDER BY score) + count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM scored),
 n AS (SELECT sum(same)::DOUBLE AS p, count(*) - sum(same) AS q FROM scored) SELECT round((sum(r)::DOUBLE - max(p) * (max(p) + 1) / 2) / (max(p) * max(q)), 6) AS auc FROM r, n WHERE same = 1""",
     "lr_schedule": "SELECT query_id AS step, round(CASE WHEN query_id < 40 THEN query_id / 40.0::DOUBLE WHEN query_id < 80 THEN 1 + (query_id - 40) / 40.0::DOUBLE * -0.9 ELSE 0.1 END, 6) AS rate FROM queries",
-    "running_avg": "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS average FROM events",
+    "running_avg": "SELECT event_id, (sum(value::DECIMAL(18, 4)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::DOUBLE / row_number() OVER (ORDER BY event_id) AS average FROM events",
     "lexical_classifier_features": f"WITH {LEXICAL} SELECT pair_id, term, round(cnt::DOUBLE / len * ln(((SELECT count(*) FROM lens) + 0.5) / (df + 0.5)), 6) AS weight FROM tf JOIN lens USING (pair_id) JOIN df USING (term) WHERE total > 2",
 }

@@ -31,10 +31,12 @@ def token_lines(spark: SparkSession, paths: str | list[str], sep: str) -> DataFr
 
 
 def pair_lines(rows: DataFrame, sep: str = "\t", strict: bool = False) -> DataFrame:
-    """(text_a, text_b, labels) of a `value` column: the label counts only of exactly three fields, else it is 0; `strict` keeps no others."""
+    """(text_a, text_b, labels) of a `value` column: the label counts only of exactly three fields, else it is 0, and null where it is no number; `strict` keeps no others."""
     parts = split_literal(F.col("value"), sep)
     rows = rows.where(F.size(parts) == 3 if strict else F.size(parts) >= 2)
-    label = F.when(F.size(parts) == 3, F.get(parts, F.lit(2)).try_cast("int")).otherwise(0)
+    third = F.trim(F.get(parts, F.lit(2)))
+    number = F.when(third.rlike(r"^[0-9]{1,9}\z"), third.try_cast("int"))
+    label = F.when(F.size(parts) == 3, number).otherwise(0)
     return rows.select(F.get(parts, F.lit(0)).alias("text_a"), F.get(parts, F.lit(1)).alias("text_b"), label.alias("labels"))
 
 
