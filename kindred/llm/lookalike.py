@@ -62,10 +62,10 @@ def needs_look(text: Column) -> Column:
 
 def _clean(word: str) -> bool:
     """Whether a token may be a canonical spelling: it stands for itself, or is of one script throughout."""
-    if word.isascii() or fold(word) == word:
+    if word.isascii():
         return True
-    scripts = {unicodedata.name(c, " ").split()[0] for c in word if c.isalpha()}
-    return len(scripts) == 1 and scripts <= {"GREEK", "CYRILLIC"} and unicodedata.is_normalized("NFC", word)
+    scripts = {unicodedata.name(c, " ").split()[0] for c in word if c.isalpha()} & {"LATIN", "GREEK", "CYRILLIC"}
+    return len(scripts) < 2 and (fold(word) == word or scripts <= {"GREEK", "CYRILLIC"} and unicodedata.is_normalized("NFC", word))
 
 
 def _key(folded: str) -> int:
