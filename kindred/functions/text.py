@@ -72,7 +72,7 @@ def clean_english(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, low: int, high: int, strip_blanks: bool = False) -> Column:
-    """All substrings of low to high - 1 characters, by length and then position."""
+    """All substrings of low to high - 1 characters, by length and then position; a null text has none."""
     if strip_blanks:
         text = F.replace(text, F.lit(" "), F.lit(""))
 
