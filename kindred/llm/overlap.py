@@ -6,15 +6,16 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.codepoints import CJK_RANGES, RADICALS
+from kindred.functions.codepoints import CJK_RANGES, RADICALS, mix
 from kindred.llm.copies import formatting_keys
-from kindred.llm.winnow import bitmap, fingerprints, records
+from kindred.llm.winnow import Records, bitmap, fingerprints, records
 from kindred.session import broadcast_upto, cut
 
 _CJK = "".join(f"{chr(a)}-{chr(b)}" for a, b in (*CJK_RANGES, RADICALS))
@@ -39,27 +40,54 @@ def _common_tokens(df: DataFrame, fields: list[str], most: int) -> tuple[np.ndar
     return token[order], np.array([int(math.log2(r["n"])) for r in top], np.uint64)[order]
 
 
-def _fingerprint_rows(df: DataFrame, id_col: str, fields: list[str], threshold: float, common: np.ndarray, weights: np.ndarray) -> DataFrame:
-    """(fp, id, bits, size): the selected seeds of each record, and one for its whole formatting key."""
+def _signed(texts: list[pa.Array]) -> tuple[Records, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, formatting key, signature, whether the row takes part): rows with one signature have one formatting key and one set of tokens, so all pairs of such rows are alike."""
+    low, high, solid = formatting_keys(texts)
+    r = records(texts)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(r.token, 61), dtype=np.uint64)])
+    with np.errstate(over="ignore"):
+        tokens = sums[r.first + r.size] - sums[r.first]
+        sig = mix(mix(low.view(np.uint64) ^ mix(high.view(np.uint64), 67), 71) + tokens, 73)
+    return r, low, sig.view(np.int64), solid
+
+
+def _fingerprint_rows(df: DataFrame, fields: list[str], threshold: float, common: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """(fp, sig, bits, size): the selected seeds of each record, and one for its whole formatting key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.columns[1:]
-            low, _, solid = formatting_keys(texts)
-            r = records(texts)
+            r, low, sig, solid = _signed(batch.columns)
+            # a batch gives copies of a record once
+            once = np.zeros(len(sig), bool)
+            once[np.unique(sig, return_index=True)[1]] = True
+            solid &= once
             owner, fp = fingerprints(r, threshold, common, weights)
             some = solid[owner]
             owner, fp = owner[some], fp[some].view(np.int64)
             bits, whole = bitmap(r).view(np.int64), np.nonzero(solid)[0]
             out = [
                 np.concatenate([fp, low[whole]]),
-                np.concatenate([ids[owner], ids[whole]]),
+                np.concatenate([sig[owner], sig[whole]]),
                 np.concatenate([bits[owner], np.zeros(len(whole), np.int64)]),
                 np.concatenate([r.size[owner], np.full(len(whole), WHOLE)]).astype(np.int32),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["fp", "id", "bits", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["fp", "sig", "bits", "size"])
+
+    # one shuffle, by fp, serves the copies that are left and the join
+    rows = df.select(*fields).mapInArrow(run, "fp bigint, sig bigint, bits bigint, size int")
+    return rows.repartition("fp").dropDuplicates()
+
+
+def _members(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(sig, id, train)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, sig, solid = _signed(batch.columns[2:])
+            keep = pa.array(np.nonzero(solid)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(sig).take(keep), batch.column(0).take(keep), batch.column(1).take(keep)], ["sig", "id", "train"])
 
-    return df.select(id_col, *fields).mapInArrow(run, "fp bigint, id bigint, bits bigint, size int")
+    return df.select("id", "train", *fields).mapInArrow(run, "sig bigint, id bigint, train boolean")
 
 
 def _chain(places: list[tuple[int, int]]) -> int:
@@ -80,7 +108,7 @@ def _verify(threshold: float, seeds: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {k: batch.column(k).to_pylist() for k in ("train_id", "eval_id", "ta", "tb", "ea", "eb")}
+            rows = {k: batch.column(k).to_pylist() for k in ("train_sig", "eval_sig", "ta", "tb", "ea", "eb")}
             keys = [formatting_keys([batch.column(k), batch.column(m)])[:2] for k, m in (("ta", "tb"), ("ea", "eb"))]
             same = (keys[0][0] == keys[1][0]) & (keys[0][1] == keys[1][1])
             out: list[tuple] = []
@@ -93,7 +121,7 @@ def _verify(threshold: float, seeds: int):
                 either = len(x) + len(y) - both
                 if same[at] or (either and both >= threshold * either - 1e-9):
                     out.append((tid, eid, _chain(hits), both / max(1, len(x)), both / max(1, len(y)), both / either if either else 1.0, bool(same[at])))
-            names = ["train_id", "eval_id", "seeds", "train_coverage", "eval_coverage", "similarity", "equal"]
+            names = ["train_sig", "eval_sig", "seeds", "train_coverage", "eval_coverage", "similarity", "equal"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
             columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -101,6 +129,20 @@ def _verify(threshold: float, seeds: int):
     return run
 
 
+class Overlaps(NamedTuple):
+    """pairs(train_sig, eval_sig, seeds, train_coverage, eval_coverage, similarity, equal) between classes of copies, and
+    members(sig, id, train): the rows of each class that is in a pair."""
+
+    pairs: DataFrame
+    members: DataFrame
+
+    def by_row(self) -> DataFrame:
+        """Every pair of rows, copies included: as many as there are."""
+        train = self.members.where("train").select(F.col("sig").alias("train_sig"), F.col("id").alias("train_id"))
+        held = self.members.where("NOT train").select(F.col("sig").alias("eval_sig"), F.col("id").alias("eval_id"))
+        return self.pairs.join(train, "train_sig").join(held, "eval_sig").drop("train_sig", "eval_sig")
+
+
 def cross_split_overlaps(
     df: DataFrame,
     id_col: str = "pair_id",
@@ -112,59 +154,62 @@ def cross_split_overlaps(
     threshold: float = 0.85,
     common_tokens: int = 16_384,
     broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """(train_id, eval_id, seeds, train_coverage, eval_coverage, similarity, equal): pairs of a training and a held-out
-    record that are equal up to formatting and the order of the two texts, or whose distinct tokens coincide to at least
-    `threshold` (tokens in both by tokens in either).
+) -> Overlaps:
+    """Training and held-out records that are equal up to formatting and the order of the two texts, or whose distinct tokens coincide
+    to at least `threshold` (tokens in both by tokens in either): pairs of classes of copies, and their members.
 
     Winnowing: each record's distinct tokens are put into one order (that of their hashes), so that neither word order
     nor exchanged texts matter. Two records which differ in d tokens then share a run of ceil(common / (d + 1)) tokens;
     windows of no more than that run select the least of their rolling hashes, so each qualifying pair shares a selected
     one: no pair is missed. Hashes of rare tokens count as less, with the counts of the `common_tokens` most frequent
-    tokens (a fixed bound on what tasks receive). Fingerprints are joined across splits, and a 64-bit sketch in each row
-    drops, within the join, pairs that differ in more tokens than they may; every other candidate is then chained,
-    extended and compared exactly on its whole texts. Formatting keys join the same way as a fingerprint of the whole.
+    tokens (a fixed bound on what tasks receive). Fingerprints are joined across splits, once for each class of
+    copies however large it is, and a 64-bit sketch in each row drops, within the join, pairs that differ in more tokens
+    than they may; every other candidate is then chained, extended and compared exactly on its whole texts. Formatting keys
+    join the same way as a fingerprint of the whole.
 
     Rows with a null id or split, or a text that is null or has no letter or digit, take no part; repeated ids count as
-    one row of each of their splits. Texts are compared whole. An empty table gives an empty result; other columns are not read.
+    one row of each of their splits. Texts are compared whole. Up to `broadcast_rows` classes and ids in pairs are
+    broadcast, more are joined by a shuffle. An empty table gives an empty result; other columns are not read.
     """
     a, b = fields
     sides = F.when(F.col(split_col) == train, True).when(F.col(split_col).isin(*held_out), False)
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"), sides.alias("train"))
     rows = rows.where("train IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL")
     common, weights = _common_tokens(rows, ["a", "b"], common_tokens)
-    left, right = (_fingerprint_rows(rows.where(side), "id", ["a", "b"], threshold, common, weights) for side in ("train", "NOT train"))
-    left, right = left.toDF("fp", "train_id", "t_bits", "t_size"), right.toDF("fp", "eval_id", "e_bits", "e_size")
+    left, right = (_fingerprint_rows(rows.where(side), ["a", "b"], threshold, common, weights) for side in ("train", "NOT train"))
+    left, right = left.toDF("fp", "train_sig", "t_bits", "t_size"), right.toDF("fp", "eval_sig", "e_bits", "e_size")
     total = F.col("t_size") + F.col("e_size")
     # i common of n + m tokens make a similarity of i / (n + m - i)
     least = F.ceil(total * F.lit(threshold / (1 + threshold)) - 1e-6)
     near = F.bit_count(F.col("t_bits").bitwiseXOR(F.col("e_bits"))) <= total - 2 * least
     whole = (F.col("t_size") == WHOLE) & (F.col("e_size") == WHOLE)
     known = (F.col("t_size") > 0) & (F.col("e_size") > 0)
-    found = left.join(right, "fp").where(whole | (known & near)).select("train_id", "eval_id").distinct()
-    found = cut(found)
-    ids = cut(found.select(F.col("train_id").alias("id")).union(found.select("eval_id")).distinct())
-    few, small = broadcast_upto(ids, broadcast_rows)
-    texts = rows.join(few, "id", "left_semi")
-    if small:
-        texts = cut(texts)
-    left = texts.where("train").select(F.col("id").alias("train_id"), F.col("a").alias("ta"), F.col("b").alias("tb")).dropDuplicates(["train_id"])
-    right = texts.where("NOT train").select(F.col("id").alias("eval_id"), F.col("a").alias("ea"), F.col("b").alias("eb")).dropDuplicates(["eval_id"])
-    joined = found.join(left, "train_id").join(right, "eval_id").select("train_id", "eval_id", "ta", "tb", "ea", "eb")
-    kinds = "train_id bigint, eval_id bigint, seeds int, train_coverage double, eval_coverage double, similarity double, equal boolean"
-    return joined.mapInArrow(_verify(threshold, 3), kinds)
+    found = cut(left.join(right, "fp").where(whole | (known & near)).select("train_sig", "eval_sig").distinct())
+    sigs = cut(found.select(F.col("train_sig").alias("sig")).union(found.select("eval_sig")).distinct())
+    members = cut(_members(rows, ["a", "b"]).join(broadcast_upto(sigs, broadcast_rows)[0], "sig", "left_semi").distinct())
+    first = cut(members.groupBy("sig", "train").agg(F.min("id").alias("id")))
+    texts = cut(rows.join(broadcast_upto(first, broadcast_rows)[0], ["id", "train"]).select("sig", "id", "train", "a", "b"))
+    left = texts.where("train").select(F.col("sig").alias("train_sig"), F.col("a").alias("ta"), F.col("b").alias("tb")).dropDuplicates(["train_sig"])
+    right = texts.where("NOT train").select(F.col("sig").alias("eval_sig"), F.col("a").alias("ea"), F.col("b").alias("eb")).dropDuplicates(["eval_sig"])
+    joined = found.join(left, "train_sig").join(right, "eval_sig").select("train_sig", "eval_sig", "ta", "tb", "ea", "eb")
+    kinds = "train_sig bigint, eval_sig bigint, seeds int, train_coverage double, eval_coverage double, similarity double, equal boolean"
+    return Overlaps(joined.mapInArrow(_verify(threshold, 3), kinds), members)
 
 
 def overlaps_found(df: DataFrame, **how) -> DataFrame:
     """(id_1, id_2), the smaller id first."""
-    pairs = cross_split_overlaps(df, **how)
-    return pairs.select(F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2"))
+    pairs = cross_split_overlaps(df, **how).by_row()
+    return pairs.select(F.least("train_id", "eval_id").alias("id_1"), F.greatest("train_id", "eval_id").alias("id_2")).distinct()
 
 
 def overlap_report(df: DataFrame, id_col: str = "pair_id", split_col: str = "split_name", source_col: str = "source", **how) -> DataFrame:
     """(split_name, source, n_records, n_overlapping, n_pairs, n_equal, mean_coverage) of each held-out split and source; null sources are a source of their own."""
-    pairs = cross_split_overlaps(df, id_col=id_col, split_col=split_col, **how)
-    best = pairs.groupBy("eval_id").agg(F.count(F.lit(1)).alias("links"), F.max(F.col("equal").cast("int")).alias("equal"), F.max("eval_coverage").alias("coverage"))
+    found = cross_split_overlaps(df, id_col=id_col, split_col=split_col, **how)
+    # training copies are counted by class, so that no pair of rows is made
+    sizes = found.members.where("train").groupBy(F.col("sig").alias("train_sig")).agg(F.count(F.lit(1)).alias("n"))
+    classes = found.pairs.join(sizes, "train_sig").groupBy("eval_sig").agg(F.sum("n").alias("links"), F.max(F.col("equal").cast("int")).alias("equal"), F.max("eval_coverage").alias("coverage"))
+    best = found.members.where("NOT train").select(F.col("sig").alias("eval_sig"), F.col("id").alias("eval_id")).join(classes, "eval_sig").drop("eval_sig")
+    best = best.groupBy("eval_id").agg(F.sum("links").alias("links"), F.max("equal").alias("equal"), F.max("coverage").alias("coverage"))
     held_out = df.where(F.col(split_col).isin(*how.get("held_out", ("dev", "test"))))
     held_out = held_out.select(F.col(id_col).alias("eval_id"), F.col(split_col).alias("split_name"), F.col(source_col).alias("source"))
     joined = held_out.join(best, "eval_id", "left")

@@ -91,7 +91,7 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, overlaps_found(df).collect())) == [(1, 2), (6, 7)]
     assert overlaps_found(spark.createDataFrame([], SCHEMA)).collect() == []
-    found = {r["eval_id"]: r for r in cross_split_overlaps(df).collect()}
+    found = {r["eval_id"]: r for r in cross_split_overlaps(df).by_row().collect()}
     assert found[2]["equal"] and found[2]["similarity"] == 1.0 and found[2]["seeds"] == 5
     report = {(r["split_name"], r["source"]): r for r in overlap_report(df).collect()}
     assert report["test", None]["n_records"] == 2 and report["test", None]["n_pairs"] == 1 and report["dev", "s"]["n_overlapping"] == 1
@@ -100,3 +100,9 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
 def test_the_way_beyond_the_broadcast_gives_the_same(spark):
     df = spark.createDataFrame(made(120, 9), SCHEMA)
     assert sorted(map(tuple, overlaps_found(df, broadcast_rows=1).collect())) == sorted(map(tuple, overlaps_found(df).collect()))
+
+
+def test_large_groups_of_copies_are_one_class(spark):
+    rows = [(k, "One two three four five", f"six seven{'!' * (k % 3)}", "train" if k % 4 else "dev", "s", None, None) for k in range(400)]
+    found = cross_split_overlaps(spark.createDataFrame(rows, SCHEMA))
+    assert found.pairs.count() == 1 and found.members.count() == 400 and found.by_row().count() == 300 * 100
