@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.arrays import drop_at, pad, segments, truncated_sizes, with_markers
+from kindred.functions.binding import let
 from kindred.operators.corpus import ranked_rows
 from kindred.session import cut
 
@@ -155,11 +156,18 @@ def encode_pairs(first: Column, second: Column | None, most: int, truncate_from:
         return a, segments(a)
     b = with_markers(second)
     # with its opening marker the second counts one more
-    n, m = truncated_sizes([F.size(a), F.size(b)], most + 1 if joint else most)
-    a, b = drop_at(a, truncate_from, F.size(a) - n), drop_at(b, truncate_from, F.size(b) - m)
-    if joint:
-        b = F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0)))
-    return F.concat(a, b), segments(a, b)
+    sizes = F.array(*truncated_sizes([F.size(first) + 2, F.size(second) + 2], most + 1 if joint else most))
+    opening = 1 if joint else 0
+
+    def tokens(kept: Column) -> Column:
+        n, m = F.get(kept, F.lit(0)), F.get(kept, F.lit(1))
+        head, tail = drop_at(a, truncate_from, F.size(first) + 2 - n), drop_at(b, truncate_from, F.size(second) + 2 - m)
+        return F.concat(head, F.slice(tail, F.lit(2), F.greatest(m - 1, F.lit(0))) if joint else tail)
+
+    def parts(kept: Column) -> Column:
+        return F.concat(F.array_repeat(F.lit(0), F.get(kept, F.lit(0))), F.array_repeat(F.lit(1), F.greatest(F.get(kept, F.lit(1)) - opening, F.lit(0))))
+
+    return let(sizes, tokens), let(sizes, parts)
 
 
 def padded_ids(ids: Column, size: int) -> Column:

@@ -86,6 +86,19 @@ def map_rare_words(records: DataFrame, frequencies: DataFrame, id_col: str, colu
     return known.unionAll(first.select("id", "field", "pos", "token", number.cast("string").alias("idx")))
 
 
+def cipher_vocabulary(tokens: DataFrame, base: int = 0x4E00) -> DataFrame:
+    """(token, char): every distinct token, by first appearance (doc_id, position), gets the next code point from `base`, below the surrogates."""
+    first = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")).groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    ranked = ranked_rows(first, [F.asc("first")], "rank").where(F.col("rank") <= 0xD800 - base)
+    return ranked.select("token", F.decode(F.unhex(F.lpad(F.hex(F.col("rank") + base - 1), 4, "0")), "UTF-16BE").alias("char"))
+
+
+def decode_cipher(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, text): the characters of the tokens in order; tokens without one are left out."""
+    chars = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")).join(known, "token")
+    return chars.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda x: x["char"]), "").alias("text"))
+
+
 def similar_words(matches: DataFrame, most: int = 15, least: float = 0.68) -> DataFrame:
     """Of (word, other, similarity): others as long as the word and above `least`, the `most` best of each, ties by other."""
     fits = matches.where((F.length("word") == F.length("other")) & (F.col("similarity") > least))

@@ -250,19 +250,77 @@ def pad_truncate(spark, folder):
     return out
 
 
+def _split_pairs(spark, folder):
+    """(pair_id, a, b): the words of both texts, as columns of their own, so that they are split once."""
+    rows = table(spark, folder, "pairs").where("text_a IS NOT NULL AND text_b IS NOT NULL")
+    return rows.select("pair_id", T.word_tokens(F.col("text_a")).alias("a"), T.word_tokens(F.col("text_b")).alias("b"))
+
+
 @query
 def encode_text_pairs(spark, folder):
-    rows = table(spark, folder, "pairs").where("text_a IS NOT NULL AND text_b IS NOT NULL")
-    first, second = (T.word_tokens(F.col(c)) for c in ("text_a", "text_b"))
-    tokens, segs = pairs.encode_pairs(first, second, 20)
+    rows = _split_pairs(spark, folder)
+    tokens, segs = pairs.encode_pairs(F.col("a"), F.col("b"), 20)
     return rows.select("pair_id", F.array_join(tokens, " ").alias("tokens"), pairs.ids_text(segs).alias("segments"))
 
 
+@query
+def bert_pair_ids(spark, folder):
+    """Jointly encoded pairs as ids of a frequency vocabulary whose first entries are the markers."""
+    rows = _split_pairs(spark, folder)
+    known = vocab.frequency_map(rows.select(F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b")), ["a", "b"], min_freq=2)
+    known = known.select("token", (F.col("idx").cast("int") + 4).alias("idx"))
+    known = known.unionAll(spark.createDataFrame([("[UNK]", 1), ("[CLS]", 2), ("[SEP]", 3)], "token string, idx int"))
+    tokens, segs = pairs.encode_pairs(F.col("a"), F.col("b"), 20)
+    coded = rows.select(F.col("pair_id").alias("doc_id"), tokens.alias("tokens"))
+    ids = vocab.tokens_to_ids(coded, known, 1).select("doc_id", pairs.ids_text(pairs.padded_ids(F.col("seq"), 20)).alias("ids"))
+    other = rows.select(F.col("pair_id").alias("doc_id"), pairs.ids_text(pairs.padded_ids(segs, 20)).alias("segments"))
+    return ids.join(other, "doc_id").withColumnRenamed("doc_id", "pair_id")
+
+
+@query
+def id_lines_read_back(spark, folder):
+    rows = table(spark, folder, "pairs").where("source = 'anon_ids' AND text_a RLIKE '^[0-9]{1,9}( [0-9]{1,9})*$'")
+    return rows.select("pair_id", F.posexplode(pairs.ids_from_text(F.col("text_a"))).alias("pos", "id"))
+
+
+@query
+def cipher_decode(spark, folder):
+    """Ids as characters: each distinct id, by first appearance, is one code point of a block."""
+    rows = table(spark, folder, "pairs").where("source = 'anon_ids' AND text_a RLIKE '^[0-9]{1,9}( [0-9]{1,9})*$'")
+    tokens = rows.select(F.col("pair_id").alias("doc_id"), F.split("text_a", " ").alias("tokens"))
+    return vocab.decode_cipher(tokens, vocab.cipher_vocabulary(tokens))
+
+
+@query
+def vocab_load(spark, folder):
+    lines = table(spark, folder, "tokenizer_state").select(F.col("token").alias("value"), (F.col("shard_id").cast("bigint") * 1_000_000 + F.col("idx")).alias("line_no"))
+    return vocab.load_vocabulary(lines.where("value IS NOT NULL AND line_no IS NOT NULL"))
+
+
+@query
+def ngram_char_ids(spark, folder):
+    grams = vocab.ngram_counts(table(spark, folder, "pairs"), "text_a")
+    chars = grams.select("ngram", F.posexplode(T.characters(F.col("ngram"))).alias("pos", "token"))
+    known = corpus.ranked_rows(chars.select("token").distinct(), [F.asc("token")], "idx")
+    return chars.join(known, "token").select("ngram", "pos", "idx")
+
+
+@query
+def unknown_query_tokens(spark, folder):
+    asked = table(spark, folder, "queries").select("query_id", F.explode(T.word_tokens(F.col("query_text"))).alias("token")).distinct()
+    return asked.join(corpus.CorpusIndex.of(lowered(spark, folder)).df, "token", "left_anti").select("query_id", "token")
+
+
+@query
+def log_buckets(spark, folder):
+    offset = F.col("query_id") - 50
+    return table(spark, folder, "queries").select("query_id", A.log_bucket(offset, 16, 64).alias("bucket"))
+
+
 @query
 def truncate_pairs(spark, folder):
-    rows = table(spark, folder, "pairs").where("text_a IS NOT NULL AND text_b IS NOT NULL")
-    a, b = A.truncate_together(12, -1, T.word_tokens(F.col("text_a")), T.word_tokens(F.col("text_b")))
-    return rows.select("pair_id", F.size(a).alias("n_a"), F.size(b).alias("n_b"))
+    a, b = A.truncate_together(12, -1, F.col("a"), F.col("b"))
+    return _split_pairs(spark, folder).select("pair_id", F.size(a).alias("n_a"), F.size(b).alias("n_b"))
 
 
 @query
@@ -678,6 +736,11 @@ def lexical_classifier_features(spark, folder):
     return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id").withColumn("weight", rounded("weight"))
 
 
+@query
+def lexical_bm25_features(spark, folder):
+    return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id", method="bm25").withColumn("weight", rounded("weight"))
+
+
 @query
 def lexical_classifier_auc(spark, folder):
     return classify.cross_validated(table(spark, folder, "pairs"), "pair_id")

@@ -132,7 +132,29 @@ tf AS (SELECT pair_id, term, count(*) AS cnt FROM grams GROUP BY ALL),
 lens AS (SELECT pair_id, count(*) AS len FROM grams GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, sum(cnt) AS total FROM tf GROUP BY ALL)"""
 
+ENCODED = f"""
+w AS (SELECT pair_id, {_filters('text_a')} AS a, {_filters('text_b')} AS b FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL),
+s AS (SELECT *, len(a) + 2 AS n, len(b) + 2 AS m FROM w),
+c AS (SELECT *, CASE WHEN n + m <= 21 THEN n WHEN m <= 10 THEN 21 - m WHEN n <= 10 THEN n ELSE 10 END AS na, CASE WHEN n + m <= 21 THEN m WHEN m <= 10 THEN m WHEN n <= 10 THEN 21 - n ELSE 11 END AS nb FROM s),
+encoded AS (SELECT pair_id, na, nb - 1 AS nb, list_concat(['[CLS]'], a[1 : na - 2], ['[SEP]'], b[1 : nb - 2], ['[SEP]']) AS tokens FROM c)"""
+IDS_OF = "SELECT pair_id, string_split(text_a, ' ') AS t FROM pairs WHERE source = 'anon_ids' AND regexp_full_match(text_a, '[0-9]{1,9}( [0-9]{1,9})*')"
+
 SQL: dict[str, str] = {
+    "encode_text_pairs": f"WITH {ENCODED} SELECT pair_id, array_to_string(tokens, ' ') AS tokens, array_to_string(list_concat(list_transform(range(na), lambda x: 0), list_transform(range(nb), lambda x: 1)), ' ') AS segments FROM encoded",
+    "bert_pair_ids": f"""WITH {ENCODED}, words AS (SELECT unnest(list_concat(a, b)) AS token FROM w),
+known AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS idx FROM words GROUP BY token HAVING count(*) >= 2 UNION ALL VALUES ('[CLS]', 2), ('[SEP]', 3)),
+u AS (SELECT pair_id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM encoded),
+ids AS (SELECT pair_id, list(coalesce(idx, 1) ORDER BY pos) AS ids FROM u LEFT JOIN known USING (token) GROUP BY pair_id)
+SELECT pair_id, array_to_string(list_concat(ids, list_transform(range(20 - len(ids)), lambda x: 0)), ' ') AS ids, array_to_string(list_concat(list_transform(range(na), lambda x: 0), list_transform(range(nb), lambda x: 1), list_transform(range(20 - na - nb), lambda x: 0)), ' ') AS segments FROM ids JOIN encoded USING (pair_id)""",
+    "id_lines_read_back": f"SELECT pair_id, unnest(range(len(t)))::INTEGER AS pos, unnest(t)::INTEGER AS id FROM ({IDS_OF})",
+    "cipher_decode": f"""WITH u AS (SELECT pair_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM ({IDS_OF})), f AS (SELECT token, min((pair_id, pos)) AS f FROM u GROUP BY token),
+k AS (SELECT token, chr((19967 + row_number() OVER (ORDER BY f))::INTEGER) AS c FROM f) SELECT pair_id AS doc_id, string_agg(c, '' ORDER BY pos) AS text FROM u JOIN k USING (token) GROUP BY pair_id""",
+    "vocab_load": "SELECT token, (row_number() OVER (ORDER BY n) - 1)::INTEGER AS idx FROM (SELECT trim(token, ' ') AS token, min(shard_id::BIGINT * 1000000 + idx) AS n FROM tokenizer_state WHERE trim(token, ' ') <> '' AND idx IS NOT NULL GROUP BY ALL)",
+    "ngram_char_ids": f"WITH {GRAMS}, c AS (SELECT ngram, unnest(range(n))::INTEGER AS pos, unnest(string_split(ngram, '')) AS token FROM counted), k AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT token FROM c)) SELECT ngram, pos, idx FROM c JOIN k USING (token)",
+    "unknown_query_tokens": f"{LOWER_BASE} SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest({_filters('query_text')}) AS token FROM queries) WHERE token NOT IN (SELECT token FROM df)",
+    "log_buckets": """WITH o AS (SELECT query_id, query_id - 50 AS o FROM queries)
+SELECT query_id, CASE WHEN abs(o) < 8 THEN o ELSE (ceil(ln(CASE WHEN abs(o) <= 8 THEN 8 ELSE abs(o) END / 8.0::DOUBLE) / ln(63 / 8.0::DOUBLE) * 7) + 8) * sign(o) END::INTEGER AS bucket FROM o""",
+    "lexical_bm25_features": f"WITH {LEXICAL} SELECT pair_id, term, round(ln(((SELECT count(*) FROM lens) + 0.5) / (df + 0.5)) * 3.0 * (cnt::DOUBLE / len) / (2.0 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens)) + cnt::DOUBLE / len), 6) AS weight FROM tf JOIN lens USING (pair_id) JOIN df USING (term) WHERE total > 2",
     "corpus_stats": f"{BASE} SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "term_freq": f"{BASE} SELECT doc_id, token, doc_len, cnt FROM tf",
     "doc_freq": f"{BASE} SELECT token, df FROM df",
