@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions import arrays as A
+from kindred.functions import external
 from kindred.functions import text as T
 from kindred.functions import vectors as V
 from kindred.operators import classify, corpus, embed, lsh, metrics, pairs, rank, vocab
@@ -225,6 +226,16 @@ def random_ngram_segments(spark, folder):
     return vocab.random_segments(lines, "query_id", "query_text", grams)
 
 
+@query
+def sentence_piece_ids(spark, folder):
+    return external.sentence_pieces(table(spark, folder, "pairs").select("pair_id", "text_a"), "text_a").drop("text_a")
+
+
+@query
+def segmented_texts(spark, folder):
+    return external.segmented(table(spark, folder, "pairs").select("pair_id", "text_a"), "text_a").drop("text_a")
+
+
 @query
 def decoded_pieces(spark, folder):
     tokens = F.transform(T.basic_tokens(F.col("text_a")), lambda t: F.when(F.length(t) > 6, F.concat(F.substring(t, F.lit(1), F.lit(4)), F.lit(" ##"), F.substring(t, F.lit(5), F.length(t)))).otherwise(t))
@@ -591,6 +602,17 @@ def oov_map(spark, folder):
     return vocab.map_rare_words(rows, vocab.frequency_map(rows, ["text_a", "text_b"]), "pair_id", ("text_a", "text_b"))
 
 
+@query
+def similar_words(spark, folder):
+    """For each word of the queries the most similar other ones of its length, by hashed vectors."""
+    words = table(spark, folder, "queries").select("query_id", T.word_tokens(F.col("query_text")).alias("tokens"))
+    known = corpus.ranked_rows(word_vectors(words), [F.asc("token")], "item_id")
+    met = embed.nearest(known, known.select(F.col("item_id").alias("query_id"), "vec"), 100)
+    a, b = known.select(F.col("item_id").alias("query_id"), F.col("token").alias("word")), known.select("item_id", F.col("token").alias("other"))
+    near = met.join(a, "query_id").join(b, "item_id").select("word", "other", F.col("cosine").alias("similarity"))
+    return vocab.similar_words(near)
+
+
 @query
 def stopword_filter(spark, folder):
     words = spark.createDataFrame([(w,) for w in ("the", "a", "to", "how", "的", "我")], "word string")

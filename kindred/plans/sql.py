@@ -243,6 +243,11 @@ a AS (SELECT (1 - alpha) / nullif(alpha * v / 2.0, 0) AS a FROM al) SELECT token
     "oov_map": f"""WITH {IDMAP}, joined AS (SELECT t.*, f.idx FROM tokens t LEFT JOIN freq f ON f.token = t.token AND f.cnt >= 5 WHERE t.token <> ''),
 rare AS (SELECT *, min((field, pos)) OVER (PARTITION BY pair_id, token) AS f FROM joined WHERE idx IS NULL)
 SELECT pair_id AS id, field, pos, token, idx FROM joined WHERE idx IS NOT NULL UNION ALL SELECT pair_id, field, pos, token, (dense_rank() OVER (PARTITION BY pair_id ORDER BY f) + 34999)::VARCHAR FROM rare""",
+    "similar_words": f"""WITH w AS (SELECT DISTINCT unnest({_filters('query_text')}) AS token FROM queries),
+v AS (SELECT token, list_transform(range(8), lambda d: (('0x' || substr(md5(token), d * 4 + 1, 4))::BIGINT - 32768) / 32768.0::DOUBLE) AS vec FROM w),
+c AS (SELECT x.token AS word, y.token AS other, round(list_inner_product(x.vec, y.vec) / sqrt(list_inner_product(x.vec, x.vec)) / sqrt(list_inner_product(y.vec, y.vec)), 6) AS similarity FROM v x JOIN v y ON x.token <> y.token),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, other) AS r FROM c) WHERE r <= 100)
+SELECT word, other, similarity, rank FROM (SELECT *, (row_number() OVER (PARTITION BY word ORDER BY similarity DESC, other))::INTEGER AS rank FROM n WHERE length(word) = length(other) AND similarity > 0.68) WHERE rank <= 15""",
     "stopword_filter": f"{BASE} SELECT doc_id, pos::INTEGER AS pos, token FROM words WHERE lower(token) NOT IN ('the', 'a', 'to', 'how', '的', '我')",
     "pair_lines": "WITH s AS (SELECT regexp_replace(line_text, '^\\s+|\\s+$', '', 'g') AS l FROM raw_records), p AS (SELECT string_split(l, chr(9)) AS f FROM s WHERE l <> '') SELECT f[1] AS text_a, f[2] AS text_b, CASE WHEN len(f) <> 3 THEN 0 WHEN regexp_full_match(trim(f[3], ' '), '[0-9]{1,9}') THEN trim(f[3], ' ')::INTEGER END AS labels FROM p WHERE len(f) >= 2",
     "json_pairs": "SELECT substr(sha256(coalesce(text_a, '') || chr(9) || coalesce(text_b, '')), 1, 32) AS rid, coalesce(labels, 2) AS labels, text_a, text_b FROM pairs",

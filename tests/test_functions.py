@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.functions import arrays as A
+from kindred.functions import external
 from kindred.functions import text as T
 from kindred.functions import vectors as V
 from kindred.functions.codepoints import bare_hashes, tokens
@@ -88,3 +89,12 @@ def test_kernels_agree_with_plain_python():
     assert words == [["hello", "world", "1", "中", "文", "x"], [], [], ["àé", "é"], ["١٢", "a", "b"], ["\U00020000", "z"]]
     (a,), solid = bare_hashes(pa.array(["A-b c", "abC", "ab", None, "..."]), (1,))
     assert a[0] == a[1] != a[2] and solid.tolist() == [True, True, True, False, False]
+
+
+def test_external_tokenisers(spark):
+    df = spark.createDataFrame([(1, "Hello 中文 world"), (2, ""), (3, None)], "id bigint, t string")
+    ids = external.sentence_pieces(df, "t")
+    back = {r["id"]: r["x"] for r in external.sentence_pieces(ids, "ids", "x", decode=True).collect()}
+    assert back == {1: "Hello 中文 world", 2: "", 3: None}
+    assert {r["id"]: r["words"] for r in external.segmented(df, "t").collect()} == {1: "Hello 中 文 world", 2: "", 3: None}
+    assert external.segmented(df, "t", segment=str.split, sep="|").first()["words"] == "Hello|中文|world"
