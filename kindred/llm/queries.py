@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.abuse import abuse_rates, abuse_scores
-from kindred.llm.copies import collapse_copies, copies_found, group_copies
+from kindred.llm.copies import collapse_copies, copies_found
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
-from kindred.llm.lookalike import consistent_texts, look_alikes_found
+from kindred.llm.lookalike import LOOK, SAME, consistent_texts, look_alikes_found
 from kindred.llm.overlap import overlap_report, overlaps_found
 from kindred.llm.packing import pack_texts
 from kindred.llm.terms import term_counts
@@ -110,11 +111,46 @@ sizes AS (SELECT pair_id, count(*) AS size FROM terms GROUP BY ALL),
 totals AS (SELECT term, count(*) AS total FROM terms GROUP BY ALL),
 mass AS (SELECT sum(size ** 0.75) AS mass FROM sizes)"""
 
+P6_FOUND = f"""{P6_SCORES},
+asked AS (SELECT DISTINCT query_id, unnest({APART.format("query_text")}) AS term FROM queries),
+scored AS (SELECT pair_id, term, greatest(0, ln(n * mass / (total * size ** 0.75))) AS score FROM joint JOIN sizes USING (pair_id) JOIN totals USING (term), mass),
+ranked AS (SELECT query_id, term, most, max(most) OVER (PARTITION BY query_id) AS top FROM asked JOIN (SELECT term, max(score) AS most FROM scored GROUP BY term) USING (term)),
+sums AS (SELECT query_id, pair_id, round(sum(score), 9) AS score FROM ranked JOIN scored USING (term) WHERE most > 0 AND most >= 0.5 * top GROUP BY ALL)"""
+P2_FOUND = f"""{P1_GROUPS},
+part AS (SELECT pair_id, k, split_name = 'train' AS train, text_a || ' ' || text_b AS t FROM keyed WHERE split_name IN ('train', 'dev', 'test') AND k NOT LIKE 'alone' || chr(1) || '%'),
+terms AS (SELECT DISTINCT pair_id, train, unnest({APART.format("t")}) AS term FROM part),
+sizes AS (SELECT pair_id, count(*) AS n FROM terms GROUP BY pair_id),
+common AS (SELECT x.pair_id AS a, y.pair_id AS b, count(*) AS c FROM terms x JOIN terms y USING (term) WHERE x.train AND NOT y.train GROUP BY ALL),
+near AS (SELECT a, b FROM common JOIN sizes x ON x.pair_id = a JOIN sizes y ON y.pair_id = b WHERE c >= 0.85 * (x.n + y.n - c) - 1e-9
+  UNION SELECT x.pair_id, y.pair_id FROM part x JOIN part y USING (k) WHERE x.train AND NOT y.train)"""
+
+
+def _folded(column: str) -> str:
+    """The table of look-alikes in SQL: single characters by translate, ligatures by replace, format characters gone, composed."""
+    ones = dict(LOOK)
+    for low, high in SAME:
+        for c in map(chr, range(low, high + 1)):
+            plain = unicodedata.normalize("NFKC", c)
+            if len(plain) == 1 and plain != c:
+                ones[c] = plain
+    out = f"translate({column}, '{''.join(ones)}', '{''.join(ones.values())}')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        out = f"replace({out}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    return f"nfc_normalize(regexp_replace({out}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'))"
+
+
+P3_FOUND = f"""
+texts AS (SELECT pair_id, 'text_a' AS field_name, text_a AS t FROM pairs UNION ALL SELECT pair_id, 'text_b', text_b FROM pairs),
+folded AS (SELECT *, {_folded("t")} AS f FROM texts WHERE t IS NOT NULL)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {P1_GROUPS} SELECT keep_id, pair_id AS copy_id FROM grouped WHERE pair_id <> keep_id",
         "p1_records": f"WITH {P1_GROUPS} SELECT pair_id, text_a, text_b, labels, n_copies FROM grouped WHERE pair_id = keep_id",
+        "p2_found": f"WITH {P2_FOUND} SELECT least(a, b) AS id_1, greatest(a, b) AS id_2 FROM near",
+        "p3_found": f"WITH {P3_FOUND} SELECT DISTINCT x.pair_id AS id_1, y.pair_id AS id_2, field_name FROM folded x JOIN folded y USING (field_name, f) WHERE x.pair_id < y.pair_id AND x.t <> y.t AND trim(f) <> ''",
+        "p6_found": f"WITH {P6_FOUND} SELECT query_id, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS r FROM sums) WHERE r = 1",
         "p6_scores": f"WITH {P6_SCORES} SELECT pair_id, term, n, round(greatest(0, ln(n * mass / (total * size ** 0.75))), 6) AS score FROM joint JOIN sizes USING (pair_id) JOIN totals USING (term), mass",
         "p4_found": f"WITH {P4_COUNTS} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
         "p4_counts": f"WITH {P4_COUNTS} SELECT token, word_counts, word_docs, mark FROM marked",
