@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.functions.codepoints import mix, tokens
+from kindred.session import cut
+
 PRIME = (1 << 31) - 1
 #: Modulus of the fingerprints of p-stable hashes.
 MODULUS = 4_294_967_291
@@ -35,6 +38,32 @@ def feature_number(feature: Column) -> Column:
     return F.conv(F.substring(F.md5(feature), 1, 8), 16, 10).cast("long") % PRIME
 
 
+def token_shingles(docs: DataFrame, id_col: str, text_col: str, run: int = 5) -> DataFrame:
+    """(item_id, features): each run of `run` tokens of the whole text, where a Chinese character is a token; a text of fewer tokens is one run, and one without any (signs only) is its feature as it stands, without outer blanks. Null and blank texts have none."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = tokens(batch.column(1))
+            size = np.bincount(t.row, minlength=batch.num_rows)
+            long = np.minimum(size, run)
+            pos = np.arange(len(t.row)) - (np.cumsum(size) - size)[t.row]
+            at = np.nonzero(pos <= size[t.row] - long[t.row])[0]
+            row, h = t.row[at], np.zeros(len(at), np.uint64)
+            for k in range(run):
+                inside = k < long[row]
+                h[inside] = mix(h[inside] + t.hash[at[inside] + k], 31 + k)
+            bare = [(k, x) for k in np.nonzero(size == 0)[0] if (x := (batch.column(1)[int(k)].as_py() or "").strip())]
+            row = np.concatenate([row, np.array([k for k, _ in bare], row.dtype)])
+            h = np.concatenate([h, np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for _, x in bare], np.uint64)])
+            keys = np.unique(row.astype(np.uint64) << np.uint64(32) | h % np.uint64(PRIME))
+            n = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["item_id", "features"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(features, f"item_id {kind}, features array<bigint>")
+
+
 def signatures(items: DataFrame, n: int = 100, seed: int = 1) -> DataFrame:
     """(item_id, sig array<bigint>) of (item_id, features array<bigint>): for each permutation the least hash of the item's features, -1 for none.
 
@@ -74,6 +103,28 @@ def minhash_matches(items: DataFrame, queries: DataFrame, band: int = 20, row: i
     return asked.join(index, ["band", "bucket"]).where("query_id <> item_id").select("query_id", "item_id").distinct()
 
 
+def near_duplicates(items: DataFrame, least: float = 0.8, band: int = 20, row: int = 5, *, seed: int = 1) -> DataFrame:
+    """(id_1, id_2, jaccard), id_1 < id_2: pairs whose feature sets have a Jaccard similarity of `least` or more, which is counted exactly for the pairs that share a band.
+
+    Items of the same features count once in the bands, so copies, however many, make no hot bucket; their pairs are listed at the end.
+    A pair of similarity s shares a band with probability 1 - (1 - s^row)^band, 0.9996 at the defaults and s = 0.8.
+    """
+    some = items.where(F.size("features") > 0).select("item_id", F.array_sort("features").alias("features"))
+    keyed = cut(some.select("item_id", F.sha2(F.array_join(F.col("features").cast("array<string>"), ","), 256).alias("set"), "features"))
+    member = keyed.select("item_id", "set")
+    sets = keyed.groupBy("set").agg(F.min("item_id").alias("item_id"), F.first("features").alias("features"))
+    index = bands(signatures(sets, band * row, seed), band, row)
+    asked = index.withColumnRenamed("item_id", "query_id")
+    met = asked.join(index, ["band", "bucket"]).where("query_id < item_id").select("query_id", "item_id").distinct()
+    left, right = (sets.select(F.col("item_id").alias(i), F.col("set").alias(s), F.col("features").alias(f)) for i, s, f in (("query_id", "set_1", "f_1"), ("item_id", "set_2", "f_2")))
+    both = F.size(F.array_intersect("f_1", "f_2"))
+    near = met.join(left, "query_id").join(right, "item_id").select("set_1", "set_2", (both / (F.size("f_1") + F.size("f_2") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
+    a, b = member.toDF("a", "set_1"), member.toDF("b", "set_2")
+    same = a.join(b, F.col("set_1") == F.col("set_2")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    pairs = near.join(a, "set_1").join(b, "set_2").select("a", "b", "jaccard").unionAll(same)
+    return pairs.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "jaccard")
+
+
 def stable_family(rounds: int, k: int, length: int, r: float = 1.0, seed: int = 1) -> list[list[tuple[list[float], float]]]:
     """For each round k hashes (a, b): a of sums of twelve uniform numbers (near normal), b uniform in [0, r), rounded to 6 digits."""
 

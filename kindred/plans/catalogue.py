@@ -507,6 +507,13 @@ def minhash_search(spark, folder):
     return lsh.minhash_matches(items, items.where("item_id % 20 = 0"), 20, 5)
 
 
+@query
+def near_duplicate_docs(spark, folder):
+    """Over runs of five tokens, a Chinese character being one, so that texts without blanks and short ones have features too."""
+    rows = parallel(table(spark, folder, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
+    return lsh.near_duplicates(lsh.token_shingles(rows, "doc_id", "text"))
+
+
 @query
 def e2lsh_hashes(spark, folder):
     return lsh.stable_fingerprints(vectors(spark, folder), lsh.stable_family(3, 4, 64), lsh.fingerprint_factors(4))

@@ -128,6 +128,16 @@ def test_hashing(spark):
         lsh.digest(F.lit("x"), "crc")
 
 
+def test_near_duplicates_of_texts_without_blanks(spark):
+    long = "".join(chr(0x4E00 + k) for k in range(60))
+    texts = [(1, long), (2, long), (3, "。" + long[:-1] + "！"), (4, long[30:] + long[:10]), (5, "你好"), (6, " 你好!"), (7, "你"), (8, ""), (9, None), (10, "one two three four five six"), (11, "One, two three four five six."), (12, "？！…"), (13, " ？！…"), (14, " ")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    items = lsh.token_shingles(docs, "doc_id", "text")
+    assert {r["item_id"]: len(r["features"]) for r in items.collect()} == {1: 56, 2: 56, 3: 55, 4: 36, 5: 1, 6: 1, 7: 1, 8: 0, 9: 0, 10: 2, 11: 2, 12: 1, 13: 1, 14: 0}
+    got = {(r["id_1"], r["id_2"]): round(r["jaccard"], 4) for r in lsh.near_duplicates(items).collect()}
+    assert got == {(1, 2): 1, (1, 3): round(55 / 56, 4), (2, 3): round(55 / 56, 4), (5, 6): 1, (10, 11): 1, (12, 13): 1}
+
+
 def test_nearest_in_blocks_equals_brute_force(spark):
     draw = np.random.default_rng(1)
     m = draw.normal(size=(60, 5))
