@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.functions import vectors as V
 from kindred.functions.codepoints import mix, tokens
 from kindred.session import cut
 
@@ -141,6 +142,11 @@ def fingerprint_factors(k: int, seed: int = 1) -> list[int]:
     return [int(hashlib.md5(f"{seed}:f:{i}".encode()).hexdigest()[:8], 16) % 21 - 10 for i in range(k)]
 
 
+def wide_factors(k: int, seed: int = 1) -> list[int]:
+    """Factors of 31 bits, under which different hashes hardly ever give the same fingerprint."""
+    return [int(hashlib.md5(f"{seed}:w:{i}".encode()).hexdigest()[:8], 16) % PRIME for i in range(k)]
+
+
 def stable_fingerprints(vectors: DataFrame, family: list[list[tuple[list[float], float]]], factors: list[int], r: float = 1.0) -> DataFrame:
     """(item_id, round, fp) of (item_id, vec): the hashes floor((a v + b) / r) of each round, combined by the factors modulo 2^32 - 5.
 
@@ -157,7 +163,7 @@ def stable_fingerprints(vectors: DataFrame, family: list[list[tuple[list[float],
                 continue
             matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             hashes = np.floor((matrix @ a + b) / r).astype(np.int64).reshape(batch.num_rows, rounds, k)
-            fp = (hashes * rho).sum(axis=2) % MODULUS
+            fp = (hashes * rho % MODULUS).sum(axis=2) % MODULUS
             ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), rounds)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(rounds, dtype=np.int32), batch.num_rows)), pa.array(fp.ravel())], ["item_id", "round", "fp"])
 
@@ -171,3 +177,18 @@ def stable_matches(index: DataFrame, queries: DataFrame, per_round: bool = False
     on = ["round", "fp"] if per_round else ["fp"]
     left, right = (x if per_round else x.drop("round") for x in (asked, index))
     return left.distinct().join(right.distinct(), on).where("query_id <> item_id").select("query_id", "item_id").distinct()
+
+
+def stable_nearest(vectors: DataFrame, queries: DataFrame, most: int = 10, *, rounds: int = 23, k: int = 6, r: float = 3.0, length: int = 64, seed: int = 1) -> DataFrame:
+    """(query_id, item_id, cosine, rank): of the items that share a round's k hashes with the query the `most` nearest, by exact cosine; ties to the smaller id.
+
+    Vectors are taken at unit length. The defaults were chosen for a recall of 0.9 against brute force of neighbours as far as a cosine of 0.3 to 0.4; nearer ones need fewer rounds.
+    """
+    family, factors = stable_family(rounds, k, length, r, seed), wide_factors(k, seed)
+    unit = [x.where(V.norm(F.col("vec")) > 0).select(x.columns[0], V.l2_normalised(F.col("vec")).alias("vec")) for x in (vectors, queries)]
+    index, asked = (stable_fingerprints(x.toDF("item_id", "vec"), family, factors, r) for x in unit)
+    met = stable_matches(index, asked, per_round=True)
+    q, v = unit[1].toDF("query_id", "q"), unit[0].toDF("item_id", "v")
+    scored = met.join(q, "query_id").join(v, "item_id").select("query_id", "item_id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("cosine"))
+    window = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
+    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most)

@@ -531,6 +531,12 @@ def e2lsh_search_per_round(spark, folder):
     return lsh.stable_matches(index, index.where("item_id % 20 = 0"), per_round=True)
 
 
+@query
+def e2lsh_nearest(spark, folder):
+    """The ten nearest by an index whose recall against `knn_cosine` is at least 0.9."""
+    return lsh.stable_nearest(vectors(spark, folder), asked_vectors(spark, folder), 10)
+
+
 # --- embeddings of documents
 
 

@@ -29,6 +29,12 @@ def test_runs(spark, name):
     assert catalogue.queries()[name](spark, FOLDER).count() > 0
 
 
+def test_stable_index_finds_nine_of_ten_true_neighbours(spark):
+    folder = FOLDER.replace("0.001", "0.1")
+    true, got = ({(r["query_id"], r["item_id"]) for r in catalogue.queries()[name](spark, folder).collect()} for name in ("knn_cosine", "e2lsh_nearest"))
+    assert len(true & got) >= 0.9 * len(true)
+
+
 def test_classifier_tells_labels_apart_no_worse_than_chance(spark):
     rows = catalogue.queries()["lexical_classifier_auc"](spark, FOLDER).collect()
     assert [r["fold"] for r in rows] == [0, 1, 2, 3, 4] and all(0.3 < r["auc"] <= 1 for r in rows)
