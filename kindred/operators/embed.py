@@ -114,40 +114,45 @@ def usif(tokens: DataFrame, vectors: DataFrame, n: int, n_components: int = 5) -
     return without_components(s, directions, power / power.sum() if power.sum() > 0 else np.zeros_like(power))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, digits: int = 6) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, digits: int = 6, group: str | None = None, above: float = -2.0) -> DataFrame:
     """(query_id, item_id, cosine, rank) of (item_id, vec) and (query_id, vec): exact neighbours of each query, itself left out.
 
+    With `group`, a whole number that both tables have, only items of the query's group are neighbours; `above` bounds the cosine from below. Both hold before the k best are taken.
     Queries go out in blocks of at most `block` vectors, against all rows: a task multiplies its batches with a block and keeps
     its own k best a query, and one group-by joins those. Zero vectors have no neighbours; ties go to the smaller id.
     """
-    asked = queries.where("vec IS NOT NULL").select("query_id", "vec")
+    kept = F.lit(0) if group is None else F.col(group)
+    asked = queries.where("vec IS NOT NULL").select("query_id", "vec", kept.cast("bigint").alias("part"))
     blocks = max(1, -(-asked.count() // block))
     found = None
     for part in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
         if not rows:
             continue
-        ids = np.array([r["query_id"] for r in rows])
+        ids, parts = np.array([r["query_id"] for r in rows]), np.array([r["part"] for r in rows])
         q = np.array([r["vec"] for r in rows], np.float64)
         size = np.linalg.norm(q, axis=1)
-        ids, q = ids[size > 0], q[size > 0] / size[size > 0, None]
+        ids, parts, q = ids[size > 0], parts[size > 0], q[size > 0] / size[size > 0, None]
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, parts=parts, q=q) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
-                item = batch.column(0).to_numpy(zero_copy_only=False)
+                every = batch.column(0).to_numpy(zero_copy_only=False)
                 m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                own = batch.column(2).to_numpy(zero_copy_only=False)
                 size = np.linalg.norm(m, axis=1)
-                item, m = item[size > 0], m[size > 0] / size[size > 0, None]
-                c = np.round(m @ q.T, digits)
-                c[item[:, None] == ids[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(item[:, None], c.shape), -c), axis=0)[:k]
-                value = np.take_along_axis(c, order, 0)
-                keep = value > -2
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids, order.shape)[keep]), pa.array(item[order][keep]), pa.array(value[keep])], ["query_id", "item_id", "cosine"])
-
-        best = vectors.where("vec IS NOT NULL").select("item_id", "vec").mapInArrow(run, "query_id bigint, item_id bigint, cosine double")
+                every, own, m = every[size > 0], own[size > 0], m[size > 0] / size[size > 0, None]
+                for p in np.intersect1d(own, parts):
+                    item, asks = every[own == p], ids[parts == p]
+                    c = np.round(m[own == p] @ q[parts == p].T, digits)
+                    c[(item[:, None] == asks[None, :]) | (c <= above)] = -2
+                    order = np.lexsort((np.broadcast_to(item[:, None], c.shape), -c), axis=0)[:k]
+                    value = np.take_along_axis(c, order, 0)
+                    keep = value > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asks, order.shape)[keep]), pa.array(item[order][keep]), pa.array(value[keep])], ["query_id", "item_id", "cosine"])
+
+        best = vectors.where("vec IS NOT NULL").select("item_id", "vec", kept.cast("bigint").alias("part")).mapInArrow(run, "query_id bigint, item_id bigint, cosine double")
         found = best if found is None else found.unionAll(best)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, cosine double")

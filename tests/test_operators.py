@@ -153,6 +153,21 @@ def test_nearest_in_blocks_equals_brute_force(spark):
     assert embed.nearest(items, asked.limit(0), 3).collect() == []
 
 
+def test_similar_words_are_not_cut_by_words_of_other_lengths(spark, tmp_path):
+    from kindred.plans import catalogue
+
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 12))) for _ in range(4000)})
+    spark.createDataFrame([(k, w) for k, w in enumerate(words)], "query_id bigint, query_text string").write.parquet(f"{tmp_path}/queries.parquet")
+    m = np.array([r["vec"] for r in catalogue.word_vectors(spark.createDataFrame([(words,)], "tokens array<string>")).orderBy("token").collect()])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    c, size = np.round(unit @ unit.T, 6), np.array([len(w) for w in words])
+    c[(size[:, None] != size) | np.eye(len(words), dtype=bool)] = -2
+    want = {(words[k], words[j], rank) for k in range(len(words)) for rank, j in enumerate(np.argsort(-c[k], kind="stable")[:15], 1) if c[k, j] > 0.68}
+    got = {(r["word"], r["other"], r["rank"]) for r in catalogue.queries()["similar_words"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_sentence_embeddings_lose_their_first_direction(spark, tokens):
     vectors = spark.createDataFrame([(t, [float(ord(t)), 1.0, float(k)]) for k, t in enumerate("abcd")], "token string, vec array<double>")
     s = embed.pooled(tokens, vectors, embed.sif_weights(embed.word_probabilities(tokens.select(F.explode("tokens").alias("token")))))
