@@ -87,10 +87,18 @@ def map_rare_words(records: DataFrame, frequencies: DataFrame, id_col: str, colu
 
 
 def cipher_vocabulary(tokens: DataFrame, base: int = 0x4E00) -> DataFrame:
-    """(token, char): every distinct token, by first appearance (doc_id, position), gets the next code point from `base`, below the surrogates."""
+    """(token, char): every distinct token, by first appearance (doc_id, position), gets the next code point from `base`, the surrogates left out. More tokens than there are code points are an error."""
     first = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token")).groupBy("token").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    ranked = ranked_rows(first, [F.asc("first")], "rank").where(F.col("rank") <= 0xD800 - base)
-    return ranked.select("token", F.decode(F.unhex(F.lpad(F.hex(F.col("rank") + base - 1), 4, "0")), "UTF-16BE").alias("char"))
+
+    @F.pandas_udf("string")
+    def char(rank: pd.Series) -> pd.Series:
+        point = rank + base - 1
+        point = point.where(point < 0xD800, point + 0x800)
+        if len(point) and point.max() > 0x10FFFF:
+            raise ValueError(f"more distinct tokens than code points from {base:#x}")
+        return point.map(chr)
+
+    return ranked_rows(first, [F.asc("first")], "rank").select("token", char("rank").alias("char"))
 
 
 def decode_cipher(tokens: DataFrame, known: DataFrame) -> DataFrame:

@@ -192,6 +192,18 @@ def test_ngrams_and_rare_words(spark):
     assert sorted((r["field"], r["pos"], r["idx"]) for r in got.where("id = 1").collect()) == [(0, 0, "35000"), (0, 1, "0"), (0, 2, "35000"), (1, 0, "35001"), (1, 1, "0")]
 
 
+def test_cipher_goes_on_past_the_surrogates(spark):
+    tokens = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, ["d", "e"])], "doc_id bigint, tokens array<string>")
+    for base, want in ((0xD7FE, "\ud7fe\ud7ff\ue000\ue001\ue002"), (0x10FFFB - 0x800, "".join(map(chr, range(0x10FFFB, 0x110000))))):
+        got = {r["doc_id"]: r["text"] for r in vocab.decode_cipher(tokens, vocab.cipher_vocabulary(tokens, base)).collect()}
+        assert got == {1: want[:3] + want[0], 2: want[3:]}
+    with pytest.raises(Exception, match="more distinct tokens"):
+        vocab.decode_cipher(tokens, vocab.cipher_vocabulary(tokens, 0x10FFFC - 0x800)).collect()
+    many = spark.createDataFrame([(1, [str(k) for k in range(50_000)])], "doc_id bigint, tokens array<string>")
+    text = vocab.decode_cipher(many, vocab.cipher_vocabulary(many)).first()["text"]
+    assert len(text) == len(set(text)) == 50_000
+
+
 def test_word_pieces_and_segments(spark):
     words = spark.createDataFrame([("unaffable",), ("unx",), ("un",), (None,), ("u" * 300,)], "word string")
     got = {r["word"]: r["pieces"] for r in vocab.word_pieces(words, ["un", "##aff", "##able", "[UNK]"]).collect()}
