@@ -144,8 +144,7 @@ def leaked_items(
     *,
     share: float = 0.5,
     density: float = 0.75,
-    rare_share: float = 0.5,
-    least_anchors: float = 0.12,
+    spare: float = 0.6,
     gap: int = 10,
     shared_by: int = 3,
     block_items: int = 20_000,
@@ -154,9 +153,11 @@ def leaked_items(
     `share` of an item's wording, of which at least `density` stands in the document, in order.
 
     A distributed positional index of the documents (terms of two neighbouring tokens, postings with positions) is built
-    for the rarest `rare_share` of each item's terms, by document frequencies counted over all documents. Its lists are
-    joined with the items' positions, and documents in which at least `least_anchors` of an item's rare terms (two at
-    least) lie at offsets within one item's length are candidates; for these, all runs that both hold are chained in
+    for the anchors of each item and joined with the items' positions; documents that hold enough of an item's anchors are
+    candidates. The filter loses no passage that the rule accepts: a passage of n tokens holds at least density * n of
+    them in runs of two or more, so at least half as many of the item's terms. Of the least such number over all passages
+    the share `spare` is how many of the item's most frequent terms (by document frequencies counted over all documents)
+    are no anchors; the rest of it is how many anchors a document must hold. For candidates, all runs that both hold are chained in
     order with gaps of at most `gap` tokens, which is the proximity match (an exact phrase is one run). The opening
     sentence that at least `shared_by` items share is an instruction and no wording.
 
@@ -174,13 +175,19 @@ def leaked_items(
     found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        part = _leaked_block(docs, wording([(r[0], r[1]) for r in rows], openings, shared_by), share, density, rare_share, least_anchors, gap)
+        part = _leaked_block(docs, wording([(r[0], r[1]) for r in rows], openings, shared_by), share, density, spare, gap)
         found = part if found is None else found.unionAll(part)
     best = F.max_by(F.struct("held", "item_share", "density", "doc_from", "doc_to"), F.struct("held", -F.col("doc_from")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def _leaked_block(docs: DataFrame, items: list[Item], share: float, density: float, rare_share: float, least_anchors: float, gap: int) -> DataFrame:
+def least_terms(size: int, share: float, density: float) -> int:
+    """How many of an item's terms any passage holds that spans at least `share` of its `size` tokens and has `density` of them in runs of two or more."""
+    span = max(2, math.ceil(share * size - 1e-9))
+    return max(1, math.ceil(math.ceil(density * span - 1e-9) / 2))
+
+
+def _leaked_block(docs: DataFrame, items: list[Item], share: float, density: float, spare: float, gap: int) -> DataFrame:
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, held int, item_share double, density double, doc_from int, doc_to int"
     items = [x for x in items if x.size >= 2]
@@ -191,21 +198,21 @@ def _leaked_block(docs: DataFrame, items: list[Item], share: float, density: flo
     anchors, need = [], []
     for k, x in enumerate(items):
         f = frequency[np.searchsorted(terms, x.terms)]
-        rare = np.argsort(f, kind="stable")[: max(2, math.ceil(rare_share * len(x.terms)))]
-        rare = rare[f[rare] > 0]
+        least = least_terms(x.size, share, density)
+        dropped = min(int(spare * least), least - 1)
+        held = np.nonzero(f)[0]
+        rare = held[np.argsort(f[held], kind="stable")][: max(0, len(held) - dropped)]
         anchors += [(int(x.terms[p].view(np.int64)), k, int(p)) for p in rare]
-        need.append(min(max(2, math.ceil(least_anchors * len(x.terms) * rare_share)), max(1, len(x.terms))))
+        need.append(least - dropped)
     wanted = np.unique(np.array([a[0] for a in anchors], np.int64).view(np.uint64))
     if not len(wanted):
         return spark.createDataFrame([], schema)
     index = positional_index(docs, "doc_id", "text", wanted)
     queries = F.broadcast(spark.createDataFrame(anchors, "term bigint, item int, at int"))
-    sizes = F.broadcast(spark.createDataFrame([(k, x.size, need[k]) for k, x in enumerate(items)], "item int, size int, need int"))
-    # offsets of one passage lie within one item's length: bands of two lengths, each offset in two of them
-    hits = index.join(queries, "term").join(sizes, "item").withColumn("offset", F.col("pos") - F.col("at"))
-    band = F.floor(F.col("offset") / F.col("size"))
-    hits = hits.select("doc_id", "item", "at", "need", F.explode(F.array(band, band + 1)).alias("band"))
-    near = hits.groupBy("doc_id", "item", "band").agg(F.count_distinct("at").alias("n"), F.first("need").alias("need")).where("n >= need")
+    sizes = F.broadcast(spark.createDataFrame(list(enumerate(need)), "item int, need int"))
+    # no bound on offsets: gaps may shift the runs of one passage by more than an item's length
+    hits = index.join(queries, "term").groupBy("doc_id", "item").agg(F.count_distinct("at").alias("n"))
+    near = hits.join(sizes, "item").where("n >= need")
     candidates = cut(near.groupBy("doc_id").agg(F.collect_set("item").alias("items")))
     texts = docs.join(candidates, "doc_id")
 

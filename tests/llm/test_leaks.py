@@ -40,6 +40,19 @@ def test_chains_keep_order_and_gaps():
     assert best_passage([(5, 100, 5), (0, 110, 5)], 10)[0] == 5
 
 
+def test_often_quoted_half_of_an_item(spark):
+    item = [f"w{k}" for k in range(100)]
+    other = [f"x{k}" for k in range(200)]
+    changed = [w if k % 4 else "new" for k, w in enumerate(item)][1:60]
+    # five runs of two tokens, each ten tokens after the last
+    spread = [w for k in range(0, 20, 2) for w in (f"s{k}", f"s{k + 1}", *other[k * 10 : k * 10 + 10])]
+    docs = [(k, " ".join(other[k : k + 30] + item[:52] + other[k + 30 : k + 60]), None, None) for k in range(40)]
+    docs += [(50, " ".join(item[60:]), None, None), (51, " ".join(changed), None, None), (52, " ".join(spread), None, None)]
+    items = [(1, " ".join(item), None), (2, " ".join(f"s{k}" for k in range(20)), None)]
+    got = leaked_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 1) for k in (*range(40), 51)} | {(52, 2)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c", None, None)], DOCS), spark.createDataFrame([(1, "a b c", None)], ITEMS)
     assert leaked_items(docs.limit(0), items).collect() == [] and leaked_items(docs, items.limit(0)).collect() == []
