@@ -13,10 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import unicodedata
 
-#: Code points beyond are neither letters nor digits (tags, private use).
-LIMIT = 0x32000
+#: All code points have an entry of their own.
+LIMIT = 0x110000
+#: Code points beyond are unassigned, private or marks (tags and selectors, in the last range): neither letters nor digits.
+LETTERS_END, SELECTORS = 0x33480, (0xE0000, 0xE01F0)
 #: Chinese characters: extension A, the main block, compatibility ideographs, the supplementary planes.
-CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x31FFF))
+CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3347F))
 #: CJK radicals, which Unicode counts among the symbols though they are read as characters.
 RADICALS = (0x2E80, 0x2FDF)
 
@@ -27,7 +29,7 @@ OTHER, WORD, CJK, MARK = 0, 1, 2, 3
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """(class, lower case) by code point."""
     kind, lower = np.zeros(LIMIT, np.uint8), np.arange(LIMIT, dtype=np.uint32)
-    for cp in range(LIMIT):
+    for cp in (*range(LETTERS_END), *range(*SELECTORS)):
         if 0xD800 <= cp < 0xE000:
             continue
         c = chr(cp)
@@ -54,7 +56,7 @@ def decode(texts: pa.Array, lower: bool = True) -> Decoded:
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lens = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     data = "".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass")
-    points = np.minimum(np.frombuffer(data, np.uint32), LIMIT - 1)
+    points = np.frombuffer(data, np.uint32)
     kind, low = tables()
     return Decoded(low[points] if lower else points, kind[points], np.repeat(np.arange(len(lens)), lens), len(lens))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The segmenter that needs no model: a Chinese character, or a run of other letters and digits, or a single other mark.
-PLAIN_WORD = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_㐀-䶿一-鿿豈-﫿]+|[^\w\s]|_")
+PLAIN_WORD = r"[㐀-䶿一-鿿豈-﫿]|[\p{L}\p{N}&&[^㐀-䶿一-鿿豈-﫿]]+|[^\s\p{Z}\p{L}\p{N}]"
 
 
 @lru_cache(maxsize=2)
@@ -40,8 +39,10 @@ def sentence_pieces(df: DataFrame, text_col: str, out_col: str = "ids", model: s
 
 def segmented(df: DataFrame, text_col: str, out_col: str = "words", segment: Callable[[str], list[str]] | None = None, sep: str = " ") -> DataFrame:
     """`df` with the words of each text, joined by `sep`. `segment` is any function from a text to its words that the workers can import;
-    without one PLAIN_WORD is used. Null stays null."""
-    cut = segment or PLAIN_WORD.findall
+    without one PLAIN_WORD is used, within the JVM. Null stays null."""
+    if segment is None:
+        return df.withColumn(out_col, F.array_join(F.regexp_extract_all(F.col(text_col), F.lit(f"({PLAIN_WORD})"), 1), sep))
+    cut = segment
 
     @F.pandas_udf("string")
     def run(col: pd.Series) -> pd.Series:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from kindred.functions.binding import let
 
-#: Punctuation that word splitting turns into blanks, with tab and line feed.
+# Punctuation that word splitting turns into blanks, with tab and line feed.
 FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 
 # Ranges of Chinese characters (inclusive) of the BERT tokenisers.
 CJK_BLOCKS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F))
 CJK_CLASS = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in CJK_BLOCKS)
+#: Marks that decomposition sets free.
+NONSPACING = regex.compile(r"\p{Mn}+")
 #: ASCII symbols count as punctuation, with Unicode's P categories.
 PUNCTUATION_CLASS = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\p{P}"
 
@@ -37,6 +41,21 @@ CLEANING = (
 )
 
 
+# Full-width and Chinese punctuation, after which decoded text has no blank.
+CJK_PUNCTUATION = (
+    "\uff02\uff03\uff04\uff05\uff06\uff07\uff08\uff09\uff0a\uff0b\uff0c\uff0d\uff0f\uff1a\uff1b\uff1c\uff1d\uff1e\uff20\uff3b\uff3c\uff3d\uff3e\uff3f\uff40"
+    "\uff5b\uff5c\uff5d\uff5e\uff5f\uff60\uff62\uff63\uff64\u3000\u3001\u3003\u3008\u3009\u300a\u300b\u300c\u300d\u300e\u300f\u3010\u3011\u3014\u3015\u3016\u3017\u3018"
+    "\u3019\u301a\u301b\u301c\u301d\u301e\u301f\u3030\u303e\u303f\u2013\u2014\u2018\u2019\u201b\u201c\u201d\u201e\u201f\u2026\u2027\ufe4f\ufe51\ufe54\u00b7\uff01\uff1f\uff61\u3002"
+)
+#: Blanks that go from decoded text: runs, those in contractions, after marks that open or bind, within decimals.
+DECODING = (
+    (" +", " "),
+    ("' (re|m|s|t|ve|d|ll) ", "'$1 "),
+    (r"([\+\-/=\{\(<\[" + CJK_PUNCTUATION + "]) ", "$1"),
+    (r"([0-9]\.) ([0-9])", "$1$2"),
+)
+
+
 def present(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
@@ -130,11 +149,13 @@ def basic_tokens(text: Column) -> Column:
     return present(F.split(text, " "))
 
 
-@F.udf(returnType=StringType(), useArrow=True)
-def _strip_accents(text: str) -> str | None:
-    if text is None:
-        return None
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
+@F.pandas_udf(StringType())
+def _strip_accents(texts: pd.Series) -> pd.Series:
+    """One decomposition and one regular expression over a whole batch, its texts joined by a character that no text holds."""
+    known = texts.fillna("")
+    sep = next(c for c in map(chr, range(0xE000, 0xF900)) if not known.str.contains(c, regex=False).any())
+    plain = NONSPACING.sub("", unicodedata.normalize("NFD", sep.join(known).lower())).split(sep)
+    return pd.Series(plain, index=texts.index).where(texts.notna(), None)
 
 
 def lower_without_accents(text: Column) -> Column:
@@ -143,11 +164,28 @@ def lower_without_accents(text: Column) -> Column:
 
 
 def decode_pieces(pieces: Column) -> Column:
-    """Text of word pieces: `##` glued, Chinese characters unspaced, no blank before punctuation."""
-    text = F.array_join(F.filter(pieces, lambda p: ~is_special(p)), " ")
-    text = F.regexp_replace(text, r"\s##", "")
-    text = F.regexp_replace(text, f"\\s*([{CJK_CLASS}])\\s*", "$1")
-    text = F.regexp_replace(text, r"\s+([\p{P}])", "$1")
+    """Readable text of word pieces; markers in brackets are left out.
+
+    Pieces behind `##`, single Chinese characters and single punctuation marks join what precedes them, and so does what follows a
+    Chinese character; a blank stands before any other piece and after a mark. Then blanks within contractions and
+    decimals, and after the marks that open or bind, go.
+    """
+
+    def mark(p: Column) -> Column:
+        return (F.length(p) == 1) & is_punctuation(p)
+
+    def placed(pieces: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            before = F.get(pieces, i - 1)
+            cjk_before = F.coalesce(F.substring(before, -1, 1).rlike(f"[{CJK_CLASS}]"), F.lit(False))
+            glued = p.startswith("##") | ((F.length(p) == 1) & is_cjk(p)) | mark(p) | cjk_before
+            return F.concat(F.when(glued, "").otherwise(" "), stem(p), F.when(mark(p) & ~is_cjk(p), " ").otherwise(""))
+
+        return F.array_join(F.transform(pieces, one), "")
+
+    text = let(F.filter(pieces, lambda p: ~is_special(p)), placed)
+    for pattern, put in DECODING:
+        text = F.regexp_replace(text, pattern, put)
     return F.trim(text)
 
 

@@ -296,20 +296,22 @@ def random_transformer(*, vocab: int, size: int, layers: int, hidden: int, lengt
     return w
 
 
-def padded(rows: np.ndarray, values: np.ndarray, n: int, length: int) -> np.ndarray:
-    """[n, length] of ids in row order; what is beyond `length` is cut, as the encoders have a fixed width."""
+def padded(rows: np.ndarray, values: np.ndarray, n: int, length: int | None = None) -> np.ndarray:
+    """[n, length] of ids in row order, by default as wide as the longest row; what is beyond a given `length` is cut."""
+    first = np.searchsorted(rows, np.arange(n + 1))
+    length = max(1, int(np.diff(first).max(initial=1))) if length is None else length
     out = np.zeros((n, length), np.int64)
-    first = np.searchsorted(rows, np.arange(n))
     pos = np.arange(len(rows)) - first[rows]
     inside = pos < length
     out[rows[inside], pos[inside]] = values[inside]
     return out
 
 
-def siamese_scores(pairs: DataFrame, id_col: str, a: str = "text_a", b: str = "text_b", weights: Weights | None = None, *, layers: int = 2, heads: int = 2, length: int = 40, vocab: int = 2000) -> DataFrame:
-    """(id, score): the cosine of the two texts' encodings, by weights that are sent once to every executor. Token ids are hashed into
+def siamese_scores(pairs: DataFrame, id_col: str, a: str = "text_a", b: str = "text_b", weights: Weights | None = None, *, layers: int = 2, heads: int = 2, window: int = 64, vocab: int = 2000) -> DataFrame:
+    """(id, score): the cosine of the two texts' encodings, by weights that are sent once to every executor. Texts are read whole: each is
+    encoded in windows of `window` tokens, whose pooled states are averaged, weighted by their tokens. Token ids are hashed into
     the vocabulary; null texts encode as empty ones."""
-    weights = weights or random_transformer(vocab=vocab, size=32, layers=layers, hidden=64, length=length)
+    weights = weights or random_transformer(vocab=vocab, size=32, layers=layers, hidden=64, length=window)
     shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,13 +320,19 @@ def siamese_scores(pairs: DataFrame, id_col: str, a: str = "text_a", b: str = "t
             sides = []
             for column in batch.columns[1:]:
                 t = tokens(column)
-                ids = padded(t.row, (t.hash % np.uint64(vocab - 1)).astype(np.int64) + 1, batch.num_rows, length)
+                n = np.bincount(t.row, minlength=batch.num_rows)
+                windows = np.maximum(1, -(-n // window))  # of each text
+                first = np.cumsum(windows) - windows
+                pos = np.arange(len(t.row)) - (np.cumsum(n) - n)[t.row]
+                ids = padded(first[t.row] + pos // window, (t.hash % np.uint64(vocab - 1)).astype(np.int64) + 1, int(windows.sum()), window)
                 parts = []
                 for at in range(0, len(ids), 512):
                     part = ids[at : at + 512]
                     _, states = transformer(part, np.zeros_like(part), w, layers=layers, heads=heads)
-                    parts.append(pooled(states, (part != 0).astype(float), w, "last-avg"))
-                sides.append(np.concatenate(parts) if parts else np.zeros((0, 1)))
+                    held = (part != 0).astype(float)
+                    parts.append(pooled(states, held, w, "last-avg") * np.maximum(held.sum(1), 1)[:, None])
+                sums = np.add.reduceat(np.concatenate(parts), first) if parts else np.zeros((0, 1))
+                sides.append(sums / np.maximum(n, 1)[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cosine(*sides))], ["id", "score"])
 
     kind = pairs.schema[id_col].dataType.simpleString()

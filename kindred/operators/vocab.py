@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-from functools import lru_cache
+import hashlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -121,58 +120,70 @@ def load_vocabulary(lines: DataFrame, line_col: str = "value", no_col: str = "li
     return ranked_rows(first, [F.asc("first")], "rank").select("token", (F.col("rank") - 1).cast("int").alias("idx"))
 
 
-@lru_cache(maxsize=1 << 16)
-def _pieces(word: str, vocab: frozenset) -> tuple[str, ...]:
-    if word in vocab or len(word) > 200:
-        return (word,)
-    out, start = [], 0
-    while start < len(word):
-        for end in range(len(word), start, -1):
-            piece = ("##" if start else "") + word[start:end]
-            if piece in vocab:
-                out.append(piece)
-                start = end
-                break
-        else:
-            return (word,)
-    return tuple(out)
+def _matches(texts: DataFrame, text: str, low: int, high: int, known: DataFrame, mark: str = "") -> DataFrame:
+    """(text, found): of each text the (start, length) of its substrings of `low` to `high` characters in `known`(piece); one that does not
+    begin the text is looked up behind `mark`. The vocabulary is joined, so it may have any size."""
+    start = F.explode(F.sequence(F.lit(1), F.length(text) - (low - 1))).alias("start")
+    starts = texts.where(F.length(text) >= low).select(text, start)
+    spans = starts.select(text, "start", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), F.length(text) - F.col("start") + 1))).alias("n"))
+    piece = F.concat(F.when(F.col("start") > 1, mark).otherwise(""), F.substring(text, F.col("start"), F.col("n")))
+    hits = spans.select(text, F.col("start").alias("start"), "n", piece.alias("piece")).join(known.select("piece").distinct(), "piece", "left_semi")
+    return hits.groupBy(text).agg(F.collect_list(F.struct("start", "n")).alias("found"))
 
 
-def word_pieces(words: DataFrame, vocab: list[str], col: str = "word", most: int = 1_000_000) -> DataFrame:
-    """(word, pieces): greedy longest matches of each distinct word; a word without a full match, or of over 200 characters, stays whole.
+def word_pieces(words: DataFrame, vocab: DataFrame, col: str = "word", *, longest: int = 200) -> DataFrame:
+    """(word, pieces): greedy longest matches of each distinct word in `vocab`(piece), inner pieces behind `##`; a word in `vocab`, without a
+    full match, or of over `longest` characters, stays whole.
 
-    The vocabulary goes to every task and has at most `most` entries.
+    All substrings of the distinct words meet the vocabulary in one semi-join; no vocabulary is sent to tasks. Null words are left out.
     """
-    if len(vocab) > most:
-        raise ValueError(f"more than {most} word pieces")
-    shared = words.sparkSession.sparkContext.broadcast(frozenset(vocab))
+    distinct = words.select(F.col(col).alias("word")).where("word IS NOT NULL").distinct()
+    found = _matches(distinct.where(F.length("word") <= longest), "word", 1, longest, vocab, "##")
 
     @F.pandas_udf("array<string>")
-    def split(col: pd.Series) -> pd.Series:
-        known = shared.value
-        return col.map(lambda w: None if w is None else list(_pieces(w, known)))
+    def split(words: pd.Series, found: pd.Series) -> pd.Series:
+        def one(word: str, spans) -> list[str]:
+            best: dict[int, int] = {}
+            for span in [] if spans is None else spans:
+                best[span["start"] - 1] = max(best.get(span["start"] - 1, 0), span["n"])
+            out, at = [], 0
+            while at < len(word) and at in best:
+                out.append(("##" if at else "") + word[at : at + best[at]])
+                at += best[at]
+            return out if at == len(word) and word else [word]
 
-    distinct = words.select(F.col(col).alias("word")).where("word IS NOT NULL").distinct()
-    return distinct.select("word", split("word").alias("pieces"))
+        return pd.Series([one(w, s) for w, s in zip(words, found)], dtype=object)
+
+    return distinct.join(found, "word", "left").select("word", split("word", "found").alias("pieces"))
 
 
-def random_segments(lines: DataFrame, id_col: str, text_col: str, grams: list[str], *, seed: int = 1, times: int = 10, max_ngram: int = 4) -> DataFrame:
-    """(id, tokens): up to `times` distinct cuts of each line into characters and known n-grams, chosen at random by the line's id and `seed`."""
-    shared = lines.sparkSession.sparkContext.broadcast(frozenset(grams))
+def random_segments(lines: DataFrame, id_col: str, text_col: str, grams: DataFrame, *, seed: int = 1, times: int = 10, max_ngram: int = 4) -> DataFrame:
+    """(id, tokens): up to `times` distinct cuts of each line into characters and n-grams of `grams`(ngram), chosen at random.
+
+    The choice at a place is the md5 of seed, id, number of the cut and place, so it is the same on every run. The n-grams
+    are joined to the lines' substrings, so there may be any number of them. Null and empty lines have no cut; rows with one id and text are one.
+    """
+    rows = lines.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''").distinct()
+    found = _matches(rows.select("text").distinct(), "text", 2, max_ngram, grams.select(F.col("ngram").alias("piece")))
 
     @F.pandas_udf("array<array<string>>")
-    def cut(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        known, out = shared.value, []
-        for key, text in zip(ids, texts):
-            draw, seen = random.Random(f"{seed}:{key}"), {}
-            for _ in range(times if text else 0):
+    def cuts(ids: pd.Series, texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for key, text, spans in zip(ids, texts, found):
+            lengths, seen = {}, {}
+            for span in [] if spans is None else spans:
+                lengths.setdefault(span["start"] - 1, []).append(span["n"])
+            for k in range(times):
                 at, tokens = 0, []
                 while at < len(text):
-                    options = [text[at]] + [text[at : at + n] for n in range(2, max_ngram + 1) if text[at : at + n] in known and at + n <= len(text)]
-                    tokens.append(draw.choice(options))
-                    at += len(tokens[-1])
+                    options = [1, *sorted(lengths.get(at, ()))]
+                    drawn = int(hashlib.md5(f"{seed}:{key}:{k}:{at}".encode()).hexdigest()[:8], 16)
+                    n = options[drawn % len(options)]
+                    tokens.append(text[at : at + n])
+                    at += n
                 seen[tuple(tokens)] = None
             out.append([list(t) for t in seen])
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
-    return lines.select(F.col(id_col).alias("id"), F.explode(cut(F.col(id_col), F.col(text_col))).alias("tokens"))
+    joined = rows.join(found, "text", "left")
+    return joined.select("id", F.explode(cuts(F.col("id").cast("string"), "text", "found")).alias("tokens"))

@@ -211,19 +211,19 @@ def levenshtein_pairs(spark, folder):
 
 @query
 def word_piece_tokens(spark, folder):
-    tokens = lowered(spark, folder)
-    frequent = corpus.CorpusIndex.of(tokens).df.orderBy(F.desc("df"), "token").limit(5000)
-    chars = tokens.select(F.explode("tokens").alias("t")).select(F.explode(T.characters(F.col("t"))).alias("c")).distinct().orderBy("c").limit(20_000)
-    pieces = [r[0] for r in frequent.select("token").collect()]
-    pieces += [x for r in chars.collect() for x in (r[0], "##" + r[0])]
-    return vocab.word_pieces(tokens.select(F.explode("tokens").alias("word")), pieces)
+    """Every word by the vocabulary of the words that three documents hold, their beginnings of three letters and all single characters."""
+    words = lowered(spark, folder).select(F.explode("tokens").alias("word")).where("word <> ''")
+    known = corpus.CorpusIndex.of(lowered(spark, folder)).df.where("df >= 3 AND token <> ''")
+    chars = words.select(F.explode(T.characters(F.col("word"))).alias("c")).distinct().select(F.explode(F.array("c", F.concat(F.lit("##"), "c"))).alias("piece"))
+    starts = known.select(F.explode(F.array("token", F.concat(F.lit("##"), F.substring("token", 1, 3)))).alias("piece"))
+    return vocab.word_pieces(words, starts.unionAll(chars)).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query
 def random_ngram_segments(spark, folder):
     lines = table(spark, folder, "queries")
-    grams = [r[0] for r in vocab.ngram_counts(lines, "query_text", 3, 4).orderBy(F.desc("cnt"), "ngram").limit(5000).select("ngram").collect()]
-    return vocab.random_segments(lines, "query_id", "query_text", grams)
+    cuts = vocab.random_segments(lines, "query_id", "query_text", vocab.ngram_counts(lines, "query_text", 3, 4))
+    return cuts.select(F.col("id").alias("query_id"), F.array_join("tokens", "|").alias("tokens"))
 
 
 @query

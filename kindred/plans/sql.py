@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.functions.text import CJK_CLASS, PUNCTUATION_CLASS
+from kindred.functions.text import CJK_CLASS, CJK_PUNCTUATION, PUNCTUATION_CLASS
 from kindred.operators import lsh
 
 DOCS = "docs AS (SELECT doc_id, list_filter(coalesce(max(tokens), []), lambda t: t IS NOT NULL) AS tokens FROM corpus WHERE doc_id IS NOT NULL GROUP BY doc_id)"
@@ -139,7 +139,44 @@ c AS (SELECT *, CASE WHEN n + m <= 21 THEN n WHEN m <= 10 THEN 21 - m WHEN n <=
 encoded AS (SELECT pair_id, na, nb - 1 AS nb, list_concat(['[CLS]'], a[1 : na - 2], ['[SEP]'], b[1 : nb - 2], ['[SEP]']) AS tokens FROM c)"""
 IDS_OF = "SELECT pair_id, string_split(text_a, ' ') AS t FROM pairs WHERE source = 'anon_ids' AND regexp_full_match(text_a, '[0-9]{1,9}( [0-9]{1,9})*')"
 
+PARSED = """
+rules AS (SELECT file_name, delim AS d, n_fields AS n, split_name FROM raw_files),
+asked AS (SELECT line_id, file_name, split_name, regexp_replace(line_text, '\\r$', '') AS t, '[' || d || ']' AS d, '[^' || d || ']*' AS others, n FROM raw_records LEFT JOIN rules USING (file_name) WHERE line_text IS NOT NULL),
+kept AS (SELECT *, '(?:"(?:[^"]|"")*"|(?:[^"' || substr(d, 2, 1) || ']' || others || ')?)' AS field FROM asked WHERE trim(t, ' ' || chr(9)) <> ''),
+cells AS (SELECT *, regexp_full_match(t, '(?s)' || field || '(?:' || d || field || ')*') AS closed,
+  list_transform(regexp_extract_all(substr(d, 2, 1) || t, '(?s)' || d || '(?:"(?:[^"]|"")*"|' || others || ')'), lambda f: CASE WHEN f[2] = '"' THEN replace(f[3 : -2], '""', '"') ELSE f[2:] END) AS f FROM kept),
+parsed AS (SELECT *, CASE WHEN d IS NULL THEN 'unknown_file' WHEN NOT closed THEN 'quoting' WHEN len(f) <> n THEN 'column_count'
+  WHEN len(list_filter(f[1:2], lambda x: NOT regexp_matches(x, '[^\\s\\p{Z}]') OR regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}\\x{fffd}]'))) > 0
+    OR n = 3 AND NOT regexp_full_match(f[3], '[\\s\\p{Z}]*[012][\\s\\p{Z}]*') THEN 'bad_value' END AS reason FROM cells)"""
+PIECED = f"""
+words AS (SELECT DISTINCT t AS word FROM (SELECT unnest(tokens) AS t FROM docs) WHERE t <> ''),
+often AS (SELECT t AS token FROM (SELECT doc_id, unnest(tokens) AS t FROM docs) WHERE t <> '' GROUP BY t HAVING count(DISTINCT doc_id) >= 3),
+chars AS (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM words),
+known AS (SELECT token AS piece FROM often UNION SELECT '##' || substr(token, 1, 3) FROM often UNION SELECT c FROM chars UNION SELECT '##' || c FROM chars),
+spans AS (SELECT word, pos, unnest(range(1, length(word) - pos + 1)) AS n FROM (SELECT word, unnest(range(length(word))) AS pos FROM words WHERE length(word) <= 200)),
+best AS (SELECT word, pos, max(n) AS n FROM (SELECT word, pos, n, CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, pos + 1, n) AS piece FROM spans) JOIN known USING (piece) GROUP BY ALL),
+steps AS (SELECT word, 0::BIGINT AS pos, '' AS pieces FROM words UNION ALL SELECT s.word, s.pos + b.n, s.pieces || CASE WHEN s.pos > 0 THEN ' ##' ELSE '' END || substr(s.word, (s.pos + 1)::BIGINT, b.n) FROM steps s JOIN best b ON b.word = s.word AND b.pos = s.pos)"""
+
 SQL: dict[str, str] = {
+    "p5_found": f"WITH {PARSED} SELECT line_id, reason FROM parsed WHERE reason IS NOT NULL",
+    "p5_rows": f"WITH {PARSED} SELECT line_id, file_name, split_name, f[1] AS text_a, f[2] AS text_b, CASE WHEN n = 3 THEN regexp_extract(f[3], '[012]')::INTEGER END AS labels FROM parsed WHERE reason IS NULL",
+    "lower_no_accents": "SELECT pair_id, regexp_replace(strip_accents(lower(text_a)), '\\p{Mn}', '', 'g') AS plain FROM pairs",
+    "segmented_texts": "SELECT pair_id, array_to_string(regexp_extract_all(regexp_replace(text_a, '([㐀-䶿一-鿿豈-﫿])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+|[^\\s\\p{Z}\\p{L}\\p{N}]'), ' ') AS words FROM pairs",
+    "word_piece_tokens": f"WITH RECURSIVE {LOWERED}, {PIECED} SELECT word, coalesce(pieces, word) AS pieces FROM words LEFT JOIN (SELECT word, pieces FROM steps WHERE pos = length(word)) USING (word)",
+    "random_ngram_segments": """WITH RECURSIVE grams AS (SELECT g FROM (SELECT query_text[i : i + n - 1] AS g FROM (SELECT query_text, n, unnest(range(1, length(query_text) - n + 2)) AS i FROM queries, (VALUES (2), (3), (4)) t(n) WHERE length(query_text) >= n)) GROUP BY g HAVING count(*) >= 3),
+lines AS (SELECT DISTINCT query_id, query_text AS t FROM queries WHERE query_text <> ''),
+spots AS (SELECT DISTINCT t, unnest(range(length(t))) AS pos FROM lines),
+hits AS (SELECT t, pos, n FROM spots, (VALUES (1), (2), (3), (4)) s(n) WHERE n = 1 OR pos + n <= length(t) AND substr(t, pos + 1, n) IN (SELECT g FROM grams)),
+options AS (SELECT t, pos, list(n ORDER BY n) AS o FROM hits GROUP BY ALL),
+steps AS (SELECT query_id, t, k, 0::BIGINT AS pos, '' AS tokens FROM lines, (SELECT unnest(range(10)) AS k) UNION ALL
+  SELECT query_id, t, k, pos + n, tokens || CASE WHEN pos > 0 THEN '|' ELSE '' END || substr(t, pos + 1, n) FROM (SELECT s.*, o[('0x' || substr(md5('1:' || query_id || ':' || k || ':' || s.pos), 1, 8))::BIGINT % len(o) + 1] AS n FROM steps s JOIN options x ON x.t = s.t AND x.pos = s.pos))
+SELECT DISTINCT query_id, tokens FROM steps WHERE pos = length(t)""",
+    "decoded_pieces": f"""WITH p AS (SELECT pair_id, list_filter(string_split(array_to_string(list_transform({_basic('text_a')}, lambda t: CASE WHEN length(t) > 6 THEN substr(t, 1, 4) || ' ##' || substr(t, 5) ELSE t END), ' '), ' '), lambda t: NOT (t LIKE '[%' AND t LIKE '%]')) AS p FROM pairs WHERE text_a IS NOT NULL),
+m AS (SELECT pair_id, list_transform(range(1, len(p) + 1), lambda i: [p[i], CASE WHEN p[i] LIKE '##%' OR regexp_full_match(p[i], '[{CJK_CLASS}{PUNCTUATION_CLASS}]') OR i > 1 AND regexp_matches(p[i - 1], '[{CJK_CLASS}]$') THEN '' ELSE ' ' END, CASE WHEN regexp_full_match(p[i], '[{PUNCTUATION_CLASS}]') THEN ' ' ELSE '' END]) AS m FROM p),
+t AS (SELECT pair_id, regexp_replace(array_to_string(list_transform(m, lambda x: x[2] || regexp_replace(x[1], '^##', '') || x[3]), ''), ' +', ' ', 'g') AS t FROM m),
+u AS (SELECT pair_id, regexp_replace(t, chr(39) || ' (re|m|s|t|ve|d|ll) ', chr(39) || '\\1 ', 'g') AS t FROM t),
+x AS (SELECT pair_id, regexp_replace(t, '([\\+\\-/=\\{{\\(<\\[{CJK_PUNCTUATION}]) ', '\\1', 'g') AS t FROM u)
+SELECT y.pair_id, decoded FROM pairs y LEFT JOIN (SELECT pair_id, trim(regexp_replace(t, '([0-9]\\.) ([0-9])', '\\1\\2', 'g')) AS decoded FROM x) USING (pair_id)""",
     "encode_text_pairs": f"WITH {ENCODED} SELECT pair_id, array_to_string(tokens, ' ') AS tokens, array_to_string(list_concat(list_transform(range(na), lambda x: 0), list_transform(range(nb), lambda x: 1)), ' ') AS segments FROM encoded",
     "bert_pair_ids": f"""WITH {ENCODED}, words AS (SELECT unnest(list_concat(a, b)) AS token FROM w),
 known AS (SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) + 3 AS idx FROM words GROUP BY token HAVING count(*) >= 2 UNION ALL VALUES ('[CLS]', 2), ('[SEP]', 3)),
@@ -150,7 +187,7 @@ SELECT pair_id, array_to_string(list_concat(ids, list_transform(range(20 - len(i
     "cipher_decode": f"""WITH u AS (SELECT pair_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM ({IDS_OF})), f AS (SELECT token, min((pair_id, pos)) AS f FROM u GROUP BY token),
 k AS (SELECT token, chr((19967 + row_number() OVER (ORDER BY f))::INTEGER) AS c FROM f) SELECT pair_id AS doc_id, string_agg(c, '' ORDER BY pos) AS text FROM u JOIN k USING (token) GROUP BY pair_id""",
     "vocab_load": "SELECT token, (row_number() OVER (ORDER BY n) - 1)::INTEGER AS idx FROM (SELECT trim(token, ' ') AS token, min(shard_id::BIGINT * 1000000 + idx) AS n FROM tokenizer_state WHERE trim(token, ' ') <> '' AND idx IS NOT NULL GROUP BY ALL)",
-    "ngram_char_ids": f"WITH {GRAMS}, c AS (SELECT ngram, unnest(range(n))::INTEGER AS pos, unnest(string_split(ngram, '')) AS token FROM counted), k AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT token FROM c)) SELECT ngram, pos, idx FROM c JOIN k USING (token)",
+    "ngram_char_ids": f"WITH {GRAMS.replace('counted AS (', 'counted AS MATERIALIZED (')}, c AS MATERIALIZED (SELECT ngram, unnest(range(n))::INTEGER AS pos, unnest(string_split(ngram, '')) AS token FROM counted), k AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT token FROM c)) SELECT ngram, pos, idx FROM c JOIN k USING (token)",
     "unknown_query_tokens": f"{LOWER_BASE} SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest({_filters('query_text')}) AS token FROM queries) WHERE token NOT IN (SELECT token FROM df)",
     "log_buckets": """WITH o AS (SELECT query_id, query_id - 50 AS o FROM queries)
 SELECT query_id, CASE WHEN abs(o) < 8 THEN o ELSE (ceil(ln(CASE WHEN abs(o) <= 8 THEN 8 ELSE abs(o) END / 8.0::DOUBLE) / ln(63 / 8.0::DOUBLE) * 7) + 8) * sign(o) END::INTEGER AS bucket FROM o""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,12 +36,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder, so that later plans read it and lost executors cost nothing.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is made.
+    The folder is the cluster's spark.checkpoint.dir. Where that is unset, a session of one process (local[...], as in tests) gets a
+    temporary one, which goes when the process ends; a cluster must name a shared one.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kindred-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="kindred-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -98,3 +98,17 @@ def test_external_tokenisers(spark):
     assert back == {1: "Hello 中文 world", 2: "", 3: None}
     assert {r["id"]: r["words"] for r in external.segmented(df, "t").collect()} == {1: "Hello 中 文 world", 2: "", 3: None}
     assert external.segmented(df, "t", segment=str.split, sep="|").first()["words"] == "Hello|中文|world"
+
+
+def test_code_points_beyond_the_letters_stay_apart():
+    odd = ["\U00032000", "\U00032001", "\U000e0100", "", "\U0010fffd", "a", "a\U000e0100", "a\U000e0001"]
+    (h,), solid = bare_hashes(pa.array(odd), (1,))
+    assert h[0] != h[1] and solid.tolist() == [True, True, False, False, False, True, True, True]
+    # a selector is a mark and counts, a tag or a private character does not
+    assert h[5] != h[6] and h[5] == h[7] and h[3] == h[4]
+    assert tokens(pa.array(["\U00032001b"])).row.tolist() == [0, 0]
+
+
+def test_decoding_joins_marks_contractions_and_decimals(spark):
+    rows = [(["i", "'", "m", "3", ".", "5", "m"],), (["(", "a", ")", "，", "b"],), (["[UNK]"],), ([],), (None,), (["中", "a", "##b", "c"],)]
+    assert one(spark, rows, "t array<string>", T.decode_pieces(F.col("t"))) == ["i'm 3.5 m", "(a) ，b", "", "", None, "中ab c"]

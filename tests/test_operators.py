@@ -206,10 +206,10 @@ def test_cipher_goes_on_past_the_surrogates(spark):
 
 def test_word_pieces_and_segments(spark):
     words = spark.createDataFrame([("unaffable",), ("unx",), ("un",), (None,), ("u" * 300,)], "word string")
-    got = {r["word"]: r["pieces"] for r in vocab.word_pieces(words, ["un", "##aff", "##able", "[UNK]"]).collect()}
+    got = {r["word"]: r["pieces"] for r in vocab.word_pieces(words, spark.createDataFrame([("un",), ("##aff",), ("##able",), ("[UNK]",)], "piece string")).collect()}
     assert got == {"unaffable": ["un", "##aff", "##able"], "unx": ["unx"], "un": ["un"], "u" * 300: ["u" * 300]}
     lines = spark.createDataFrame([(1, "abcd"), (2, None), (3, "")], "id bigint, t string")
-    cuts = [r["tokens"] for r in vocab.random_segments(lines, "id", "t", ["ab", "bcd"]).collect()]
+    cuts = [r["tokens"] for r in vocab.random_segments(lines, "id", "t", spark.createDataFrame([("ab",), ("bcd",)], "ngram string")).collect()]
     assert cuts and all("".join(c) == "abcd" for c in cuts) and len({tuple(c) for c in cuts}) == len(cuts)
 
 
