@@ -13,7 +13,7 @@ from kindred.llm.copies import collapse_copies, copies_found
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
 from kindred.llm.lookalike import LOOK, SAME, consistent_texts, look_alikes_found
-from kindred.llm.overlap import overlap_report, overlaps_found
+from kindred.llm.overlap import overlap_links, overlap_report, overlaps_found
 from kindred.llm.packing import pack_texts
 from kindred.llm.terms import term_counts
 from kindred.session import table
@@ -38,6 +38,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(table(spark, folder, "pairs"))
 
 
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap_links(table(spark, folder, "pairs"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return look_alikes_found(table(spark, folder, "pairs"))
 
@@ -86,7 +90,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found", "p9_found", "p9_rates"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p2_links", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found", "p9_found", "p9_rates"]
     return {name: globals()[name] for name in names}
 
 
@@ -103,7 +107,7 @@ counts AS (SELECT token, count(*) AS word_counts, count(DISTINCT doc_id) AS word
 marked AS (SELECT *, CASE WHEN word_docs < 3 THEN 'rare' WHEN word_docs > 0.05 * (SELECT count(*) FROM docs) THEN 'common' END AS mark FROM counts)"""
 
 # Chinese characters are set apart by blanks, then runs of letters and digits are terms.
-APART = "regexp_extract_all(regexp_replace(lower({0}), '([\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{31FFF}}\\x{{2E80}}-\\x{{2FDF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\x{{2E80}}-\\x{{2FDF}}]+')"
+APART = "regexp_extract_all(regexp_replace(lower({0}), '([\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{20000}}-\\x{{3347F}}\\x{{2E80}}-\\x{{2FDF}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\x{{2E80}}-\\x{{2FDF}}]+')"
 P6_SCORES = f"""
 terms AS (SELECT pair_id, unnest(list_concat(coalesce({APART.format("text_a")}, []), coalesce({APART.format("text_b")}, []))) AS term FROM pairs),
 joint AS (SELECT pair_id, term, count(*) AS n FROM terms GROUP BY ALL),
@@ -123,6 +127,12 @@ sizes AS (SELECT pair_id, count(*) AS n FROM terms GROUP BY pair_id),
 common AS (SELECT x.pair_id AS a, y.pair_id AS b, count(*) AS c FROM terms x JOIN terms y USING (term) WHERE x.train AND NOT y.train GROUP BY ALL),
 near AS (SELECT a, b FROM common JOIN sizes x ON x.pair_id = a JOIN sizes y ON y.pair_id = b WHERE c >= 0.85 * (x.n + y.n - c) - 1e-9
   UNION SELECT x.pair_id, y.pair_id FROM part x JOIN part y USING (k) WHERE x.train AND NOT y.train)"""
+P2_REPORT = f"""{P2_FOUND},
+told AS (SELECT a, b, x.k = y.k AS same, coalesce(c, 0)::DOUBLE / greatest(n, 1) AS covered FROM near JOIN part x ON x.pair_id = a JOIN part y ON y.pair_id = b LEFT JOIN common USING (a, b) LEFT JOIN sizes s ON s.pair_id = b),
+best AS (SELECT b, count(*) AS links, max(same::INTEGER) AS same, max(covered) AS covered FROM told GROUP BY b)"""
+P2_LINKS = f"""{P2_FOUND},
+sets AS (SELECT pair_id, train, k, (SELECT list_sort(list(term)) FROM terms t WHERE t.pair_id = p.pair_id) AS w FROM part p),
+linked AS (SELECT a AS pair_id, count(*) AS n_links FROM near GROUP BY a UNION ALL SELECT b, count(*) FROM near GROUP BY b)"""
 
 
 def _folded(column: str) -> str:
@@ -149,6 +159,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {P1_GROUPS} SELECT keep_id, pair_id AS copy_id FROM grouped WHERE pair_id <> keep_id",
         "p1_records": f"WITH {P1_GROUPS} SELECT pair_id, text_a, text_b, labels, n_copies FROM grouped WHERE pair_id = keep_id",
         "p2_found": f"WITH {P2_FOUND} SELECT least(a, b) AS id_1, greatest(a, b) AS id_2 FROM near",
+        "p2_report": f"""WITH {P2_REPORT} SELECT split_name, source, count(*) AS n_records, count(links) AS n_overlapping, coalesce(sum(links), 0)::BIGINT AS n_pairs, coalesce(sum(same), 0)::BIGINT AS n_equal, round(avg(covered), 6) AS mean_coverage
+FROM pairs LEFT JOIN best ON b = pair_id WHERE split_name IN ('dev', 'test') GROUP BY split_name, source""",
+        "p2_links": f"WITH {P2_LINKS} SELECT pair_id, min(pair_id) OVER (PARTITION BY train, k, w) AS class_id, n_links FROM linked JOIN sets USING (pair_id)",
         "p3_found": f"WITH {P3_FOUND} SELECT DISTINCT x.pair_id AS id_1, y.pair_id AS id_2, field_name FROM folded x JOIN folded y USING (field_name, f) WHERE x.pair_id < y.pair_id AND x.t <> y.t AND trim(f) <> ''",
         "p6_found": f"WITH {P6_FOUND} SELECT query_id, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS r FROM sums) WHERE r = 1",
         "p6_scores": f"WITH {P6_SCORES} SELECT pair_id, term, n, round(greatest(0, ln(n * mass / (total * size ** 0.75))), 6) AS score FROM joint JOIN sizes USING (pair_id) JOIN totals USING (term), mass",

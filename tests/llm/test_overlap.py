@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 import numpy as np
 import pyarrow as pa
 
-from kindred.llm.overlap import TOKEN, cross_split_overlaps, overlap_report, overlaps_found
+from kindred.llm.overlap import TOKEN, align, cross_split_overlaps, overlap_links, overlap_report, overlaps_found
 from kindred.llm.winnow import fingerprints, guaranteed_run, records
 
 SCHEMA = "pair_id bigint, text_a string, text_b string, split_name string, source string, fp string, train boolean"
@@ -58,9 +58,46 @@ def test_no_pair_is_missed_and_none_is_made_up(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows, threshold)
 
 
+def test_frequent_seeds_are_split_without_loss(spark):
+    for seed, frequent in ((5, 1), (6, 8), (7, 30)):
+        # `frequent` 1: every seed is split, also one of tokens that nothing is known of
+        rows = made(250, seed)
+        got = overlaps_found(spark.createDataFrame(rows, SCHEMA), frequent=0, least_frequent=frequent)
+        assert sorted(map(tuple, got.collect())) == brute(rows, 0.85)
+
+
+def test_records_of_a_template_are_no_candidates_of_each_other():
+    texts = [f"how do i open the account of user n{k} p{k} q{k} on the web page" for k in range(3000)]
+    r = records([pa.array(texts), pa.array([""] * len(texts))])
+    common, n = np.unique(r.token, return_counts=True)
+    weights = (8 * np.log2(n)).astype(np.uint64)
+    most = [max(np.unique(fingerprints(r, 0.85, common, weights, frequent)[1], return_counts=True)[1]) for frequent in (400, 80)]
+    assert most[0] > 1000 and most[1] == 1
+
+
+def test_alignment_of_whole_texts():
+    x = "the quick brown fox jumps over the lazy dog".split()
+    assert align(x, x)[1] == set(x)
+    assert align(x, "the quick red fox jumps over a lazy dog".split())[1] == {"the", "quick", "fox", "jumps", "over", "lazy", "dog"}
+    # turned around, only one of both parts follows the chain
+    assert align(x, [*x[4:], *x[:4]])[1] == {"jumps", "over", "the", "lazy", "dog"} and align([], x)[1] == set()
+    assert align("a a a b".split(), "a a b".split())[1] == {"a", "b"}
+
+
+def test_links_count_rows_without_pairs_of_rows(spark):
+    rows = made(250, 8) + [(1000 + k, "one two three four five six", "seven", "train" if k % 3 else "test", None, None, None) for k in range(60)]
+    pairs = brute(rows, 0.85)
+    want: dict = {}
+    for x, y in pairs:
+        want[x], want[y] = want.get(x, 0) + 1, want.get(y, 0) + 1
+    got = overlap_links(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["pair_id"]: r["n_links"] for r in got} == want and len(got) == len(want)
+    assert {r["class_id"] for r in got if r["pair_id"] >= 1000} == {1000, 1001}
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.sets(st.integers(0, 200), min_size=1, max_size=60), st.randoms(use_true_random=False))
-def test_windows_guarantee_a_shared_fingerprint(words, draw):
+@given(st.sets(st.integers(0, 200), min_size=1, max_size=60), st.randoms(use_true_random=False), st.sampled_from([0, 1, 3, 60]))
+def test_windows_guarantee_a_shared_fingerprint(words, draw, frequent):
     a = sorted(words)
     b = [w for w in a if draw.random() > 0.1] + [draw.randint(201, 300) for _ in range(draw.randint(0, 4))]
     if not b or len(set(a) & set(b)) < 0.85 * len(set(a) | set(b)):
@@ -68,7 +105,7 @@ def test_windows_guarantee_a_shared_fingerprint(words, draw):
     texts = [" ".join(f"x{w}" for w in t) for t in (a, b)]
     r = records([pa.array(texts), pa.array(["", ""])])
     common = np.unique(r.token)[::2]
-    owner, fp = fingerprints(r, 0.85, common, np.arange(len(common), dtype=np.uint64) % 7)
+    owner, fp = fingerprints(r, 0.85, common, np.arange(len(common), dtype=np.uint64) % 7, frequent)
     assert set(fp[owner == 0]) & set(fp[owner == 1])
 
 
@@ -92,7 +129,7 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     assert sorted(map(tuple, overlaps_found(df).collect())) == [(1, 2), (6, 7)]
     assert overlaps_found(spark.createDataFrame([], SCHEMA)).collect() == []
     found = {r["eval_id"]: r for r in cross_split_overlaps(df).by_row().collect()}
-    assert found[2]["equal"] and found[2]["similarity"] == 1.0 and found[2]["seeds"] == 5
+    assert found[2]["equal"] and found[2]["similarity"] == 1.0 and found[2]["seeds"] == 6 and found[2]["eval_aligned"] == 1.0
     report = {(r["split_name"], r["source"]): r for r in overlap_report(df).collect()}
     assert report["test", None]["n_records"] == 2 and report["test", None]["n_pairs"] == 1 and report["dev", "s"]["n_overlapping"] == 1
 
