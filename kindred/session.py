@@ -66,5 +66,20 @@ def broadcast_upto(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if small else df), small
 
 
+def salted_join(many: DataFrame, few: DataFrame, key: str, counts: DataFrame, *, hot_share: float = 1 / 1024, salts: int = 64) -> DataFrame:
+    """`many` joined with `few` on `key`, where a key may hold a large part of `many`.
+
+    `counts` has (key, n), the rows of `many` by key; give it checkpointed or cached. Keys with at least a share `hot_share` of all rows are at most
+    1 / hot_share, which bounds what is broadcast. Their rows are spread over `salts` parts by a hash of the row, and their rows of
+    `few` are repeated for each part; all others join as they are.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") >= max(1, hot_share * total)).select(key, F.lit(salts).alias("__salts")))
+    parts = F.coalesce("__salts", F.lit(1))
+    spread = many.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("__salts")
+    repeated = few.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__salts")
+    return spread.join(repeated, [key, "__salt"]).drop("__salt")
+
+
 def package_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
