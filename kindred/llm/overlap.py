@@ -230,7 +230,7 @@ def cross_split_overlaps(
     held_out: tuple[str, ...] = ("dev", "test"),
     threshold: float = 0.85,
     common_tokens: int = 65_536,
-    frequent: float = 0.03,
+    frequent: float = 0.04,
     least_frequent: int = 1024,
     broadcast_rows: int = 1_000_000,
 ) -> Overlaps:
