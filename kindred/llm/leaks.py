@@ -9,11 +9,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.codepoints import mix, tokens
-from kindred.session import cut
+from kindred.session import broadcast_upto, cut, parallel, salted_join
 
 #: Where a sentence ends, for the instruction that an item opens with.
 ENDS = re.compile(r"(?<=[.?!。？！])")
@@ -35,61 +35,49 @@ def positional_terms(texts: pa.Array) -> Terms:
     return Terms(t.row[at], mix(mix(t.hash[at], 23) + t.hash[at + 1], 29), pos[at], size)
 
 
-class Item(NamedTuple):
-    id: int
-    terms: np.ndarray
-    size: int
-
-
-def wording(rows: list[Row], openings: dict[str, int], shared_by: int) -> list[Item]:
-    """The items without a standard instruction: an opening sentence that at least `shared_by` items have."""
-    texts = []
-    for _, text in rows:
-        opening = ENDS.split(text)[0]
-        texts.append(text[len(opening) :] if openings.get(opening.strip().lower(), 0) >= shared_by and len(opening) < len(text) else text)
-    t = positional_terms(pa.array(texts, pa.string()))
-    return [Item(rows[k][0], t.term[t.row == k], int(t.size[k])) for k in range(len(rows))]
-
-
-def document_frequency(docs: DataFrame, text_col: str, terms: np.ndarray) -> np.ndarray:
-    """How many documents hold each of the sorted `terms`."""
+def item_terms(items: DataFrame, shared_by: int, broadcast_rows: int) -> DataFrame:
+    """(item, term, at, size) of (item, item_id, text), without standard instructions: an opening sentence that at least `shared_by` items have."""
+    opening = F.split("text", ENDS.pattern, 2)[0]
+    key = F.trim(F.lower(opening))
+    shared = cut(items.groupBy(key.alias("opening")).agg(F.count_distinct("item_id").alias("n")).where(F.col("n") >= shared_by).select("opening"))
+    told = items.withColumn("opening", key).withColumn("skip", F.length(opening))
+    instructed = told.join(broadcast_upto(shared, broadcast_rows)[0], "opening", "left_semi").where(F.col("skip") < F.length("text"))
+    own = told.join(broadcast_upto(instructed.select("item"), broadcast_rows)[0], "item", "left_anti").select("item", "text")
+    worded = own.unionAll(instructed.select("item", F.col("text").substr(F.col("skip") + 1, F.length("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(terms), np.int64)
         for batch in batches:
-            t = positional_terms(batch.column(0))
-            at = np.minimum(np.searchsorted(terms, t.term), len(terms) - 1)
-            hit = terms[at] == t.term
-            held = np.unique(t.row[hit] * len(terms) + at[hit]) % len(terms)
-            counts += np.bincount(held, minlength=len(terms))
-        some = np.nonzero(counts)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["k", "n"])
+            t = positional_terms(batch.column(1))
+            columns = [batch.column(0).take(pa.array(t.row)), pa.array(t.term.view(np.int64)), pa.array(t.pos.astype(np.int32)), pa.array(t.size[t.row].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "term", "at", "size"])
 
-    out = np.zeros(len(terms), np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        out[r["k"]] = r["n"]
-    return out
+    return worded.mapInArrow(run, "item bigint, term bigint, at int, size int")
 
 
-def positional_index(docs: DataFrame, id_col: str, text_col: str, terms: np.ndarray) -> DataFrame:
-    """(term, doc_id, pos): the postings of the sorted `terms`, which no query goes beyond."""
+def positional_index(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """(doc_id, part, terms, pos): the postings of each text of (doc_id, part, text), of the sorted `wanted` terms only, or of all where that is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = positional_terms(batch.column(1))
-            at = np.minimum(np.searchsorted(terms, t.term), len(terms) - 1)
-            hit = terms[at] == t.term
-            ids = batch.column(0).take(pa.array(t.row[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(t.term[hit].view(np.int64)), ids, pa.array(t.pos[hit].astype(np.int32))], ["term", "doc_id", "pos"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"term bigint, doc_id {kind}, pos int")
-
-
-def _runs(item: Item, terms: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item position, document position, tokens) of the longest exact runs that both hold."""
-    order = np.argsort(item.terms, kind="stable")
-    ranked = item.terms[order]
+            t = positional_terms(batch.column(2))
+            row, term, pos = t.row, t.term, t.pos
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, term), len(wanted) - 1)
+                hit = wanted[at] == term
+                row, term, pos = row[hit], term[hit], pos[hit]
+            held, first = np.unique(row, return_index=True)
+            offsets = pa.array(np.append(first, len(row)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(term.view(np.int64)), pa.array(pos.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(held)), batch.column(1).take(pa.array(held)), *lists], ["doc_id", "part", "terms", "pos"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, part bigint, terms array<bigint>, pos array<int>")
+
+
+def _runs(item: np.ndarray, terms: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int]]:
+    """(item position, document position, tokens) of the longest exact runs that both hold; `item` has the terms of an item by position."""
+    order = np.argsort(item, kind="stable")
+    ranked = item[order]
     low, high = np.searchsorted(ranked, terms, "left"), np.searchsorted(ranked, terms, "right")
     n = high - low
     if not n.any():
@@ -135,6 +123,49 @@ def best_passage(runs: list[tuple[int, int, int]], gap: int) -> tuple[int, int,
     return held, path[0][0], path[-1][0] + path[-1][2], path[0][1], path[-1][1] + path[-1][2]
 
 
+def accepted_passage(runs: list[tuple[int, int, int]], gap: int, size: int, share: float, density: float) -> tuple[int, int, int, int, int] | None:
+    """The chain of runs that holds most among those that span `share` of the item's `size` tokens with at least `density` of them held; None if no chain does.
+
+    The chain of the highest score is tried first. Where it falls short, the most that any chain from one run to another holds is
+    found for all pairs of a first and a last run, so a shorter, denser passage is not lost behind a longer, sparser one.
+    """
+
+    def fits(held: float, start: int, end: int) -> bool:
+        return end - start >= share * size - 1e-9 and held >= density * max(end - start, 1) - 1e-9
+
+    best = best_passage(runs, gap)
+    if fits(*best[:3]):
+        return best
+    a, b, n = (np.array(x) for x in zip(*runs))
+    covered = np.zeros(size + 1, np.int64)
+    np.add.at(covered, a, 1)
+    np.add.at(covered, np.minimum(a + n, size), -1)
+    if (np.cumsum(covered[:size]) > 0).sum() < density * share * size - 1e-9:
+        return None
+    before, gains = [], []
+    for k in range(len(runs)):
+        over = np.maximum(0, np.maximum(a[:k] + n[:k] - a[k], b[:k] + n[:k] - b[k]))
+        near = (a[k] - a[:k] - n[:k] <= gap) & (b[k] - b[:k] - n[:k] <= gap)
+        m = np.nonzero((a[:k] < a[k]) & (b[:k] < b[k]) & (over < n[k]) & near)[0]
+        before.append(m)
+        gains.append(n[k] - over[m])
+    found = []
+    for low in range(0, len(runs), 256):
+        starts = np.arange(low, min(low + 256, len(runs)))
+        held = np.full((len(starts), len(runs)), -np.inf)
+        held[starts - low, starts] = n[starts]
+        for k in range(low, len(runs)):
+            if len(before[k]):
+                held[:, k] = np.maximum(held[:, k], (held[:, before[k]] + gains[k]).max(1))
+        span = (a + n)[None, :] - a[starts][:, None]
+        s, k = np.nonzero((held >= density * np.maximum(span, 1) - 1e-9) & (span >= share * size - 1e-9))
+        found += [(int(held[i, j]), -int(b[starts[i]]), int(starts[i]), int(j)) for i, j in zip(s, k)]
+    if not found:
+        return None
+    most, _, first, last = max(found)
+    return most, int(a[first]), int(a[last] + n[last]), int(b[first]), int(b[last] + n[last])
+
+
 def leaked_items(
     docs: DataFrame,
     items: DataFrame,
@@ -147,93 +178,72 @@ def leaked_items(
     spare: float = 0.6,
     gap: int = 10,
     shared_by: int = 3,
-    block_items: int = 20_000,
+    most_terms: int = 1_000_000,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, held, item_share, density, doc_from, doc_to): documents with a passage that spans at least
     `share` of an item's wording, of which at least `density` stands in the document, in order.
 
-    A distributed positional index of the documents (terms of two neighbouring tokens, postings with positions) is built
-    for the anchors of each item and joined with the items' positions; documents that hold enough of an item's anchors are
-    candidates. The filter loses no passage that the rule accepts: a passage of n tokens holds at least density * n of
-    them in runs of two or more, so at least half as many of the item's terms. Of the least such number over all passages
-    the share `spare` is how many of the item's most frequent terms (by document frequencies counted over all documents)
-    are no anchors; the rest of it is how many anchors a document must hold. For candidates, all runs that both hold are chained in
+    One pass over the documents builds the distributed positional index (terms of two neighbouring tokens, with positions, one
+    row of postings for each text), restricted to terms of items; it is written to the checkpoint folder and all that follows reads it. Of each item the most
+    frequent terms (by counts over all documents) are spared and the others, from the rarest on, are anchors; the index meets them in one
+    join by term, and documents that hold enough of an item's anchors are candidates. The filter loses no passage that the rule accepts: a passage of n tokens holds at least
+    density * n of them in runs of two or more, so at least half as many of the item's terms. Of the least such number over
+    all passages the share `spare` is how many terms are no anchors; the rest of it is how many anchors a document must hold. For
+    candidates the lists of all terms of the item are intersected with offsets: runs that both hold, chained in
     order with gaps of at most `gap` tokens, which is the proximity match (an exact phrase is one run). The opening
     sentence that at least `shared_by` items share is an instruction and no wording.
 
-    Items are taken in blocks of at most `block_items`, which bounds what tasks receive; documents are read whole. Null
-    and empty texts, and items of fewer than two tokens, match nothing; rows with the same id count as one document or
-    item if they hold the same text, else each text is matched. Ties go to the earlier passage. Empty tables give an empty result;
-    other columns are not read.
+    Items stay a table. Up to `most_terms` distinct terms of items go to the tasks as an array (8 MB), so that other postings do not
+    leave them; beyond, postings are kept whole. Tables of up to `broadcast_rows` rows (counted) are broadcast; beyond, joins
+    shuffle, anchors of terms that much of the corpus holds with salts. Null and empty texts, and items of fewer than two
+    tokens, match nothing; rows with the same id count as one document or item if they hold the same text, else each text is
+    matched. Ties go to the earlier passage. Empty tables give an empty result; other columns are not read.
     """
-    docs = docs.where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.where(F.col(text_col).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_col).alias("part"), F.col(text_col).alias("text"))
     items = items.where(F.col(text_col).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text_col).alias("text")).distinct()
-    opening = F.trim(F.lower(F.split("text", ENDS.pattern, 2)[0]))
-    shared = items.groupBy(opening.alias("opening")).agg(F.countDistinct("item_id").alias("n")).where(F.col("n") >= shared_by)
-    openings = {r["opening"]: r["n"] for r in shared.orderBy(F.desc("n"), "opening").limit(10_000).collect()}
-    blocks = max(1, math.ceil(items.count() / block_items))
-    found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        part = _leaked_block(docs, wording([(r[0], r[1]) for r in rows], openings, shared_by), share, density, spare, gap)
-        found = part if found is None else found.unionAll(part)
-    best = F.max_by(F.struct("held", "item_share", "density", "doc_from", "doc_to"), F.struct("held", -F.col("doc_from")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
-
-
-def least_terms(size: int, share: float, density: float) -> int:
-    """How many of an item's terms any passage holds that spans at least `share` of its `size` tokens and has `density` of them in runs of two or more."""
-    span = max(2, math.ceil(share * size - 1e-9))
-    return max(1, math.ceil(math.ceil(density * span - 1e-9) / 2))
-
-
-def _leaked_block(docs: DataFrame, items: list[Item], share: float, density: float, spare: float, gap: int) -> DataFrame:
-    spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, held int, item_share double, density double, doc_from int, doc_to int"
-    items = [x for x in items if x.size >= 2]
-    if not items:
-        return spark.createDataFrame([], schema)
-    terms = np.unique(np.concatenate([x.terms for x in items]))
-    frequency = document_frequency(docs, "text", terms)
-    anchors, need = [], []
-    for k, x in enumerate(items):
-        f = frequency[np.searchsorted(terms, x.terms)]
-        least = least_terms(x.size, share, density)
-        dropped = min(int(spare * least), least - 1)
-        held = np.nonzero(f)[0]
-        rare = held[np.argsort(f[held], kind="stable")][: max(0, len(held) - dropped)]
-        anchors += [(int(x.terms[p].view(np.int64)), k, int(p)) for p in rare]
-        need.append(least - dropped)
-    wanted = np.unique(np.array([a[0] for a in anchors], np.int64).view(np.uint64))
-    if not len(wanted):
-        return spark.createDataFrame([], schema)
-    index = positional_index(docs, "doc_id", "text", wanted)
-    queries = F.broadcast(spark.createDataFrame(anchors, "term bigint, item int, at int"))
-    sizes = F.broadcast(spark.createDataFrame(list(enumerate(need)), "item int, need int"))
-    # no bound on offsets: gaps may shift the runs of one passage by more than an item's length
-    hits = index.join(queries, "term").groupBy("doc_id", "item").agg(F.count_distinct("at").alias("n"))
-    near = hits.join(sizes, "item").where("n >= need")
-    candidates = cut(near.groupBy("doc_id").agg(F.collect_set("item").alias("items")))
-    texts = docs.join(candidates, "doc_id")
+    items = cut(items.withColumn("item", F.monotonically_increasing_id()))
+    asked = cut(item_terms(items, shared_by, broadcast_rows))
+    terms, small = broadcast_upto(cut(asked.select("term").distinct()), most_terms)
+    # an array of the distinct terms; there is always one, which then matches nothing
+    wanted = np.unique(np.append(terms.toArrow()["term"].to_numpy(), 0).astype(np.int64).view(np.uint64)) if small else None
+    index = cut(positional_index(parallel(docs), wanted))
+    # a text's own repeats of a term count once
+    postings = index.select("doc_id", "part", F.explode(F.array_distinct("terms")).alias("term"))
+    frequency = cut(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(terms, "term", "left_semi"))
+    # terms that no document holds are no anchors
+    known = asked.join(broadcast_upto(frequency, broadcast_rows)[0], "term")
+    by_rarity = Window.partitionBy("item").orderBy("n", "at")
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(density * F.greatest(F.lit(2), F.ceil(share * F.col("size") - 1e-9)) - 1e-9) / 2))
+    dropped = F.least(F.floor(spare * least + 1e-9), least - 1)
+    ranked = known.select("item", "term", "at", F.row_number().over(by_rarity).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("item")).alias("held"), least.alias("least"), dropped.alias("dropped"))
+    anchors = cut(ranked.where(F.col("rank") <= F.col("held") - F.col("dropped")).select("item", "term", "at", (F.col("least") - F.col("dropped")).alias("need")))
+    few, small = broadcast_upto(anchors, broadcast_rows)
+    hits = postings.join(few, "term") if small else salted_join(postings, few, "term", frequency)
+    near = hits.groupBy("doc_id", "part", "item", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("doc_id", "part", "item")
+    by_item = asked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"), F.max("size").alias("size")).select("item", F.col("t.term").alias("wording"), "size")
+    wordings = broadcast_upto(asked, broadcast_rows)[1]
+    pairs = near.join(index, ["doc_id", "part"]).join(F.broadcast(by_item) if wordings else by_item, "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wants = batch.column("doc_id").to_pylist(), batch.column("items").to_pylist()
-            t = positional_terms(batch.column("text"))
-            first = np.searchsorted(t.row, np.arange(len(ids) + 1))
+            doc, pos, item = (batch.column(k) for k in ("terms", "pos", "wording"))
             out = []
-            for row, doc in enumerate(ids):
-                inside = slice(first[row], first[row + 1])
-                for k in wants[row]:
-                    x = items[k]
-                    runs = _runs(x, t.term[inside], t.pos[inside])
-                    if not runs:
-                        continue
-                    held, a, b, c, d = best_passage(runs, gap)
-                    if b - a >= share * x.size - 1e-9 and held >= density * max(b - a, 1) - 1e-9:
-                        out.append((doc, x.id, held, (b - a) / x.size, held / (b - a), c, d))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-            columns = list(zip(*out)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, q) for c, q in zip(columns, kinds)], ["doc_id", "item_id", "held", "item_share", "density", "doc_from", "doc_to"])
-
-    return texts.select("doc_id", "text", "items").mapInArrow(run, schema)
+            for row, size in enumerate(batch.column("size").to_pylist()):
+                own = item[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                runs = _runs(own, doc[row].values.to_numpy(zero_copy_only=False).view(np.uint64), pos[row].values.to_numpy(zero_copy_only=False))
+                best = accepted_passage(runs, gap, size, share, density) if runs else None
+                if best:
+                    held, start, end, first, last = best
+                    out.append((row, held, (end - start) / size, held / (end - start), first, last))
+            columns = list(zip(*out)) or [()] * 6
+            at = pa.array(columns[0], pa.int64())
+            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item").take(at), *(pa.array(c, q) for c, q in zip(columns[1:], kinds))], ["doc_id", "item", "held", "item_share", "density", "doc_from", "doc_to"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item bigint, held int, item_share double, density double, doc_from int, doc_to int"
+    found = pairs.select("doc_id", "item", "terms", "pos", "wording", "size").mapInArrow(run, schema)
+    named = found.join(broadcast_upto(items.select("item", "item_id"), broadcast_rows)[0], "item")
+    best = F.max_by(F.struct("held", "item_share", "density", "doc_from", "doc_to"), F.struct("held", -F.col("doc_from")))
+    return named.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

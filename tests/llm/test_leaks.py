@@ -1,6 +1,6 @@
 import random
 
-from kindred.llm.leaks import best_passage, leaked_items
+from kindred.llm.leaks import accepted_passage, best_passage, leaked_items
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string, held string", "item_id bigint, text string, n string"
 RULE = "Please choose the best answer below."
@@ -28,8 +28,8 @@ def test_planted_passages_and_nothing_else(spark):
     docs += [docs[0], (900, None, None, None), (901, "", None, None), (None, docs[0][1], None, None), (902, "word " * 60_000 + docs[0][1], None, None)]
     want.add((902, 0))
     items += [items[3], (50, None, None), (51, "", None), (52, "one", None), (53, RULE, None)]
-    for blocks in (5, 1000):
-        got = leaked_items(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), block_items=blocks).collect()
+    for bounds in ({}, {"most_terms": 5, "broadcast_rows": 2}):
+        got = leaked_items(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, ITEMS), **bounds).collect()
         assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got})
         # the instruction is an item of its own here and stands whole in some documents
         assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] != 53} == want
@@ -40,6 +40,20 @@ def test_chains_keep_order_and_gaps():
     assert best_passage([(5, 100, 5), (0, 110, 5)], 10)[0] == 5
 
 
+def test_a_dense_passage_is_found_behind_a_sparser_one():
+    # 22 of the first 22 tokens; a chance run further on makes the longer chain too sparse
+    runs = [(0, 100, 22), (32, 132, 2)]
+    assert best_passage(runs, 10)[:3] == (24, 0, 34)
+    assert accepted_passage(runs, 10, 40, 0.5, 0.75) == (22, 0, 22, 100, 122)
+    assert accepted_passage([(0, 100, 10), (32, 132, 2)], 10, 40, 0.5, 0.75) is None
+
+
+def test_ids_of_any_type_and_one_id_with_two_texts(spark):
+    docs = spark.createDataFrame([("a", "x y z w v u"), ("a", "one two three four five six"), ("b", "other words")], "doc_id string, text string")
+    items = spark.createDataFrame([("i", "x y z w v u"), ("j", "one two three four five six"), ("j", "x y z w v u")], "item_id string, text string")
+    assert {tuple(r)[:2] for r in leaked_items(docs, items).collect()} == {("a", "i"), ("a", "j")}
+
+
 def test_often_quoted_half_of_an_item(spark):
     item = [f"w{k}" for k in range(100)]
     other = [f"x{k}" for k in range(200)]
