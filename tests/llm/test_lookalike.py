@@ -1,8 +1,9 @@
 import itertools
+import random
 
 import pytest
 
-from kindred.llm.lookalike import build_trie, choose, consistent_texts, fold, look_alikes_found, spellings
+from kindred.llm.lookalike import build_trie, choose, consistent_texts, fold, letters_of, look_alike_classes, look_alikes_found, spellings, token_keys, word_keys
 
 SCHEMA = "pair_id bigint, text_a string, text_b string, text string, canonical string"
 SAME = [
@@ -49,9 +50,56 @@ def test_one_form_keeps_rows_columns_and_visible_differences(spark):
 def test_automaton_costs():
     trie = build_trie([("cop", 5), ("сор", 9), ("cap", 3), ("copy", 1)])
     assert {w for c, _, w in spellings(trie, "сo​p")} == {"cop", "сор"}
-    assert choose(trie, "сo​p") == "cop"
+    assert choose(spellings(trie, "сo​p"), "сo​p")[-1] == "cop"
     assert {w for _, _, w in spellings(trie, "cop", most=1.0)} == {"cop", "сор", "cap", "copy"}
-    assert choose(trie, "zzz") is None
+    assert choose(spellings(trie, "zzz"), "zzz") is None
+    # ligatures and accents apart are steps of their own
+    trie = build_trie([("file", 1), ("café", 1)])
+    assert spellings(trie, "ﬁle") == [(0, -1, "file")] and spellings(trie, "саfe​\u0301")[0][2] == "café" and not spellings(trie, "cafe")
+
+
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2])
+def test_no_word_within_the_cost_is_in_another_trie(most):
+    draw = random.Random(7)
+    words = sorted({"".join(draw.choice("abcé") for _ in range(draw.randint(1, 7))) for _ in range(300)})
+    tokens = ["".join(draw.choice("abсе​é") for _ in range(draw.randint(1, 7))) for _ in range(150)]
+    tries = {}
+    for w in words:
+        for k in word_keys(w, most):
+            tries.setdefault(k, []).append((w, 1))
+    for token in tokens:
+        found = {(c, w) for k in token_keys(token, most) for c, _, w in spellings(build_trie(tries.get(k, ())), token, most)}
+        assert found == {(d, w) for w in words if (d := distance(letters_of(token), letters_of(w))) <= most}
+
+
+def test_full_width_words_are_no_canonical_spelling(spark):
+    df = spark.createDataFrame([(1, "Ｐｅｎａｓｅｋ works", "x"), (2, "Penasek works", "ⅣⅩ ԼՍ"), (3, "Penasek", "IVX LU"), (4, "Pеnasek works", None)], "pair_id bigint, text_a string, text_b string")
+    assert {r["pair_id"]: r["text_a"] for r in consistent_texts(df).collect()} == {1: "Penasek works", 2: "Penasek works", 3: "Penasek", 4: "Penasek works"}
+    classes = {(r["pair_id"], r["field_name"]): (r["class_id"], r["n_links"]) for r in look_alike_classes(df).collect()}
+    assert classes == {(1, "text_a"): (1, 2), (2, "text_a"): (1, 2), (4, "text_a"): (1, 2), (2, "text_b"): (2, 1), (3, "text_b"): (2, 1)}
+
+
+def test_classes_count_the_pairs_of_each_row(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    want = {}
+    for r in look_alikes_found(df).collect():
+        for k in (r["id_1"], r["id_2"]):
+            want[k, r["field_name"]] = want.get((k, r["field_name"]), 0) + 1
+    assert {(r["pair_id"], r["field_name"]): r["n_links"] for r in look_alike_classes(df).collect()} == want
+
+
+def test_edits_reach_a_word_across_tries(spark):
+    df = spark.createDataFrame([(1, "dictionary", None), (2, "diсtionnary", None), (3, "iсtionary", None)], "pair_id bigint, text_a string, text_b string")
+    assert {r["pair_id"]: r["text_a"] for r in consistent_texts(df, most_cost=1.0).collect()} == {1: "dictionary", 2: "dictionary", 3: "dictionary"}
 
 
 @pytest.mark.parametrize("t", ["", "abc", "é", "？", "　", "中文", "가", "\U0001f600"])
