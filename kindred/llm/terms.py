@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from kindred.session import cut
 
 #: Identifiers per block, a power of two; a block's two arrays take 16 bytes an identifier.
 BLOCK = 1 << 13
+#: Terms of a chunk of records that are encoded together.
+CHUNK = 1 << 20
 #: Blocks that a task accumulates before it hands them on: 128 MB.
 MAX_BLOCKS = 1024
 
@@ -22,38 +25,29 @@ def distinct_records(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(tokens_col).alias("tokens"))
 
 
-def _partial_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: each term with its occurrences and records so far, handed on before the local dictionary grows large."""
-    index: dict[str, int] = {}
-    counts, records = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def flush() -> pa.RecordBatch:
-        n = len(index)
-        return pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), pa.array(counts[:n]), pa.array(records[:n])], ["token", "n", "d"])
-
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records in chunks: the distinct terms of each chunk and, record by record, the places of its terms among them."""
+    part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         lists = batch.column(0)
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        values = lists.flatten().dictionary_encode()
-        if not len(values):
-            continue
-        words = values.dictionary.to_pylist()
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        while len(index) > len(counts):
-            counts, records = np.concatenate([counts, np.zeros_like(counts)]), np.concatenate([records, np.zeros_like(records)])
-        codes = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        counts[: len(index)] += np.bincount(ids[codes], minlength=len(index))
-        once = np.unique(owner * len(words) + codes) % len(words)
-        records[: len(index)] += np.bincount(ids[once], minlength=len(index))
-        if len(index) >= 1 << 19:
-            yield flush()
-            index, counts, records = {}, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-    if index:
-        yield flush()
+        sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(lists):
+            # whole records, up to CHUNK terms unless a single one has more
+            reached = ends[first] - sizes[first] + CHUNK
+            last = max(first + 1, int(np.searchsorted(ends, reached, "right")))
+            values = lists[first:last].flatten().dictionary_encode()
+            if len(values):
+                arrays = values.dictionary, values.indices.cast(pa.int32()), pa.array(sizes[first:last].astype(np.int32))
+                lists_of = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), *lists_of], ["chunk", "words", "codes", "sizes"])
+                number += 1
+            first = last
 
 
 def _block_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds (term_id, n, d) rows up in one pair of arrays per block of identifiers."""
+    """Counts occurrences and records of the encoded terms of each chunk in one pair of arrays per block of identifiers."""
     blocks: dict[int, np.ndarray] = {}
 
     def flush() -> pa.RecordBatch:
@@ -66,14 +60,20 @@ def _block_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
     for batch in batches:
-        ids, n, d = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-        for block in np.unique(ids // BLOCK):
-            at = ids // BLOCK == block
-            sums = blocks.setdefault(int(block), np.zeros((BLOCK, 2), np.int64))
-            np.add.at(sums, ids[at] % BLOCK, np.stack([n[at], d[at]], 1))
-        if len(blocks) > MAX_BLOCKS:
-            yield flush()
-            blocks = {}
+        for row in range(batch.num_rows):
+            codes, sizes, ids = (batch.column(k)[row].values.to_numpy(zero_copy_only=False) for k in ("codes", "sizes", "ids"))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            # of each identifier of the chunk: its occurrences, and the records it is in
+            n = np.bincount(codes, minlength=len(ids))
+            d = np.bincount(np.unique(owner * len(ids) + codes) % len(ids), minlength=len(ids))
+            order = np.argsort(ids // BLOCK, kind="stable")
+            keys, first = np.unique(ids[order] // BLOCK, return_index=True)
+            for key, at in zip(keys.tolist(), np.split(order, first[1:])):
+                sums = blocks.setdefault(key, np.zeros((BLOCK, 2), np.int64))
+                sums[ids[at] % BLOCK] += np.stack([n[at], d[at]], 1)  # an identifier is once in a chunk
+            if len(blocks) > MAX_BLOCKS:
+                yield flush()
+                blocks = {}
     if blocks:
         yield flush()
 
@@ -110,19 +110,23 @@ def term_counts(
     """(token, word_counts, word_docs, mark) of every lower-cased term of the whole collection.
 
     Each id counts once, however often it is delivered; null ids, null and empty tokens and null arrays add nothing, but
-    a record without tokens counts as a record. mark is `rare` where fewer than `rare_below` records hold the term,
-    `common` where more than `common_above` of all records do, else null. Terms are combined in each task before they
-    are shuffled, so a term that is in every record costs one row a task. An empty table gives an empty result; other
+    a record without tokens counts as a record. Records are encoded in chunks over the chunk's own terms, the distinct terms of all chunks
+    get the identifiers of one global dictionary, and each chunk's terms are replaced by theirs; occurrences and records are then counted by identifier in
+    arrays, block by block, and the arrays summed by identifier range. mark is `rare` where fewer than `rare_below` records hold the term,
+    `common` where more than `common_above` of all records do, else null. A term
+    that is in every record is shuffled once a chunk. An empty table gives an empty result; other
     columns are not read.
     """
     docs = distinct_records(df, id_col, tokens_col)
     total = docs.agg(F.count(F.lit(1)).alias("total"))
     tokens = F.filter(F.transform("tokens", lambda t: F.lower(t)), lambda t: t.isNotNull() & (t != ""))
     lists = docs.where(F.col("tokens").isNotNull()).select(tokens.alias("tokens"))
-    partial = cut(lists.mapInArrow(_partial_terms, "token string, n bigint, d bigint"))
-    dictionary = term_dictionary(partial)
-    encoded = partial.join(dictionary, "token").select("term_id", "n", "d")
-    blocks = encoded.mapInArrow(_block_arrays, "block bigint, counts array<bigint>, records array<bigint>")
+    chunks = cut(lists.mapInArrow(_encoded, "chunk bigint, words array<string>, codes array<int>, sizes array<int>"))
+    words = chunks.select("chunk", F.posexplode("words").alias("code", "token"))
+    dictionary = term_dictionary(words)
+    ids = words.join(dictionary, "token").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("code", "term_id"))).alias("ids"))
+    encoded = chunks.select("chunk", "codes", "sizes").join(ids.select("chunk", F.col("ids.term_id").alias("ids")), "chunk")
+    blocks = encoded.select("codes", "sizes", "ids").mapInArrow(_block_arrays, "block bigint, counts array<bigint>, records array<bigint>")
     summed = blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "term_id bigint, word_counts bigint, word_docs bigint")
     mark = F.when(F.col("word_docs") < rare_below, "rare").when(F.col("word_docs") > common_above * F.col("total"), "common")
     return summed.join(dictionary, "term_id").crossJoin(F.broadcast(total)).select("token", "word_counts", "word_docs", mark.alias("mark"))
