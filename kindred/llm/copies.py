@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.codepoints import bare_hashes, mix
+from kindred.session import cut
 
 
 def formatting_keys(fields: list[pa.Array], ordered: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,15 +48,17 @@ def group_copies(
     fields: tuple[str, ...] = ("text_a", "text_b"),
     *,
     ordered: bool = False,
-    hot_rows: int = 50_000,
+    hot_share: float = 1e-6,
+    hot_rows: int = 8,
     max_hot: int = 4096,
     salts: int = 64,
 ) -> DataFrame:
     """(id, keep_id, n_copies): each row's group of equal records, its smallest id and its size.
 
-    Keys are 128 bits of the fields' code points without blanks, letter case and punctuation. Those that hold at least
-    `hot_rows` rows are found exactly from partial counts (a map task shuffles one row per key) and the `max_hot`
-    largest are kept, which bounds what is broadcast and leaves every other group below max(hot_rows, rows / max_hot).
+    Keys are 128 bits of the fields' code points without blanks, letter case and punctuation; ids and keys are written to the
+    checkpoint folder, so texts are read once. Keys that hold a share `hot_share` of all rows, and at least
+    `hot_rows`, are found exactly from partial counts (a map task shuffles one row per key) and the `max_hot`
+    largest are kept, which bounds what is broadcast and leaves every other group below max(hot_rows, hot_share * rows, rows / max_hot).
     Rows of hot keys are aggregated in two levels, by (key, salt) and then by key; all others in one shuffle by key.
     Representatives are the smallest ids.
 
@@ -63,9 +66,9 @@ def group_copies(
     the same id and key count as copies of each other. Rows with a null id are kept, and never represent a group with
     known ids. An empty table gives an empty result; other columns are not read.
     """
-    rows = keyed_rows(df, id_col, list(fields), ordered)
+    rows = cut(keyed_rows(df, id_col, list(fields), ordered))
     keyed, alone = rows.where("k1 IS NOT NULL"), rows.where("k1 IS NULL")
-    counts = keyed.groupBy("k1", "k2").count().where(F.col("count") >= hot_rows)
+    counts = keyed.groupBy("k1", "k2").count().where(F.col("count") >= max(hot_rows, hot_share * rows.count()))
     hot_keys = [(r["k1"], r["k2"]) for r in counts.orderBy(F.desc("count"), "k1", "k2").limit(max_hot).collect()]
     alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n_copies"))
     cold, key = keyed, ["k1", "k2"]
