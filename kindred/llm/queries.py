@@ -12,11 +12,11 @@ from kindred.llm.abuse import abuse_rates, abuse_scores
 from kindred.llm.copies import collapse_copies, copies_found
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
-from kindred.llm.lookalike import LOOK, SAME, consistent_texts, look_alikes_found
+from kindred.llm.lookalike import LOOK, MARKS, PLAIN, SAME, consistent_texts, look_alike_classes, look_alikes_found
 from kindred.llm.overlap import overlap_links, overlap_report, overlaps_found
 from kindred.llm.packing import pack_texts
 from kindred.llm.terms import term_counts
-from kindred.session import table
+from kindred.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
     return consistent_texts(table(spark, folder, "pairs").select("pair_id", "text_a", "text_b"))
 
 
+def p3_links(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alike_classes(table(spark, folder, "pairs"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return term_counts(table(spark, folder, "corpus")).where(F.col("mark").isNotNull()).select("token", "mark")
 
@@ -76,6 +80,23 @@ def p7_pack_2048(spark: SparkSession, folder: str) -> DataFrame:
     return pack_texts(table(spark, folder, "documents"), 2048)
 
 
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """For each capacity how many documents there are, and what breaks a rule: containers over their capacity, documents that are missing, in
+    pieces though they fit, or whose pieces do not follow each other, and tokens that stand in no container."""
+    out = None
+    docs = table(spark, folder, "documents").select("doc_id")
+    for capacity in (512, 2048):
+        packed = cut(pack_texts(table(spark, folder, "documents"), capacity))
+        over = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > capacity).agg(F.count(F.lit(1)).alias("over_full"))
+        whole = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces"), F.sum(F.col("start_token") - F.col("piece") * capacity).alias("shift"), F.sum(((F.col("n_tokens") > 0) & F.col("container_id").isNull()).cast("int")).alias("lost"))
+        kept = docs.join(whole, "doc_id", "left")
+        split = (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("n") / capacity))) | (F.col("shift") != 0)
+        told = kept.agg(F.count(F.lit(1)).alias("n_documents"), F.sum(F.col("pieces").isNull().cast("long")).alias("missing"), F.sum(split.cast("long")).alias("wrongly_split"), F.sum("lost").alias("lost"))
+        part = told.crossJoin(over).select(F.lit(capacity).alias("capacity"), "n_documents", "missing", "wrongly_split", "lost", "over_full")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -90,7 +111,7 @@ def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p2_links", "p3_found", "p3_texts", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p8_found", "p9_found", "p9_rates"]
+    names = ["p1_found", "p1_records", "p2_found", "p2_report", "p2_links", "p3_found", "p3_texts", "p3_links", "p4_found", "p4_counts", "p6_found", "p6_scores", "p7_pack_512", "p7_pack_2048", "p7_invariants", "p8_found", "p9_found", "p9_rates"]
     return {name: globals()[name] for name in names}
 
 
@@ -144,14 +165,32 @@ def _folded(column: str) -> str:
             if len(plain) == 1 and plain != c:
                 ones[c] = plain
     out = f"translate({column}, '{''.join(ones)}', '{''.join(ones.values())}')"
-    for c in map(chr, range(0xFB00, 0xFB07)):
-        out = f"replace({out}, '{c}', '{unicodedata.normalize('NFKC', c)}')"
+    for c in (chr(k) for low, high in SAME for k in range(low, high + 1)):
+        if len(plain := unicodedata.normalize("NFKC", c)) > 1:
+            out = f"replace({out}, '{c}', '{plain}')"
     return f"nfc_normalize(regexp_replace({out}, '[\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'))"
 
 
 P3_FOUND = f"""
 texts AS (SELECT pair_id, 'text_a' AS field_name, text_a AS t FROM pairs UNION ALL SELECT pair_id, 'text_b', text_b FROM pairs),
 folded AS (SELECT *, {_folded("t")} AS f FROM texts WHERE t IS NOT NULL)"""
+P3_LINKS = f"""{P3_FOUND},
+spelled AS (SELECT field_name, f, t, count(*) AS own, min(pair_id) AS low FROM folded WHERE trim(f) <> '' GROUP BY ALL),
+whole AS (SELECT field_name, f, sum(own) AS n, min(low) AS class_id FROM spelled GROUP BY ALL HAVING count(*) > 1)"""
+_HAN = "\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3347F}\\x{2E80}-\\x{2FDF}"
+_FREE = f"{MARKS}\\p{{Cf}}\\x{{FE00}}-\\x{{FE0F}}"
+# Pieces of odd texts, one after the other: tokens with their marks and format characters, and what stands between. A token that is not plain takes the
+# word of its folded form that is spelt so, else is the most frequent, else the smallest; words are of one script.
+P3_TEXTS = f"""{P3_FOUND},
+words AS (SELECT unnest(regexp_extract_all(regexp_replace(t, '([{_HAN}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\x{{2E80}}-\\x{{2FDF}}]+')) AS w FROM texts WHERE t IS NOT NULL),
+counted AS (SELECT w, count(*) AS n, {_folded("w")} AS f FROM words GROUP BY w),
+clean AS (SELECT * FROM counted WHERE (f = w AND regexp_matches(w, '\\p{{Latin}}')::INTEGER + regexp_matches(w, '\\p{{Greek}}')::INTEGER + regexp_matches(w, '\\p{{Cyrillic}}')::INTEGER < 2)
+  OR (f <> w AND w = nfc_normalize(w) AND (regexp_matches(w, '^[\\p{{Greek}}\\p{{N}}]+$') OR regexp_matches(w, '^[\\p{{Cyrillic}}\\p{{N}}]+$')) AND regexp_matches(w, '\\pL'))),
+spelling AS (SELECT f, first(w ORDER BY w <> f, n DESC, w) AS word FROM clean GROUP BY f),
+odd AS (SELECT DISTINCT t, regexp_extract_all(t, '[{_HAN}][{_FREE}]*|(?:[^\\PL{_HAN}]|[\\p{{N}}{_FREE}])+|.|\\n') AS parts FROM texts WHERE regexp_matches(t, '{PLAIN}')),
+parts AS (SELECT t, unnest(range(len(parts))) AS pos, unnest(parts) AS p FROM odd),
+put AS (SELECT t, pos, CASE WHEN regexp_full_match(p, '[\\x00-\\x7f]*|[\\x{{4E00}}-\\x{{9FFF}}]') THEN p WHEN regexp_full_match(p, '[\\p{{L}}\\p{{N}}{_HAN}{_FREE}]+') THEN coalesce(word, {_folded("p")}) ELSE {_folded("p")} END AS p FROM parts LEFT JOIN spelling ON f = {_folded("p")}),
+forms AS (SELECT t, nfc_normalize(string_agg(p, '' ORDER BY pos)) AS form FROM put GROUP BY t)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -163,8 +202,11 @@ def oracle_sql() -> dict[str, str]:
 FROM pairs LEFT JOIN best ON b = pair_id WHERE split_name IN ('dev', 'test') GROUP BY split_name, source""",
         "p2_links": f"WITH {P2_LINKS} SELECT pair_id, min(pair_id) OVER (PARTITION BY train, k, w) AS class_id, n_links FROM linked JOIN sets USING (pair_id)",
         "p3_found": f"WITH {P3_FOUND} SELECT DISTINCT x.pair_id AS id_1, y.pair_id AS id_2, field_name FROM folded x JOIN folded y USING (field_name, f) WHERE x.pair_id < y.pair_id AND x.t <> y.t AND trim(f) <> ''",
+        "p3_links": f"WITH {P3_LINKS} SELECT pair_id, field_name, class_id, n - own AS n_links FROM folded JOIN spelled USING (field_name, f, t) JOIN whole USING (field_name, f)",
+        "p3_texts": f"WITH {P3_TEXTS} SELECT pair_id, coalesce(a.form, text_a) AS text_a, coalesce(b.form, text_b) AS text_b FROM pairs LEFT JOIN forms a ON a.t = text_a LEFT JOIN forms b ON b.t = text_b",
         "p6_found": f"WITH {P6_FOUND} SELECT query_id, pair_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pair_id) AS r FROM sums) WHERE r = 1",
         "p6_scores": f"WITH {P6_SCORES} SELECT pair_id, term, n, round(greatest(0, ln(n * mass / (total * size ** 0.75))), 6) AS score FROM joint JOIN sizes USING (pair_id) JOIN totals USING (term), mass",
+        "p7_invariants": "SELECT unnest([512, 2048])::INTEGER AS capacity, n AS n_documents, 0::BIGINT AS missing, 0::BIGINT AS wrongly_split, 0::BIGINT AS lost, 0::BIGINT AS over_full FROM (SELECT count(*) AS n FROM documents)",
         "p4_found": f"WITH {P4_COUNTS} SELECT token, mark FROM marked WHERE mark IS NOT NULL",
         "p4_counts": f"WITH {P4_COUNTS} SELECT token, word_counts, word_docs, mark FROM marked",
     }
