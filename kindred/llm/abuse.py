@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.codepoints import CJK, LIMIT, OTHER, WORD, Decoded, decode, mix, tables, tokens_of
@@ -31,9 +32,9 @@ SEEDS = {
 }
 
 
-def _undisguised(d: Decoded) -> Decoded:
-    """Look-alikes and stand-ins by their letters; ignorables, fillers within words and drawn-out letters gone."""
-    points, row = d.points, d.row
+@lru_cache(maxsize=1)
+def _stand_ins() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the letter it stands for, and whether it is passed over."""
     kind, _ = tables()
     table = np.arange(LIMIT, dtype=np.uint32)
     for a, b in (CYRILLIC, GREEK, LEET):
@@ -46,6 +47,14 @@ def _undisguised(d: Decoded) -> Decoded:
         table[ord(c)] = 32
     ignored = np.zeros(LIMIT, bool)
     ignored[[0xAD, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0x300, 0x370)]] = True
+    return table, ignored
+
+
+def _undisguised(d: Decoded) -> Decoded:
+    """Look-alikes and stand-ins by their letters; ignorables, fillers within words and drawn-out letters gone."""
+    points, row = d.points, d.row
+    kind, _ = tables()
+    table, ignored = _stand_ins()
     keep = ~ignored[points]
     points, row = table[points[keep]], row[keep]
     k = kind[points]
@@ -166,14 +175,51 @@ def _take(s: Stretches, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s.feature[at], start
 
 
-def _out_of_fold(s: Stretches, fold: np.ndarray, folds: int, before: np.ndarray, y: np.ndarray, importance: np.ndarray) -> np.ndarray:
-    """Each stretch's probability from a model that saw no stretch of its document."""
-    out = np.zeros(len(s.start))
-    for k in range(folds):
-        seen, held = np.nonzero((fold != k) & (importance > 0))[0], np.nonzero(fold == k)[0]
-        if len(seen) and len(held):
-            out[held] = fit_link(*_take(s, seen), before[seen], y[seen], importance[seen]).predict(*_take(s, held), before[held])
-    return out
+def _pack(link: Link) -> bytes:
+    used = np.nonzero(link.weights)[0].astype(np.int32)
+    return b"".join((np.array([len(used), len(link.earlier)], np.int64).tobytes(), used.tobytes(), link.weights[used].tobytes(), link.earlier.tobytes(), np.array([link.bias]).tobytes()))
+
+
+def _unpack(data: bytes) -> Link:
+    n, e = np.frombuffer(data, np.int64, 2).tolist()
+    weights = np.zeros(WIDTH, np.float32)
+    weights[np.frombuffer(data, np.int32, n, 16)] = np.frombuffer(data, np.float32, n, 16 + 4 * n)
+    return Link(weights, np.frombuffer(data, np.float64, e, 16 + 8 * n).copy(), float(np.frombuffer(data, np.float64, 1, 16 + 8 * n + 8 * e)[0]))
+
+
+class Fits:
+    """Fits of one step of the chain, each in a task of its own: one for each fold and, at the end of a step, one of all stretches."""
+
+    def __init__(self, spark: SparkSession, s: Stretches, fold: np.ndarray, folds: int) -> None:
+        self.spark, self.fold, self.folds = spark, fold, folds
+        self.shared = spark.sparkContext.broadcast((s, fold))
+
+    def run(self, before: np.ndarray, y: np.ndarray, importance: np.ndarray, whole: bool) -> tuple[np.ndarray, Link | None]:
+        """Each stretch's probability from a model that saw no stretch of its document; and, if `whole`, a model of all."""
+        shared, step = self.shared, self.spark.sparkContext.broadcast((before, y, importance))
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, fold = shared.value
+            before, y, importance = step.value
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    seen, held = np.nonzero((fold != k) & (importance > 0))[0], np.nonzero(fold == k)[0]
+                    out = b""
+                    if len(seen) and (k < 0 or len(held)):
+                        link = fit_link(*_take(s, seen), before[seen], y[seen], importance[seen])
+                        out = _pack(link) if k < 0 else link.predict(*_take(s, held), before[held]).astype(np.float64).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out], pa.binary())], ["k", "out"])
+
+        first = -1 if whole else 0
+        rows = self.spark.range(first, self.folds, 1, self.folds - first).mapInArrow(fit, "k bigint, out binary").collect()
+        step.unpersist()
+        p, link = np.zeros(len(self.fold)), None
+        for k, out in rows:
+            if k < 0:
+                link = _unpack(bytes(out))
+            elif out:
+                p[self.fold == k] = np.frombuffer(bytes(out), np.float64)
+        return p, link
 
 
 class Chain(NamedTuple):
@@ -188,45 +234,61 @@ def _seeded(s: Stretches, words: str) -> np.ndarray:
     return np.add.reduceat(has, s.start // 3) > 0
 
 
-def fit_chain(texts: list[str], toxic: list[float], *, folds: int = 3, doubt: float = 0.6) -> Chain:
-    """The chain: one linear model for each category of SEEDS, in their order, then one for toxicity as such.
+def fit_chain(spark: SparkSession, texts: list[str], toxic: list[float], *, folds: int = 3, doubt: float = 0.6, seeds: dict[str, str] | None = None) -> Chain:
+    """The chain: one linear model for each category of `seeds` (SEEDS), in their order, then one for toxicity as such.
 
     Reviewers call documents toxic, not sentences, so stretches are learnt from first with their document's label and twice
     more with labels cleaned by out-of-fold probabilities: of a toxic document those above one half, or the highest if it is at least 0.15, later 0.3; a
     toxic document without any and a harmless one with a stretch of at least `doubt` are taken for wrong labels. A category's
     label is the stretch's, given a word of the category. Every link learns from the stretches' features and the out-of-fold
     probabilities of the links before it, so that it meets at prediction what it met in training. The threshold is the one with
-    the best F1 of out-of-fold document scores, the end of the first quarter of those within 0.01 of it.
+    the best F1 of out-of-fold document scores, the end of the first quarter of those within 0.01 of it. The models of a step's folds are fitted in tasks side by side.
     """
+    seeds = seeds or SEEDS
     s, label = stretches(pa.array(texts, pa.string())), np.array(toxic) > 0.5
     if not len(s.start) or not label[s.row].any():
-        return Chain((*SEEDS, "toxic"), (), 1.0)
+        return Chain((*seeds, "toxic"), (), 1.0)
     fold = (mix(np.arange(len(texts), dtype=np.uint64), 43) % np.uint64(folds)).astype(int)[s.row]
+    fits = Fits(spark, s, fold, folds)
     none = np.zeros((len(s.start), 0))
     positive = label[s.row]
     count = np.bincount(s.row, minlength=len(texts))[s.row]
     y, importance = positive.astype(float), np.where(positive, 1 / count, 1.0)
     for least in (0.15, 0.3):
-        p = _out_of_fold(s, fold, folds, none, y, importance)
+        p, _ = fits.run(none, y, importance, False)
         top = np.zeros(len(texts))
         np.maximum.at(top, s.row, p)
         y = (positive & (p >= np.clip(top[s.row], least, 0.5))).astype(float)
         wrong = ~positive & (p >= doubt)
         importance = np.where(positive & (y == 0), 0.1, 1.0) * ~wrong
     links, before = [], none
-    for words in SEEDS.values():
-        target = y * _seeded(s, words)
-        links.append(fit_link(*_take(s, np.nonzero(importance > 0)[0]), before[importance > 0], target[importance > 0], importance[importance > 0]))
-        before = np.column_stack([before, _out_of_fold(s, fold, folds, before, target, importance)])
-    links.append(fit_link(*_take(s, np.nonzero(importance > 0)[0]), before[importance > 0], y[importance > 0], importance[importance > 0]))
-    p = _out_of_fold(s, fold, folds, before, y, importance)
+    for words in seeds.values():
+        p, link = fits.run(before, y * _seeded(s, words), importance, True)
+        links.append(link)
+        before = np.column_stack([before, p])
+    p, link = fits.run(before, y, importance, True)
+    links.append(link)
+    fits.shared.unpersist()
     score = np.zeros(len(texts))
     np.maximum.at(score, s.row, p)
     cuts = np.linspace(0.2, 0.9, 71)
     f1 = [2 * (label & (score >= c)).sum() / max(1, label.sum() + (score >= c).sum()) for c in cuts]
     # a stretch is toxic or not, so a wide range of cuts does nearly equally well; the end of its first quarter
     best = cuts[np.nonzero(np.array(f1) >= max(f1) - 0.01)[0]]
-    return Chain((*SEEDS, "toxic"), tuple(links), float(best[len(best) // 4]))
+    return Chain((*seeds, "toxic"), tuple(links), float(best[len(best) // 4]))
+
+
+def chain_table(spark: SparkSession, chain: Chain) -> DataFrame:
+    """A chain as a table of a row a link, to be written and read again (`chain_of`)."""
+    rows = [(k, c, chain.threshold, _pack(link)) for k, (c, link) in enumerate(zip(chain.categories, chain.links))]
+    return spark.createDataFrame(rows, "place int, category string, threshold double, link binary")
+
+
+def chain_of(rows: DataFrame) -> Chain:
+    links = sorted(rows.collect(), key=lambda r: r["place"])
+    if not links:
+        return Chain((*SEEDS, "toxic"), (), 1.0)
+    return Chain(tuple(r["category"] for r in links), tuple(_unpack(bytes(r["link"])) for r in links), links[0]["threshold"])
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list[str], list[float]]:
@@ -239,15 +301,21 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, most: int) -> tuple[l
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
-def abuse_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_labelled: int = 8000) -> DataFrame:
-    """(doc_id, score, abusive, sexual, threat, hate, insult): of each document the highest probability of any of its stretches.
+def abuse_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, most_labelled: int = 8000) -> Chain:
+    """A chain fitted to at most `most_labelled` reviewed documents, a bounded sample; `chain_table` keeps it for later runs."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return fit_chain(docs.sparkSession, *labelled_documents(source, labels, most_labelled))
+
+
+def abuse_scores(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, score, abusive, sexual, threat, hate, insult): of each document the highest probability of any of its stretches.
 
-    A chain is fitted on the driver to at most `most_labelled` reviewed documents (a bounded sample) and sent to the tasks, which score every
-    stretch of every whole text. abusive is whether the score reaches the chain's threshold. Null and empty texts score
-    0; rows that share an id are scored each; without any toxic label all scores are 0; other columns are not read.
+    The chain is sent to the tasks, which score every stretch of every whole text; nothing is shuffled. abusive is whether
+    the score reaches the chain's threshold. Null and empty texts score 0; rows that share an id are scored each; a chain
+    without any toxic label scores 0; the columns `keep` come along, others are not read.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chain = fit_chain(*labelled_documents(source, labels, most_labelled))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c) for c in keep))
+    names = [c for c in chain.categories if c != "toxic"]
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # 4 MB a link
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,22 +329,30 @@ def abuse_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             if chain.links:
                 np.maximum.at(top, s.row, before)
             score = np.round(top[:, -1], 6)
-            columns = [pa.array(score), pa.array(score >= chain.threshold), *(pa.array(np.round(top[:, k], 6)) for k in range(len(SEEDS)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "score", "abusive", *SEEDS])
+            columns = [pa.array(score), pa.array(score >= chain.threshold), *(pa.array(np.round(top[:, k], 6)) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["doc_id", *keep, "score", "abusive", *names])
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, score double, abusive boolean, " + ", ".join(f"{c} double" for c in SEEDS)
-    return parallel(source).mapInArrow(run, schema)
+    kinds = [f"{c} {source.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return parallel(source).mapInArrow(run, ", ".join([*kinds, "score double", "abusive boolean", *(f"{c} double" for c in names)]))
 
 
-def abuse_rates(docs: DataFrame, labels: DataFrame, source_col: str = "source", **how) -> DataFrame:
-    """(source, n_documents, n_abusive, rate, mean_score) by source; null sources are a source of their own."""
-    scores = abuse_scores(docs, labels, **how)
-    sources = docs.select(F.col("doc_id"), F.col(source_col).alias("source"))
-    joined = sources.join(scores, "doc_id")
-    return joined.groupBy("source").agg(
+def abuse_rates(docs: DataFrame, chain: Chain, source_col: str = "source", **how) -> DataFrame:
+    """(source, n_documents, n_abusive, rate, mean_score) by source; null sources are a source of their own. The source goes along with its text."""
+    scores = abuse_scores(docs.withColumn("__source", F.col(source_col)), chain, keep=("__source",), **how)
+    return scores.groupBy(F.col("__source").alias("source")).agg(
         F.count(F.lit(1)).alias("n_documents"),
         F.sum(F.col("abusive").cast("long")).alias("n_abusive"),
         F.round(F.avg(F.col("abusive").cast("int")), 6).alias("rate"),
         F.round(F.avg("score"), 6).alias("mean_score"),
     )
+
+
+def held_out_figures(docs: DataFrame, labels: DataFrame, *, parts: int = 5, most_labelled: int = 8000) -> DataFrame:
+    """(n, toxic, flagged, both): of reviewed documents that the chain was not fitted to, a part in `parts` by a hash of the id, how many
+    reviewers call toxic, how many the chain flags, and how many both. The reviewers' wrong labels count as errors."""
+    held = F.pmod(F.xxhash64(F.lit(47), "doc_id"), F.lit(parts)) == 0
+    chain = abuse_chain(docs.where(~held), labels.where(~held), most_labelled=most_labelled)
+    votes = labels.where(held & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
+    told = abuse_scores(docs.where(held & F.col("text").isNotNull()).join(votes, "doc_id"), chain, keep=("toxic",))
+    one = F.col("toxic") > 0.5
+    return told.agg(F.count(F.lit(1)).alias("n"), F.sum(one.cast("long")).alias("toxic"), F.sum(F.col("abusive").cast("long")).alias("flagged"), F.sum((one & F.col("abusive")).cast("long")).alias("both"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.abuse import abuse_rates, abuse_scores
+from kindred.llm.abuse import abuse_chain, abuse_rates, abuse_scores
 from kindred.llm.copies import collapse_copies, copies_found
 from kindred.llm.distinctive import characteristic_matches, term_scores
 from kindred.llm.leaks import leaked_items
@@ -102,12 +102,13 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    scores = abuse_scores(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
-    return scores.where("abusive").select("doc_id")
+    docs = table(spark, folder, "documents")
+    return abuse_scores(docs, abuse_chain(docs, table(spark, folder, "doc_labels"))).where("abusive").select("doc_id")
 
 
 def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse_rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+    docs = table(spark, folder, "documents")
+    return abuse_rates(docs, abuse_chain(docs, table(spark, folder, "doc_labels")))
 
 
 def queries() -> dict[str, Query]:
