@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -79,8 +80,15 @@ def top_k(values: Column, k: int) -> Column:
 
 
 def log_bucket(offset: Column, size: int, most: int) -> Column:
-    """Relative positions as they are within half of `size`, beyond it in logarithmic buckets up to `most`."""
-    middle = size // 2
-    far = F.abs(offset)
-    log_pos = F.ceil(F.log(F.when(far <= middle, F.lit(middle)).otherwise(far) / middle) / F.log(F.lit((most - 1) / middle)) * (middle - 1)) + middle
-    return F.when(far < middle, offset).otherwise(log_pos * F.signum(offset)).cast("int")
+    """Relative positions as they are within half of `size`, beyond it in buckets of which each is wider than the last by one factor, up to `most`.
+
+    The borders of the buckets are known beforehand: the b-th ends at half * ratio ** b, ratio being such that the last, of half - 1, ends at
+    most - 1. A bucket's number is that of the borders below the distance; farther ones go on in the same way.
+    """
+    half, far = size // 2, F.abs(offset)
+    ratio = ((most - 1) / half) ** (1 / (half - 1))
+    borders = [half * ratio**b for b in range(half)]
+    within = sum((far > round(x, 9)).cast("int") for x in borders)
+    beyond = F.ceil(F.log(F.greatest(far, F.lit(1)) / half) / F.lit(math.log(ratio)))
+    bucket = F.when(far <= most - 1, within).otherwise(beyond) + half
+    return F.when(far < half, offset).otherwise(bucket * F.signum(offset)).cast("int")

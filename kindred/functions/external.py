@@ -37,6 +37,25 @@ def sentence_pieces(df: DataFrame, text_col: str, out_col: str = "ids", model: s
     return df.withColumn(out_col, run(F.col(text_col)))
 
 
+def piece_kinds(df: DataFrame, id_col: str, model: str = MODEL) -> DataFrame:
+    """`df` with `piece`, `special` (a control, unknown or unused piece) and `decodable` (known and not special) of each SentencePiece id; null stays null."""
+    with open(model, "rb") as file:
+        data = df.sparkSession.sparkContext.broadcast(file.read())
+
+    @F.pandas_udf("struct<piece: string, special: boolean, decodable: boolean>")
+    def run(col: pd.Series) -> pd.DataFrame:
+        m = _model(data.value)
+        rows = []
+        for i in col:
+            known = i == i and i is not None and 0 <= int(i) < m.vocab_size()
+            k = int(i) if known else 0
+            special = known and bool(m.is_control(k) or m.is_unknown(k) or m.is_unused(k))
+            rows.append((m.id_to_piece(k), special, not special) if known else (None, False, False))
+        return pd.DataFrame(rows, columns=["piece", "special", "decodable"])
+
+    return df.withColumn("__kind", run(F.col(id_col))).select("*", "__kind.*").drop("__kind")
+
+
 def segmented(df: DataFrame, text_col: str, out_col: str = "words", segment: Callable[[str], list[str]] | None = None, sep: str = " ") -> DataFrame:
     """`df` with the words of each text, joined by `sep`. `segment` is any function from a text to its words that the workers can import;
     without one PLAIN_WORD is used, within the JVM. Null stays null."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 import regex
@@ -141,14 +142,26 @@ def is_redundant(token: Column) -> Column:
     return (F.length(stem(token)) > 1) & ~is_special(token) & stem(token).rlike(f"[{CJK_CLASS}{PUNCTUATION_CLASS}]")
 
 
-def basic_tokens(text: Column) -> Column:
-    """BERT's first split: punctuation and Chinese characters stand alone, blanks part, controls go."""
+def basic_tokens(text: Column, pre_tokenize: Callable[[Column], Column] | None = None, known: list[str] | None = None) -> Column:
+    """BERT's first split: punctuation and Chinese characters stand alone, blanks part, controls go.
+
+    `pre_tokenize` makes an array of words of the text; those in `known` stay whole, the others are split as texts of their own.
+    """
+    if pre_tokenize is not None:
+        whole = (lambda w: w.isin(known)) if known else (lambda w: F.lit(False))
+        return F.flatten(F.transform(pre_tokenize(text), lambda w: F.when(whole(w), F.array(w)).otherwise(basic_tokens(w))))
     text = F.regexp_replace(text, f"([{PUNCTUATION_CLASS}{CJK_CLASS}])", " $1 ")
     text = F.regexp_replace(text, r"[\p{Zs}\n\r\t]", " ")
     text = F.regexp_replace(text, r"[\x{0}\x{FFFD}\p{Cc}\p{Cf}]", "")
     return present(F.split(text, " "))
 
 
+def translated(tokens: Column, names: dict[str, str]) -> Column:
+    """`tokens` with those that have another name replaced by it."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), t))
+
+
 @F.pandas_udf(StringType())
 def _strip_accents(texts: pd.Series) -> pd.Series:
     """One decomposition and one regular expression over a whole batch, its texts joined by a character that no text holds."""

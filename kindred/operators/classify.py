@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.functions.text import char_ngrams
+from kindred.functions.text import char_ngrams, split_literal, word_ngrams, word_tokens
 from kindred.operators.pairs import stratified_folds
 from kindred.operators.rank import bm25_document, idf
 from kindred.session import cut
+from kindred.sources import readers
 
 
 def joint_text(a: str = "text_a", b: str = "text_b") -> Column:
@@ -38,6 +43,61 @@ def hashed_features(pairs: DataFrame, id_col: str, *, low: int = 1, high: int =
     return IDF(inputCol="tf", outputCol="features", minDocFreq=2).fit(tf).transform(tf).select(id_col, "features")
 
 
+def inferred(train: DataFrame, asked: DataFrame, id_col: str, label_col: str = "labels", *, features: Callable[[DataFrame, str], DataFrame] = hashed_features, k: int = 5, seed: int = 1, c: float = 1.0, iterations: int = 20) -> DataFrame:
+    """(id, probability) of `asked`, the mean of what k models say, each fitted to the labelled pairs of `train` outside one of k stratified folds.
+
+    Features are weighted over the pairs of both tables. Ids of the two may be equal. Without both labels in a fold's pairs its model is left out; null if none is left.
+    """
+    labelled = train.where(F.col(label_col).isin(0, 1))
+    columns = ["text_a", "text_b"]
+    both = labelled.select(F.struct(F.lit(0).alias("part"), F.col(id_col).alias("id")).alias("key"), *columns)
+    both = both.unionAll(asked.select(F.struct(F.lit(1).alias("part"), F.col(id_col).alias("id")).alias("key"), *columns))
+    made = cut(features(both, "key"))
+    folds = stratified_folds(labelled, id_col, label_col, k, seed)
+    known = cut(made.where("key.part = 0").select(F.col("key.id").alias("id"), "features").join(folds, "id").withColumn("label", F.col("label").cast("double")))
+    wanted, n, parts = made.where("key.part = 1").select(F.col("key.id").alias("id"), "features"), known.count(), []
+    for fold in range(k):
+        own = known.where(F.col("fold") != fold)
+        if n and own.select("label").distinct().count() == 2:
+            model = LogisticRegression(regParam=1 / (c * n), standardization=False, maxIter=iterations).fit(own)
+            parts.append(model.transform(wanted).select("id", vector_to_array("probability")[1].alias("p")))
+    if not parts:
+        return wanted.select("id", F.lit(None).cast("double").alias("probability"))
+    return reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.avg("p").alias("probability"))
+
+
+def infer_file(spark: SparkSession, train_path: str, path: str, out_path: str, **how) -> None:
+    """The probabilities of the pairs of a file (two columns), in its order, as CSV without a header, from a labelled file (three columns)."""
+    train = readers.tsv_pairs(spark, train_path).withColumn("id", F.monotonically_increasing_id()).withColumn("labels", F.col("label").cast("int"))
+    lines = readers.numbered_lines(spark, path).select(F.col("position").alias("id"), split_literal(F.col("value"), "\t").alias("f"))
+    asked = lines.select("id", F.coalesce(F.get("f", F.lit(0)), F.lit("0")).alias("text_a"), F.coalesce(F.get("f", F.lit(1)), F.lit("0")).alias("text_b"))
+    readers.write_predictions(inferred(train, asked, "id", **how).orderBy("id").select("probability"), out_path)
+
+
+def infer_pair(spark: SparkSession, text_a: str, text_b: str, train_path: str, **how) -> float | None:
+    """The probability of one pair from a labelled file; lines of other than three fields are passed over."""
+    train = readers.pair_lines(readers.lines(spark, train_path), strict=True).withColumn("id", F.monotonically_increasing_id())
+    asked = spark.createDataFrame([(0, text_a, text_b)], "id bigint, text_a string, text_b string")
+    return inferred(train, asked, "id", **how).first()["probability"]
+
+
+def infer(spark: SparkSession, train_path: str, *, pair: tuple[str, str] | None = None, path: str | None = None, out_path: str | None = None, **how) -> float | None:
+    """One pair if there is one, else the file at `path`, whose probabilities go to `out_path`."""
+    if pair:
+        return infer_pair(spark, *pair, train_path, **how)
+    if path:
+        infer_file(spark, train_path, path, out_path, **how)
+    return None
+
+
+def word_features(pairs: DataFrame, id_col: str, *, low: int = 1, high: int = 2, width: int = 1 << 16) -> DataFrame:
+    """(id, features vector): word n-grams of both texts hashed to a fixed width, tf-idf weighted with smoothed frequencies and scaled to length 1."""
+    grams = pairs.select(F.col(id_col), word_ngrams(word_tokens(joint_text()), low, high).alias("grams"))
+    tf = HashingTF(inputCol="grams", outputCol="tf", numFeatures=width).transform(grams)
+    weighted = IDF(inputCol="tf", outputCol="raw").fit(tf).transform(tf)
+    return Normalizer(inputCol="raw", outputCol="features").transform(weighted).select(id_col, "features")
+
+
 def cross_validated(pairs: DataFrame, id_col: str, label_col: str = "labels", *, k: int = 5, seed: int = 1, c: float = 1.0, iterations: int = 20) -> DataFrame:
     """(fold, auc) of a logistic regression of the pairs labelled 0 or 1, each fold predicted by a model of the others."""
     labelled = pairs.where(F.col(label_col).isin(0, 1))

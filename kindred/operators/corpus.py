@@ -28,6 +28,7 @@ class CorpusIndex:
     df: DataFrame
     docs: DataFrame
     stats: DataFrame
+    written: bool = False
 
     @staticmethod
     def of(tokens: DataFrame) -> CorpusIndex:
@@ -44,7 +45,8 @@ class CorpusIndex:
         return CorpusIndex(tf, df, docs, stats)
 
     def cut(self) -> CorpusIndex:
-        return CorpusIndex(cut(self.tf), cut(self.df), cut(self.docs), cut(self.stats))
+        tf = cut(self.tf)
+        return CorpusIndex(tf, cut(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))), cut(self.docs), cut(self.stats), True)
 
 
 def vocabulary(tokens: DataFrame, *, min_count: int = 1, offset: int = 1, oov: str | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +96,11 @@ def without_components(vectors: DataFrame, directions: np.ndarray, shares: np.nd
     return vectors.select("doc_id", "vec").mapInArrow(run, f"doc_id {kind}, vec array<double>")
 
 
-def sif(tokens: DataFrame, vectors: DataFrame, n_components: int = 1, a: float = 1e-3) -> DataFrame:
-    """SIF embeddings; the directions are those of the pooled vectors, not centred."""
+def sif(tokens: DataFrame, vectors: DataFrame, n_components: int = 1, a: float = 1e-3, decompose: Callable[[DataFrame, int], np.ndarray] | None = None) -> DataFrame:
+    """SIF embeddings; the directions are those of the pooled vectors, not centred, unless `decompose`, a function of the vectors and the number of components, gives others."""
     weights = sif_weights(word_probabilities(tokens.select(F.explode("tokens").alias("token"))), a)
     s = pooled(tokens, vectors, weights)
-    return without_components(s, components(s, n_components, centred=False)[0])
+    return without_components(s, decompose(s, n_components) if decompose else components(s, n_components, centred=False)[0])
 
 
 def usif(tokens: DataFrame, vectors: DataFrame, n: int, n_components: int = 5) -> DataFrame:
@@ -114,6 +116,12 @@ def usif(tokens: DataFrame, vectors: DataFrame, n: int, n_components: int = 5) -
     return without_components(s, directions, power / power.sum() if power.sum() > 0 else np.zeros_like(power))
 
 
+def word_vectors(segments: DataFrame, *, size: int = 128, window: int = 5, min_count: int = 1, epochs: int = 10, rate: float = 0.025, seed: int = 1, partitions: int = 1) -> DataFrame:
+    """(token, vec): word2vec over the token lists of (…, tokens), such as random segmentations; trained in `partitions` parts whose models are averaged after each epoch."""
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, stepSize=rate, seed=seed, numPartitions=partitions, inputCol="tokens", outputCol="vec")
+    return model.fit(segments.select("tokens")).getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, digits: int = 6, group: str | None = None, above: float = -2.0) -> DataFrame:
     """(query_id, item_id, cosine, rank) of (item_id, vec) and (query_id, vec): exact neighbours of each query, itself left out.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -97,17 +98,44 @@ def bands(sigs: DataFrame, band: int = 20, row: int = 5, hash_name: str = "md5")
     return sigs.select("item_id", F.explode(keyed).alias("k")).select("item_id", "k.band", "k.bucket")
 
 
-def minhash_matches(items: DataFrame, queries: DataFrame, band: int = 20, row: int = 5, *, seed: int = 1, hash_name: str = "md5") -> DataFrame:
-    """(query_id, item_id): items that share at least one band's bucket with a query item other than themselves. Items without features match nothing."""
+def minhash_matches(items: DataFrame, queries: DataFrame | str, band: int = 20, row: int = 5, *, seed: int = 1, hash_name: str = "md5") -> DataFrame:
+    """(query_id, item_id): items that share at least one band's bucket with a query item other than themselves. Queries are a table of their own, or a
+    condition on `item_id` which items are asked for; then the index is written once and read for both. Items without features match nothing."""
     index = bands(signatures(items.where(F.size("features") > 0), band * row, seed), band, row, hash_name)
-    asked = bands(signatures(queries.where(F.size("features") > 0), band * row, seed), band, row, hash_name).withColumnRenamed("item_id", "query_id")
+    if isinstance(queries, str):
+        index = cut(index)
+        asked = index.where(queries).withColumnRenamed("item_id", "query_id")
+    else:
+        asked = bands(signatures(queries.where(F.size("features") > 0), band * row, seed), band, row, hash_name).withColumnRenamed("item_id", "query_id")
     return asked.join(index, ["band", "bucket"]).where("query_id <> item_id").select("query_id", "item_id").distinct()
 
 
-def near_duplicates(items: DataFrame, least: float = 0.8, band: int = 20, row: int = 5, *, seed: int = 1) -> DataFrame:
-    """(id_1, id_2, jaccard), id_1 < id_2: pairs whose feature sets have a Jaccard similarity of `least` or more, which is counted exactly for the pairs that share a band.
+class NearDuplicates(NamedTuple):
+    """pairs(set_1, set_2, jaccard) between classes of items of the same features, and members(item_id, set)."""
 
-    Items of the same features count once in the bands, so copies, however many, make no hot bucket; their pairs are listed at the end.
+    pairs: DataFrame
+    members: DataFrame
+
+    def by_row(self) -> DataFrame:
+        """(id_1, id_2, jaccard), id_1 < id_2: every pair of items, copies included: as many as there are."""
+        a, b = self.members.toDF("a", "set_1"), self.members.toDF("b", "set_2")
+        same = a.join(b, F.col("set_1") == F.col("set_2")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
+        pairs = self.pairs.join(a, "set_1").join(b, "set_2").select("a", "b", "jaccard").unionAll(same)
+        return pairs.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "jaccard")
+
+    def links(self) -> DataFrame:
+        """(item_id, class_id, n_links): each item, the smallest id of its class, and how many other items are near it. No pair of items is made."""
+        sizes = cut(self.members.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("class_id")))
+        both = self.pairs.select(F.col("set_1").alias("set"), F.col("set_2").alias("other")).unionAll(self.pairs.select("set_2", "set_1"))
+        near = both.join(sizes.select(F.col("set").alias("other"), "n"), "other").groupBy("set").agg(F.sum("n").alias("near"))
+        classes = sizes.join(near, "set", "left").select("set", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+        return self.members.join(classes, "set").select("item_id", "class_id", "n_links")
+
+
+def near_duplicates(items: DataFrame, least: float = 0.8, band: int = 20, row: int = 5, *, seed: int = 1) -> NearDuplicates:
+    """Classes of (item_id, features) whose feature sets have a Jaccard similarity of `least` or more, which is counted exactly for the pairs that share a band.
+
+    Items of the same features are one class in the bands, so copies, however many, make no hot bucket. Items without features take no part.
     A pair of similarity s shares a band with probability 1 - (1 - s^row)^band, 0.9996 at the defaults and s = 0.8.
     """
     some = items.where(F.size("features") > 0).select("item_id", F.array_sort("features").alias("features"))
@@ -120,10 +148,7 @@ def near_duplicates(items: DataFrame, least: float = 0.8, band: int = 20, row: i
     left, right = (sets.select(F.col("item_id").alias(i), F.col("set").alias(s), F.col("features").alias(f)) for i, s, f in (("query_id", "set_1", "f_1"), ("item_id", "set_2", "f_2")))
     both = F.size(F.array_intersect("f_1", "f_2"))
     near = met.join(left, "query_id").join(right, "item_id").select("set_1", "set_2", (both / (F.size("f_1") + F.size("f_2") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
-    a, b = member.toDF("a", "set_1"), member.toDF("b", "set_2")
-    same = a.join(b, F.col("set_1") == F.col("set_2")).where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    pairs = near.join(a, "set_1").join(b, "set_2").select("a", "b", "jaccard").unionAll(same)
-    return pairs.select(F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2"), "jaccard")
+    return NearDuplicates(cut(near), member)
 
 
 def stable_family(rounds: int, k: int, length: int, r: float = 1.0, seed: int = 1) -> list[list[tuple[list[float], float]]]:

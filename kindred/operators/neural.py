@@ -284,6 +284,20 @@ def re2(a: np.ndarray, b: np.ndarray, a_mask: np.ndarray, b_mask: np.ndarray, w:
     return dense(gelu(dense(np.concatenate([p, q, np.abs(p - q), p * q], -1), w, "re.h")), w, "re.out")
 
 
+def resized(a: np.ndarray, shape: tuple[int, ...], window: int = 2) -> np.ndarray:
+    """A weight matrix in another shape of the same norm: along each axis that grows, every `window` neighbours are repeated as a group until the
+    new size is reached; an axis that shrinks is cut."""
+    take = []
+    for old, new in zip(a.shape, shape):
+        times = -(-new // old)
+        if times > 1 and old % window:
+            raise ValueError(f"{old} rows are no groups of {window}")
+        at = np.arange(new)
+        take.append(at // (window * times) * window + at % window if times > 1 else at)
+    out = a[np.ix_(*take)]
+    return out * (np.linalg.norm(a) / np.linalg.norm(out))
+
+
 def random_transformer(*, vocab: int, size: int, layers: int, hidden: int, length: int, seed: int = 1) -> Weights:
     """Weights for tests and shape checks."""
     draw = np.random.default_rng(seed)

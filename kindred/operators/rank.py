@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions.arrays import pad
 from kindred.functions.text import word_ngrams
 from kindred.operators.corpus import CorpusIndex
+from kindred.session import broadcast_upto, cut, salted_join
 
 
 def idf(n_docs: Column, df: Column, e: float = 0.5, kind: str = "smooth") -> Column:
@@ -36,9 +37,18 @@ def scores(index: CorpusIndex, terms: DataFrame, method: str = "bm25", *, e: flo
     """(query_id, doc_id, score) of the documents that hold a term of the query; a repeated query token counts each time.
 
     An equi-join on token with the query's terms takes the place of a loop over documents; documents without a shared term score 0
-    and are not listed.
+    and are not listed. Only postings of the queries' tokens leave the corpus: they are written once, and document frequencies are counted
+    from them unless the index has them. Frequent tokens are spread by salts where the terms are too many to be broadcast.
     """
-    postings = index.tf.join(F.broadcast(terms) if _bounded(terms) else terms, "token").join(index.df, "token").crossJoin(F.broadcast(index.stats))
+    terms = cut(terms)
+    asked, _ = broadcast_upto(terms.select("token").distinct(), 1_000_000)
+    few, small = broadcast_upto(terms, 1_000_000)
+    held = index.tf.join(asked, "token", "left_semi")
+    held = held if index.written else cut(held)
+    df = index.df.join(asked, "token", "left_semi") if index.written else held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    few = few.join(df, "token") if small else terms.join(df, "token")
+    postings = held.join(F.broadcast(few), "token") if small else salted_join(held, few, "token", cut(df.select("token", F.col("df").alias("n"))))
+    postings = postings.crossJoin(F.broadcast(index.stats))
     weight = idf(F.col("n_docs"), F.col("df"), e, idf_kind)
     tf = F.col("cnt") / F.col("doc_len")
     if method == "tfidf":
@@ -50,10 +60,6 @@ def scores(index: CorpusIndex, terms: DataFrame, method: str = "bm25", *, e: flo
     return postings.groupBy("query_id", "doc_id").agg(F.sum(one * F.col("q_cnt")).alias("score"))
 
 
-def _bounded(terms: DataFrame, rows: int = 1_000_000) -> bool:
-    return terms.limit(rows + 1).count() <= rows
-
-
 def one_query(spark, tokens: list[str]) -> DataFrame:
     """The terms of a single query."""
     rows = [(0, tokens)]
@@ -78,8 +84,11 @@ def top_per_query(index: CorpusIndex, queries: DataFrame, k: int, method: str =
 def position_weights(tokens: DataFrame, method: str = "tfidf", *, e: float = 0.5, b: float = 0.75, k1: float = 2.0, k2: float = 1.2, query_tf: bool = False) -> DataFrame:
     """(doc_id, pos, token, weight): the weight of the token at each position of each document."""
     index = CorpusIndex.of(tokens)
-    words = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    joined = words.join(index.tf, ["doc_id", "token"]).join(index.df, "token").crossJoin(F.broadcast(index.stats))
+    words = tokens.select("doc_id", F.size("tokens").cast("long").alias("doc_len"), F.posexplode("tokens").alias("pos", "token"))
+    # a document's rows are together already, so its own counts need no shuffle
+    counted = words.withColumn("cnt", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "token")))
+    df = cut(index.df)
+    joined = salted_join(counted, df, "token", df.select("token", F.col("df").alias("n"))).crossJoin(F.broadcast(index.stats))
     tf = F.col("cnt") / F.col("doc_len")
     weight = idf(F.col("n_docs"), F.col("df"), e)
     if method == "tfidf":

@@ -5,20 +5,26 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.text import char_ngrams
 from kindred.operators.corpus import ranked_rows
+from kindred.session import broadcast_upto, cut
+
+
+#: Vocabularies of up to so many tokens (counted) are sent to all tasks; larger ones are joined by a shuffle.
+MOST_SENT = 1_000_000
 
 
 def texts_to_sequences(tokens: DataFrame, vocab: DataFrame, num_words: int | None = None, oov_index: int | None = None) -> DataFrame:
     """(doc_id, seq array<int>): indices of the tokens in order; unknown tokens and indices from `num_words` become `oov_index`, or go where that is None."""
+    known, _ = broadcast_upto(cut(vocab.select("token", "idx")), MOST_SENT)
     words = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
     idx = F.col("idx") if num_words is None else F.when(F.col("idx") < num_words, F.col("idx"))
     if oov_index is not None:
         idx = F.coalesce(idx, F.lit(oov_index))
-    coded = words.join(vocab.select("token", "idx"), "token", "left").select("doc_id", "pos", idx.alias("idx")).where("idx IS NOT NULL")
+    coded = words.join(known, "token", "left").select("doc_id", "pos", idx.alias("idx")).where("idx IS NOT NULL")
     seqs = coded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("s"))
     joined = tokens.select("doc_id").join(seqs, "doc_id", "left")
     return joined.select("doc_id", F.coalesce(F.transform("s", lambda x: x["idx"]), F.array().cast("array<int>")).alias("seq"))
@@ -26,7 +32,8 @@ def texts_to_sequences(tokens: DataFrame, vocab: DataFrame, num_words: int | Non
 
 def sequences_to_texts(seqs: DataFrame, vocab: DataFrame, oov_token: str | None = None) -> DataFrame:
     """(doc_id, text): tokens of the indices joined by blanks; unknown indices become `oov_token`, or go."""
-    words = seqs.select("doc_id", F.posexplode("seq").alias("pos", "idx")).join(vocab.select("token", "idx"), "idx", "left")
+    known, _ = broadcast_upto(cut(vocab.select("token", "idx")), MOST_SENT)
+    words = seqs.select("doc_id", F.posexplode("seq").alias("pos", "idx")).join(known, "idx", "left")
     token = F.coalesce("token", F.lit(oov_token)) if oov_token else F.col("token")
     words = words.select("doc_id", "pos", token.alias("token")).where("token IS NOT NULL")
     texts = words.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("s"))
@@ -113,6 +120,28 @@ def similar_words(matches: DataFrame, most: int = 15, least: float = 0.68) -> Da
     return fits.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most)
 
 
+def ngram_meta(words: DataFrame, matches: DataFrame, **how) -> DataFrame:
+    """(word, ids, n, similar) of (word): the code points of its characters, its length, and those of the words like it by `similar_words` of
+    (word, other, similarity), best first; words without a vector or a like are kept."""
+
+    def points(w: Column) -> Column:
+        return F.array_join(F.transform(F.split(w, ""), lambda c: F.ascii(c)).cast("array<string>"), " ")
+
+    near = similar_words(matches, **how).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("s"))
+    named = near.select("word", F.array_join(F.transform("s", lambda x: points(x["other"])), "|").alias("similar"))
+    distinct = words.select("word").where("word <> ''").distinct()
+    return distinct.join(named, "word", "left").select("word", points(F.col("word")).alias("ids"), F.length("word").alias("n"), F.coalesce("similar", F.lit("")).alias("similar"))
+
+
+def rare_word_lines(records: DataFrame, id_col: str, columns: tuple[str, str], label_col: str, *, min_freq: int = 5, first_rare: int = 35_000, sep: str = " ") -> DataFrame:
+    """(id, line): of each record the ids of both texts and the label, parted by tabs: the lines of a file of records with their rare words numbered."""
+    mapped = map_rare_words(records, frequency_map(records, list(columns), sep), id_col, columns, min_freq=min_freq, first_rare=first_rare, sep=sep)
+    texts = mapped.groupBy("id").agg(*(F.array_sort(F.collect_list(F.when(F.col("field") == k, F.struct("pos", "idx")))).alias(f"t{k}") for k in (0, 1)))
+    ids = [F.array_join(F.transform(F.coalesce(f"t{k}", F.array().cast("array<struct<pos:int,idx:string>>")), lambda x: x["idx"]), sep) for k in (0, 1)]
+    joined = records.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label")).join(texts, "id", "left")
+    return joined.select("id", F.concat_ws("\t", *ids, F.coalesce("label", F.lit(""))).alias("line"))
+
+
 def load_vocabulary(lines: DataFrame, line_col: str = "value", no_col: str = "line_no") -> DataFrame:
     """(token, idx) of numbered lines, one token each: the id is the rank of its first line; blank lines are none."""
     token = F.trim(F.col(line_col))

@@ -11,7 +11,7 @@ from kindred.functions import arrays as A
 from kindred.functions import external
 from kindred.functions import text as T
 from kindred.functions import vectors as V
-from kindred.operators import classify, corpus, embed, lsh, metrics, pairs, rank, vocab
+from kindred.operators import blocks, classify, corpus, embed, lsh, metrics, pairs, rank, vocab
 from kindred.plans.sql import SQL
 from kindred.session import parallel, table
 from kindred.sources import readers
@@ -378,53 +378,53 @@ def asked_vectors(spark, folder):
 
 
 def _distances(spark, folder, **columns):
-    a = asked_vectors(spark, folder).withColumnRenamed("vec", "a")
-    b = vectors(spark, folder).select("item_id", F.col("vec").alias("b"))
-    met = b.join(F.broadcast(a), F.col("query_id") != F.col("item_id"))
-    return met.select("query_id", "item_id", *(rounded(f(F.col("a"), F.col("b"))).alias(name) for name, f in columns.items()))
+    met = blocks.measured(vectors(spark, folder).select("item_id", "vec"), asked_vectors(spark, folder), columns)
+    return met.select("query_id", "item_id", *(rounded(name).alias(name) for name in columns))
 
 
 @query
 def euclidean_pairs(spark, folder):
-    return _distances(spark, folder, euclidean=V.euclidean)
+    return _distances(spark, folder, euclidean=blocks.euclidean)
 
 
 @query
 def cosine_pairs(spark, folder):
-    return _distances(spark, folder, cosine=V.cosine, distance=lambda a, b: V.cosine(a, b, distance=True))
+    return _distances(spark, folder, cosine=blocks.cosine, distance=blocks.cosine_distance)
 
 
 @query
 def manhattan_pairs(spark, folder):
-    return _distances(spark, folder, manhattan=V.manhattan)
+    return _distances(spark, folder, manhattan=blocks.manhattan)
 
 
 @query
 def minkowski_pairs(spark, folder):
-    return _distances(spark, folder, minkowski=lambda a, b: V.minkowski(a, b, 4))
+    return _distances(spark, folder, minkowski=blocks.minkowski(4))
 
 
 @query
 def hamming_pairs(spark, folder):
-    return _distances(spark, folder, hamming=V.hamming)
+    return _distances(spark, folder, hamming=blocks.hamming).withColumn("hamming", F.col("hamming").cast("int"))
 
 
 @query
 def jaccard_pairs(spark, folder):
-    def binary(a):
-        return F.transform(a, lambda x: (x > 0.1).cast("double"))
-
-    return _distances(spark, folder, jaccard=lambda a, b: V.jaccard_distance(binary(a), binary(b)))
+    return _distances(spark, folder, jaccard=blocks.jaccard(0.1))
 
 
 @query
 def pearson_pairs(spark, folder):
-    return _distances(spark, folder, pearson=V.pearson)
+    return _distances(spark, folder, pearson=blocks.pearson)
 
 
 @query
 def kl_pairs(spark, folder):
-    return _distances(spark, folder, kl=lambda a, b: V.kl_divergence(V.softmax(a), V.softmax(b)))
+    return _distances(spark, folder, kl=blocks.kl_of_softmax)
+
+
+@query
+def cosine_floored_pairs(spark, folder):
+    return _distances(spark, folder, cosine=blocks.cosine_floored())
 
 
 @query
@@ -452,10 +452,8 @@ def _token_matrices(spark, folder):
 
 
 def _late(spark, folder, metric):
-    m = _token_matrices(spark, folder)
-    q = m.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("m").alias("q"))
-    met = m.join(F.broadcast(q), F.col("query_id") != F.col("item_id"))
-    return met.select("query_id", "item_id", rounded(V.max_sim(F.col("q"), F.col("m"), metric)).alias("score"))
+    """Each embedding as 8 token vectors of 8 dimensions."""
+    return _distances(spark, folder, score=blocks.max_sim(8, metric))
 
 
 @query
@@ -503,15 +501,14 @@ def minhash_bands(spark, folder):
 
 @query
 def minhash_search(spark, folder):
-    items = shingled(spark, folder)
-    return lsh.minhash_matches(items, items.where("item_id % 20 = 0"), 20, 5)
+    return lsh.minhash_matches(shingled(spark, folder), "item_id % 20 = 0", 20, 5)
 
 
 @query
 def near_duplicate_docs(spark, folder):
     """Over runs of five tokens, a Chinese character being one, so that texts without blanks and short ones have features too."""
     rows = parallel(table(spark, folder, "documents").where("doc_id IS NOT NULL").select("doc_id", "text"))
-    return lsh.near_duplicates(lsh.token_shingles(rows, "doc_id", "text"))
+    return lsh.near_duplicates(lsh.token_shingles(rows, "doc_id", "text")).links()
 
 
 @query
@@ -710,10 +707,10 @@ def tokenizer_lines(spark, folder):
 
 def _scored(spark, folder):
     """Cosines of the query vectors with all others, and whether the labels agree."""
-    v = vectors(spark, folder)
-    a = v.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("vec").alias("a"), F.col("label").alias("la"))
-    met = v.join(F.broadcast(a), F.col("query_id") != F.col("item_id"))
-    return met.select("query_id", "item_id", (F.col("la") == F.col("label")).cast("int").alias("same"), F.round(V.cosine(F.col("a"), F.col("vec")), 6).alias("score"))
+    labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+    met = _distances(spark, folder, score=blocks.cosine).join(labels, "item_id")
+    met = met.join(labels.toDF("query_id", "asked"), "query_id")
+    return met.select("query_id", "item_id", (F.col("asked") == F.col("label")).cast("int").alias("same"), "score")
 
 
 @query

@@ -41,7 +41,7 @@ first_seen AS (SELECT token, count(*) AS cnt, count(DISTINCT doc_id) AS df, min(
 vocab AS (SELECT token, (row_number() OVER (ORDER BY cnt DESC, f))::INTEGER + {0} AS idx, cnt, df FROM first_seen)"""
 
 
-def _filters(column: str) -> str:
+def filters_sql(column: str) -> str:
     """Split into words: filter characters to blanks."""
     return f"list_filter(string_split(translate(lower({column}), '!\"#$%&()*+,-./:;<=>?@[\\]^_`{{|}}~' || chr(9) || chr(10), repeat(' ', 34)), ' '), lambda t: t <> '')"
 
@@ -55,7 +55,7 @@ def _clean(column: str) -> str:
     return f"lower(regexp_replace({out}, '^\\s+|\\s+$', '', 'g'))"
 
 
-def _basic(column: str) -> str:
+def basic_sql(column: str) -> str:
     out = f"regexp_replace({column}, '([{PUNCTUATION_CLASS}{CJK_CLASS}])', ' \\1 ', 'g')"
     out = f"regexp_replace({out}, '[\\p{{Zs}}\\n\\r\\t]', ' ', 'g')"
     out = f"regexp_replace({out}, '[\\x00\\x{{FFFD}}\\p{{Cc}}\\p{{Cf}}]', '', 'g')"
@@ -80,7 +80,7 @@ SCORED = f"{MET}, scored AS (SELECT query_id, item_id, same, round({COS}, 6) AS
 MATRICES = f"{VECTORS}, m AS (SELECT item_id, list_transform(range(8), lambda k: vec[k * 8 + 1 : k * 8 + 8]) AS m FROM v)"
 
 SHINGLED = f"""
-worded AS (SELECT doc_id AS item_id, coalesce({_filters('text')}, []) AS w FROM documents),
+worded AS (SELECT doc_id AS item_id, coalesce({filters_sql('text')}, []) AS w FROM documents),
 grams AS (SELECT item_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) ELSE [] END AS g FROM worded),
 features AS (SELECT DISTINCT item_id, (('0x' || substr(md5(f), 1, 8))::BIGINT % {lsh.PRIME}) AS f FROM (SELECT item_id, unnest(g) AS f FROM grams))"""
 
@@ -133,7 +133,7 @@ lens AS (SELECT pair_id, count(*) AS len FROM grams GROUP BY ALL),
 df AS (SELECT term, count(*) AS df, sum(cnt) AS total FROM tf GROUP BY ALL)"""
 
 ENCODED = f"""
-w AS (SELECT pair_id, {_filters('text_a')} AS a, {_filters('text_b')} AS b FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL),
+w AS (SELECT pair_id, {filters_sql('text_a')} AS a, {filters_sql('text_b')} AS b FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL),
 s AS (SELECT *, len(a) + 2 AS n, len(b) + 2 AS m FROM w),
 c AS (SELECT *, CASE WHEN n + m <= 21 THEN n WHEN m <= 10 THEN 21 - m WHEN n <= 10 THEN n ELSE 10 END AS na, CASE WHEN n + m <= 21 THEN m WHEN m <= 10 THEN m WHEN n <= 10 THEN 21 - n ELSE 11 END AS nb FROM s),
 encoded AS (SELECT pair_id, na, nb - 1 AS nb, list_concat(['[CLS]'], a[1 : na - 2], ['[SEP]'], b[1 : nb - 2], ['[SEP]']) AS tokens FROM c)"""
@@ -171,7 +171,7 @@ options AS (SELECT t, pos, list(n ORDER BY n) AS o FROM hits GROUP BY ALL),
 steps AS (SELECT query_id, t, k, 0::BIGINT AS pos, '' AS tokens FROM lines, (SELECT unnest(range(10)) AS k) UNION ALL
   SELECT query_id, t, k, pos + n, tokens || CASE WHEN pos > 0 THEN '|' ELSE '' END || substr(t, pos + 1, n) FROM (SELECT s.*, o[('0x' || substr(md5('1:' || query_id || ':' || k || ':' || s.pos), 1, 8))::BIGINT % len(o) + 1] AS n FROM steps s JOIN options x ON x.t = s.t AND x.pos = s.pos))
 SELECT DISTINCT query_id, tokens FROM steps WHERE pos = length(t)""",
-    "decoded_pieces": f"""WITH p AS (SELECT pair_id, list_filter(string_split(array_to_string(list_transform({_basic('text_a')}, lambda t: CASE WHEN length(t) > 6 THEN substr(t, 1, 4) || ' ##' || substr(t, 5) ELSE t END), ' '), ' '), lambda t: NOT (t LIKE '[%' AND t LIKE '%]')) AS p FROM pairs WHERE text_a IS NOT NULL),
+    "decoded_pieces": f"""WITH p AS (SELECT pair_id, list_filter(string_split(array_to_string(list_transform({basic_sql('text_a')}, lambda t: CASE WHEN length(t) > 6 THEN substr(t, 1, 4) || ' ##' || substr(t, 5) ELSE t END), ' '), ' '), lambda t: NOT (t LIKE '[%' AND t LIKE '%]')) AS p FROM pairs WHERE text_a IS NOT NULL),
 m AS (SELECT pair_id, list_transform(range(1, len(p) + 1), lambda i: [p[i], CASE WHEN p[i] LIKE '##%' OR regexp_full_match(p[i], '[{CJK_CLASS}{PUNCTUATION_CLASS}]') OR i > 1 AND regexp_matches(p[i - 1], '[{CJK_CLASS}]$') THEN '' ELSE ' ' END, CASE WHEN regexp_full_match(p[i], '[{PUNCTUATION_CLASS}]') THEN ' ' ELSE '' END]) AS m FROM p),
 t AS (SELECT pair_id, regexp_replace(array_to_string(list_transform(m, lambda x: x[2] || regexp_replace(x[1], '^##', '') || x[3]), ''), ' +', ' ', 'g') AS t FROM m),
 u AS (SELECT pair_id, regexp_replace(t, chr(39) || ' (re|m|s|t|ve|d|ll) ', chr(39) || '\\1 ', 'g') AS t FROM t),
@@ -188,7 +188,7 @@ SELECT pair_id, array_to_string(list_concat(ids, list_transform(range(20 - len(i
 k AS (SELECT token, chr((19967 + row_number() OVER (ORDER BY f))::INTEGER) AS c FROM f) SELECT pair_id AS doc_id, string_agg(c, '' ORDER BY pos) AS text FROM u JOIN k USING (token) GROUP BY pair_id""",
     "vocab_load": "SELECT token, (row_number() OVER (ORDER BY n) - 1)::INTEGER AS idx FROM (SELECT trim(token, ' ') AS token, min(shard_id::BIGINT * 1000000 + idx) AS n FROM tokenizer_state WHERE trim(token, ' ') <> '' AND idx IS NOT NULL GROUP BY ALL)",
     "ngram_char_ids": f"WITH {GRAMS.replace('counted AS (', 'counted AS MATERIALIZED (')}, c AS MATERIALIZED (SELECT ngram, unnest(range(n))::INTEGER AS pos, unnest(string_split(ngram, '')) AS token FROM counted), k AS (SELECT token, row_number() OVER (ORDER BY token) AS idx FROM (SELECT DISTINCT token FROM c)) SELECT ngram, pos, idx FROM c JOIN k USING (token)",
-    "unknown_query_tokens": f"{LOWER_BASE} SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest({_filters('query_text')}) AS token FROM queries) WHERE token NOT IN (SELECT token FROM df)",
+    "unknown_query_tokens": f"{LOWER_BASE} SELECT DISTINCT query_id, token FROM (SELECT query_id, unnest({filters_sql('query_text')}) AS token FROM queries) WHERE token NOT IN (SELECT token FROM df)",
     "log_buckets": """WITH o AS (SELECT query_id, query_id - 50 AS o FROM queries)
 SELECT query_id, CASE WHEN abs(o) < 8 THEN o ELSE (ceil(ln(CASE WHEN abs(o) <= 8 THEN 8 ELSE abs(o) END / 8.0::DOUBLE) / ln(63 / 8.0::DOUBLE) * 7) + 8) * sign(o) END::INTEGER AS bucket FROM o""",
     "lexical_bm25_features": f"WITH {LEXICAL} SELECT pair_id, term, round(ln(((SELECT count(*) FROM lens) + 0.5) / (df + 0.5)) * 3.0 * (cnt::DOUBLE / len) / (2.0 * (0.25 + 0.75 * len / (SELECT avg(len) FROM lens)) + cnt::DOUBLE / len), 6) AS weight FROM tf JOIN lens USING (pair_id) JOIN df USING (term) WHERE total > 2",
@@ -204,7 +204,7 @@ SELECT query_id, CASE WHEN abs(o) < 8 THEN o ELSE (ceil(ln(CASE WHEN abs(o) <= 8
     "bm25_no_tq": _top(f"{SMOOTH} * {TD}", 50),
     "tfidf_topk": _top(f"{TF} * {SMOOTH}", 50),
     "tfidf_all_scores": _top(f"{TF} * {SMOOTH}", 0),
-    "bm25_queries_topk": f"""{LOWER_BASE}, qw AS (SELECT query_id, len(w) AS q_len, unnest(w) AS token FROM (SELECT query_id, {_filters('query_text')} AS w FROM queries)),
+    "bm25_queries_topk": f"""{LOWER_BASE}, qw AS (SELECT query_id, len(w) AS q_len, unnest(w) AS token FROM (SELECT query_id, {filters_sql('query_text')} AS w FROM queries)),
 q AS (SELECT query_id, token, q_len, count(*) AS q_cnt FROM qw GROUP BY ALL),
 found AS (SELECT query_id, doc_id, round(sum(q_cnt * {SMOOTH} * {TD} * {TQ}), 6) AS score FROM tf JOIN q USING (token) JOIN df USING (token), stats GROUP BY ALL)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM found) WHERE rank <= 10""",
@@ -219,11 +219,11 @@ raw AS (SELECT doc_id, term, cnt * (ln((1.0 + (SELECT count(*) FROM docs)) / (1
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw""",
     "keywords_per_doc": f"""{BASE}, k AS (SELECT doc_id, token, round({TF} * {SMOOTH}, 9) AS weight FROM tf JOIN df USING (token), stats)
 SELECT doc_id, token, round(weight, 6) AS weight, rank FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token))::INTEGER AS rank FROM k) WHERE rank <= 5""",
-    "word_tokens": f"SELECT pair_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT pair_id, {_filters('text_a')} AS w FROM pairs WHERE text_a IS NOT NULL)",
+    "word_tokens": f"SELECT pair_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT pair_id, {filters_sql('text_a')} AS w FROM pairs WHERE text_a IS NOT NULL)",
     "char_tokens": "SELECT query_id, unnest(range(length(query_text)))::INTEGER AS pos, unnest(string_split(query_text, '')) AS token FROM queries WHERE query_text <> ''",
     "clean_str": f"SELECT pair_id, {_clean('text_a')} AS cleaned FROM pairs",
     "char_ngrams": "SELECT query_id, t[i : i + n - 1] AS gram, count(*) AS cnt FROM (SELECT query_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM (SELECT query_id, replace(query_text, ' ', '') AS t FROM queries), (VALUES (1), (2), (3)) s(n) WHERE length(t) >= n) GROUP BY ALL",
-    "bert_basic_tokens": f"SELECT pair_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT pair_id, {_basic('text_a')} AS w FROM pairs WHERE text_a IS NOT NULL)",
+    "bert_basic_tokens": f"SELECT pair_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT pair_id, {basic_sql('text_a')} AS w FROM pairs WHERE text_a IS NOT NULL)",
     "char_classes": f"""WITH c AS (SELECT DISTINCT unnest(string_split(query_text, '')) AS c FROM queries WHERE query_text <> ''),
 s AS (SELECT c, c IN (' ', chr(10), chr(13), chr(9)) OR regexp_matches(c, '^\\p{{Zs}}$') AS space FROM c)
 SELECT c, space, regexp_matches(c, '^[{PUNCTUATION_CLASS}]$') AS punctuation, regexp_matches(c, '^[{CJK_CLASS}]$') AS cjk, NOT space AND regexp_matches(c, '^[\\p{{Cc}}\\p{{Cf}}]$') AS control FROM s""",
@@ -236,13 +236,14 @@ SELECT doc_id, mode, array_to_string(CASE WHEN p = 'pre' THEN list_concat(fill,
 SELECT b.rn - 1 AS batch_id, min(r.query_id) AS first, max(r.query_id) AS last, count(*) AS n FROM r b JOIN r ON r.rn BETWEEN b.rn AND b.rn + 7 GROUP BY b.rn""",
     "even_batches": "SELECT (rn - 1) // 64 AS batch_id, min(pair_id) AS first, count(*) AS n FROM (SELECT pair_id, row_number() OVER (ORDER BY pair_id) AS rn FROM pairs) GROUP BY ALL",
     "k_max_pool": f"WITH {VECTORS}, t AS (SELECT item_id AS vec_id, list_sort(vec, 'DESC')[1:4] AS x FROM v) SELECT vec_id, unnest(range(4))::INTEGER AS pos, round(unnest(x), 6) AS x FROM t",
-    "text_pair_to_ids": f"""WITH docs AS (SELECT pair_id * 2 AS doc_id, {_filters('text_a')} AS tokens FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL UNION ALL SELECT pair_id * 2 + 1, {_filters('text_b')} FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL), {INDEX}, {VOCAB.format(1)},
+    "text_pair_to_ids": f"""WITH docs AS (SELECT pair_id * 2 AS doc_id, {filters_sql('text_a')} AS tokens FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL UNION ALL SELECT pair_id * 2 + 1, {filters_sql('text_b')} FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL), {INDEX}, {VOCAB.format(1)},
 seqs AS (SELECT d.doc_id, coalesce(s.seq, [])[1:16] AS seq FROM docs d LEFT JOIN (SELECT doc_id, list(idx ORDER BY pos) AS seq FROM words JOIN vocab USING (token) GROUP BY doc_id) s USING (doc_id)),
 ids AS (SELECT doc_id, array_to_string(list_concat(seq, list_transform(range(16 - len(seq)), lambda x: 0)), ' ') AS ids FROM seqs)
 SELECT pair_id, a.ids || chr(9) || b.ids || chr(9) || coalesce(labels, 0) AS line FROM pairs JOIN ids a ON a.doc_id = pair_id * 2 JOIN ids b ON b.doc_id = pair_id * 2 + 1""",
-    "truncate_pairs": f"""WITH s AS (SELECT pair_id, len({_filters('text_a')}) AS a, len({_filters('text_b')}) AS b FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL)
+    "truncate_pairs": f"""WITH s AS (SELECT pair_id, len({filters_sql('text_a')}) AS a, len({filters_sql('text_b')}) AS b FROM pairs WHERE text_a IS NOT NULL AND text_b IS NOT NULL)
 SELECT pair_id, CASE WHEN a + b <= 12 THEN a WHEN a <= 6 THEN a WHEN b <= 6 THEN 12 - b ELSE 6 END::INTEGER AS n_a, CASE WHEN a + b <= 12 THEN b WHEN b <= 6 THEN b WHEN a <= 6 THEN 12 - a ELSE 6 END::INTEGER AS n_b FROM s""",
     "euclidean_pairs": _met(f"round(sqrt({_zip('(X - Y) * (X - Y)')}), 6) AS euclidean"),
+    "cosine_floored_pairs": _met(f"round(list_inner_product(a, b) / greatest(sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b)), 1e-8), 6) AS cosine"),
     "cosine_pairs": _met(f"round({COS}, 6) AS cosine", f"round((1 - {COS}) / 2, 6) AS distance"),
     "manhattan_pairs": _met(f"round({_zip('abs(X - Y)')}, 6) AS manhattan"),
     "minkowski_pairs": _met(f"round(pow({_zip('pow(X - Y, 4)')}, 0.25), 6) AS minkowski"),
@@ -280,7 +281,7 @@ a AS (SELECT (1 - alpha) / nullif(alpha * v / 2.0, 0) AS a FROM al) SELECT token
     "oov_map": f"""WITH {IDMAP}, joined AS (SELECT t.*, f.idx FROM tokens t LEFT JOIN freq f ON f.token = t.token AND f.cnt >= 5 WHERE t.token <> ''),
 rare AS (SELECT *, min((field, pos)) OVER (PARTITION BY pair_id, token) AS f FROM joined WHERE idx IS NULL)
 SELECT pair_id AS id, field, pos, token, idx FROM joined WHERE idx IS NOT NULL UNION ALL SELECT pair_id, field, pos, token, (dense_rank() OVER (PARTITION BY pair_id ORDER BY f) + 34999)::VARCHAR FROM rare""",
-    "similar_words": f"""WITH w AS (SELECT DISTINCT unnest({_filters('query_text')}) AS token FROM queries),
+    "similar_words": f"""WITH w AS (SELECT DISTINCT unnest({filters_sql('query_text')}) AS token FROM queries),
 v AS (SELECT token, list_transform(range(8), lambda d: (('0x' || substr(md5(token), d * 4 + 1, 4))::BIGINT - 32768) / 32768.0::DOUBLE) AS vec FROM w),
 c AS (SELECT x.token AS word, y.token AS other, round(list_inner_product(x.vec, y.vec) / sqrt(list_inner_product(x.vec, x.vec)) / sqrt(list_inner_product(y.vec, y.vec)), 6) AS similarity FROM v x JOIN v y ON x.token <> y.token),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY similarity DESC, other) AS r FROM c) WHERE r <= 100)

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's spark.checkpoint.dir. Where that is unset, a session of one process (local[...], as in tests) gets a
     temporary one, which goes when the process ends; a cluster must name a shared one.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
             folder = tempfile.mkdtemp(prefix="kindred-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def parallel(df: DataFrame, factor: int = 1) -> DataFrame:

@@ -4,30 +4,44 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.functions.text import split_literal
+from kindred.operators.corpus import ranked_rows
 
 JSON_PAIRS = "rid string, labels int, text_a string, text_b string"
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, value): lines that are not blank, without blanks around them."""
+    """(file, block, value): lines that are not blank, without blanks around them."""
     if isinstance(paths, str):
         paths = [paths]
     for p in paths:
-        if "://" not in p and not os.path.exists(p):
+        if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", p) and not os.path.exists(p):
             raise FileNotFoundError(p)
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
     return rows.where("value <> ''")
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(position, value): lines that are not blank, numbered from 0 in the order of `paths`, of the names within a folder, and of each file.
+
+    A block of a file is read by one task, in order, so the blocks' places and the order within each give every line its place, however files are split.
+    """
+    listed = [paths] if isinstance(paths, str) else paths
+    parts = [lines(spark, p).withColumn("path", F.lit(k)) for k, p in enumerate(listed)]
+    rows = reduce(DataFrame.unionAll, parts).withColumn("n", F.monotonically_increasing_id())
+    ranked = ranked_rows(rows, [F.asc("path"), F.asc("file"), F.asc("block"), F.asc("n")], "rank")
+    return ranked.select((F.col("rank") - 1).alias("position"), "value")
+
+
 def token_lines(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
-    """(doc_id, tokens): one document a line; ids are digests of file, place and line, as rows have no position."""
-    rows = lines(spark, paths).withColumn("n", F.monotonically_increasing_id())
-    return rows.select(F.xxhash64("file", "n", "value").alias("doc_id"), split_literal(F.col("value"), sep).alias("tokens"))
+    """(doc_id, tokens): one document a line; the id is the line's position."""
+    return numbered_lines(spark, paths).select(F.col("position").alias("doc_id"), split_literal(F.col("value"), sep).alias("tokens"))
 
 
 def pair_lines(rows: DataFrame, sep: str = "\t", strict: bool = False) -> DataFrame:
@@ -81,6 +95,19 @@ def load_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/vocab"), json.loads(spark.read.text(f"{path}/config").first()[0])
 
 
+def save_run_config(spark: SparkSession, path: str, key: str, config: dict) -> None:
+    """The settings of a run under a key of the store at `path`; a later entry of a key replaces the earlier one."""
+    at = spark.sql("SELECT current_timestamp() AS at").withColumn("key", F.lit(key)).withColumn("config", F.lit(json.dumps(config, ensure_ascii=False)))
+    at.select("key", "at", "config").coalesce(1).write.mode("append").json(path)
+
+
+def run_config(spark: SparkSession, path: str, key: str) -> dict:
+    """The last settings under a key; an empty dictionary where there are none."""
+    found = spark.read.json(path, schema="key string, at timestamp, config string").where(F.col("key") == key)
+    last = found.agg(F.max_by("config", "at").alias("config")).first()["config"]
+    return json.loads(last) if last else {}
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     """A single string column as text files."""
     rows.write.mode("overwrite").text(path)

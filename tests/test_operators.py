@@ -6,7 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import classify, corpus, embed, lsh, metrics, neural, pairs, rank, vocab
+from kindred.functions import external
+from kindred.functions import vectors as V
+from kindred.operators import blocks, classify, corpus, embed, encode, lsh, metrics, neural, pairs, rank, vocab
+from kindred.operators.corpus import CorpusIndex
+from kindred.session import salted_join
 from kindred.sources import readers
 from kindred.streaming.counts import length_totals, term_totals
 
@@ -121,6 +125,7 @@ def test_hashing(spark):
     p, a, b = lsh.permutations(50)[7]
     assert sigs[3][7] == min((x * a + b) % lsh.PRIME for x in (100, 200))
     assert sorted(map(tuple, lsh.minhash_matches(items, items).collect())) == [(1, 2), (2, 1)]
+    assert sorted(map(tuple, lsh.minhash_matches(items, "item_id = 1").collect())) == [(1, 2)]
     vectors = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.1, 0.2]), (3, [90.0, -70.0]), (4, None)], "item_id bigint, vec array<double>")
     fps = lsh.stable_fingerprints(vectors, lsh.stable_family(3, 4, 2), lsh.fingerprint_factors(4))
     assert sorted(map(tuple, lsh.stable_matches(fps, fps, per_round=True).collect())) == [(1, 2), (2, 1)]
@@ -134,7 +139,7 @@ def test_near_duplicates_of_texts_without_blanks(spark):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     items = lsh.token_shingles(docs, "doc_id", "text")
     assert {r["item_id"]: len(r["features"]) for r in items.collect()} == {1: 56, 2: 56, 3: 55, 4: 36, 5: 1, 6: 1, 7: 1, 8: 0, 9: 0, 10: 2, 11: 2, 12: 1, 13: 1, 14: 0}
-    got = {(r["id_1"], r["id_2"]): round(r["jaccard"], 4) for r in lsh.near_duplicates(items).collect()}
+    got = {(r["id_1"], r["id_2"]): round(r["jaccard"], 4) for r in lsh.near_duplicates(items).by_row().collect()}
     assert got == {(1, 2): 1, (1, 3): round(55 / 56, 4), (2, 3): round(55 / 56, 4), (5, 6): 1, (10, 11): 1, (12, 13): 1}
 
 
@@ -290,3 +295,180 @@ def test_streamed_counts_equal_batch_counts(spark, tmp_path):
         run.awaitTermination()
     assert {r["token"]: (r["cnt"], r["df"]) for r in spark.table("totals").collect()} == {"a": (2, 1), "b": (3, 3), "c": (4, 2), "d": (1, 1), "z": (1, 1)}
     assert spark.table("lengths").first()["n_docs"] == len(CORPUS)
+
+
+def test_blocks_measure_as_the_columns_do(spark):
+    draw = np.random.default_rng(4)
+    m = draw.normal(size=(30, 8))
+    m[3] = 0
+    rows = [(k, v.tolist()) for k, v in enumerate(m)] + [(100, None), (None, m[0].tolist())]
+    df = spark.createDataFrame(rows, "item_id bigint, vec array<double>").repartition(3)
+    asked = df.where("item_id % 5 = 0").toDF("query_id", "vec")
+    kinds = {
+        "euclidean": (blocks.euclidean, V.euclidean), "manhattan": (blocks.manhattan, V.manhattan), "minkowski": (blocks.minkowski(3), lambda a, b: V.minkowski(a, b, 3)), "cosine": (blocks.cosine, V.cosine),
+        "floored": (blocks.cosine_floored(), V.cosine_floored), "pearson": (blocks.pearson, V.pearson), "hamming": (blocks.hamming, V.hamming), "kl": (blocks.kl_of_softmax, lambda a, b: V.kl_divergence(V.softmax(a), V.softmax(b))),
+        "jaccard": (blocks.jaccard(0.5), lambda a, b: V.jaccard_distance(*(F.transform(x, lambda y: (y > 0.5).cast("double")) for x in (a, b)))),
+    }
+    got = {(r["query_id"], r["item_id"]): r for r in blocks.measured(df, asked, {k: f for k, (f, _) in kinds.items()}, size=7).collect()}
+    met = asked.withColumnRenamed("vec", "a").crossJoin(df.withColumnRenamed("vec", "b")).where("query_id <> item_id AND a IS NOT NULL AND b IS NOT NULL")
+    want = met.select("query_id", "item_id", *(f(F.col("a"), F.col("b")).cast("double").alias(k) for k, (_, f) in kinds.items())).collect()
+    assert len(got) == len(want) == 6 * 29
+    for r in want:
+        for k in kinds:
+            x, y = r[k], got[r["query_id"], r["item_id"]][k]
+            assert x is None and y is None or x == pytest.approx(y, abs=1e-9), (k, r)
+    two = blocks.measured(df, asked, {"s": blocks.max_sim(2), "l": blocks.max_sim(2, "l2")}).where("query_id = 0 AND item_id = 5").first()
+    a, b = (m[k].reshape(2, 4) for k in (0, 5))
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert two["s"] == pytest.approx((unit(a) @ unit(b).T).max(1).sum()) and two["l"] == pytest.approx(-((a[:, None] - b[None]) ** 2).sum(2).min(1).sum())
+    assert blocks.measured(df.limit(0), asked, {"c": blocks.cosine}).collect() == []
+
+
+def test_salted_join_equals_a_join(spark):
+    many = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(3000)] + [(9000, None)], "id int, key string")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4), (None, 5)], "key string, v int")
+    counts = many.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, salted_join(many, few, "key", counts, hot_share=0.1, salts=5).collect())) == sorted(map(tuple, many.join(few, "key").collect()))
+    assert salted_join(many.limit(0), few, "key", counts.limit(0)).collect() == []
+
+
+def test_links_of_near_duplicates_count_items(spark):
+    rows = [(k, [1, 2, 3, 4, 5]) for k in range(4)] + [(10, [1, 2, 3, 4, 5, 6]), (11, [7, 8]), (12, [])]
+    found = lsh.near_duplicates(spark.createDataFrame(rows, "item_id bigint, features array<bigint>"), band=50, row=2)
+    assert {r["item_id"]: (r["class_id"], r["n_links"]) for r in found.links().collect()} == {0: (0, 4), 1: (0, 4), 2: (0, 4), 3: (0, 4), 10: (10, 4), 11: (11, 0)}
+    assert found.by_row().count() == 10
+
+
+def test_index_written_once_scores_alike(spark):
+    tokens = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, [])], "doc_id bigint, tokens array<string>")
+    index = CorpusIndex.of(tokens)
+    for method in ("bm25", "tfidf"):
+        plain, written = (rank.top_documents(i, ["a", "b", "zzz"], 0, method).collect() for i in (index, index.cut()))
+        assert sorted(plain) == sorted(written)
+
+
+def test_encoding_forms(spark):
+    pairs_ = spark.createDataFrame([(1, "a b c d", "a", 1), (2, "a", None, 0), (3, "b x", "c", None)], "pair_id bigint, text_a string, text_b string, labels int")
+    known = spark.createDataFrame([("[CLS]", 2), ("[SEP]", 3), ("a", 4), ("b", 5), ("c", 6)], "token string, idx int")
+    rows = {form: sorted(map(tuple, encode.encoded(pairs_, known, 5, form).collect())) for form in encode.FORMS}
+    assert rows["plain"] == [(1, "4 5 6 1 0", "4 0 0 0 0", "1"), (3, "5 1 0 0 0", "6 0 0 0 0", "0")]
+    assert rows["single"] == [(1, 0, "2 4 5 6 3", "0 0 0 0 0", "1"), (1, 1, "2 4 3 0 0", "0 0 0 0 0", "1"), (3, 0, "2 5 1 3 0", "0 0 0 0 0", "0"), (3, 1, "2 6 3 0 0", "0 0 0 0 0", "0")]
+    assert rows["tetrad"][1] == (3, "2 5 1 3 0", "0 0 0 0 0", "2 6 3 0 0", "0 0 0 0 0", "0") and [r[0] for r in rows["joint"]] == [1, 3]
+    assert {r[0] for r in encode.encoded_lines(encode.encoded(pairs_, known, 5, "plain")).collect()} == {"4 5 6 1 0\t4 0 0 0 0\t1", "5 1 0 0 0\t6 0 0 0 0\t0"}
+    with pytest.raises(ValueError):
+        encode.encoded(pairs_, known, 5, "triple")
+
+
+def test_inference_from_files(spark, tmp_path):
+    train, asked = tmp_path / "train.tsv", tmp_path / "asked.tsv"
+    train.write_text("".join(f"good day {k}\tx\t1\nbad night {k}\tx\t0\n" for k in range(40)) + "broken line\n")
+    asked.write_text("good day again\tx\nbad night again\tx\n")
+    classify.infer(spark, str(train), path=str(asked), out_path=str(tmp_path / "out"), k=3)
+    p = [float(r[0]) for r in spark.read.csv(str(tmp_path / "out")).collect()]
+    assert len(p) == 2 and max(p) > 0.6 and min(p) < 0.4
+    assert classify.infer(spark, str(train), pair=("good day", "x"), k=3, features=classify.word_features) > 0.6
+    assert classify.infer(spark, str(train)) is None
+
+
+def test_positions_of_lines_whatever_the_splits(spark, tmp_path):
+    (tmp_path / "a").write_text("".join(f"a{k}\n\n" for k in range(500)))
+    (tmp_path / "b").write_text("".join(f" b{k} \n" for k in range(500)))
+    want = [f"b{k}" for k in range(500)] + [f"a{k}" for k in range(500)]
+    for size in ("700", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = readers.numbered_lines(spark, [str(tmp_path / "b"), str(tmp_path / "a")]).orderBy("position").collect()
+        assert [r["value"] for r in rows] == want and [r["position"] for r in rows] == list(range(1000))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_run_configs_and_piece_kinds(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    readers.save_run_config(spark, path, "a", {"x": 1})
+    readers.save_run_config(spark, path, "a", {"x": 2})
+    assert readers.run_config(spark, path, "a") == {"x": 2} and readers.run_config(spark, path, "b") == {}
+    rows = external.piece_kinds(spark.createDataFrame([(0,), (1,), (500,), (10**6,), (None,)], "id int"), "id").collect()
+    assert [(r["special"], r["decodable"]) for r in rows] == [(True, False), (True, False), (False, True), (False, False), (False, False)]
+
+
+def test_word_vectors_and_meta(spark):
+    tokens = spark.createDataFrame([(["a", "b"],), (["a", "c"],)] * 20, "tokens array<string>")
+    assert {r["token"]: len(r["vec"]) for r in embed.word_vectors(tokens, size=4, epochs=1).collect()} == {"a": 4, "b": 4, "c": 4}
+    near = spark.createDataFrame([("ab", "cd", 0.9), ("ab", "ce", 0.95), ("ab", "x", 0.99), ("ab", "zz", 0.1)], "word string, other string, similarity double")
+    got = {r["word"]: (r["ids"], r["n"], r["similar"]) for r in vocab.ngram_meta(spark.createDataFrame([("ab",), ("q",), (None,), ("ab",)], "word string"), near).collect()}
+    assert got == {"ab": ("97 98", 2, "99 101|99 100"), "q": ("113", 1, "")}
+
+
+def test_resized_matrices_keep_their_norm():
+    a = np.arange(1.0, 9.0).reshape(4, 2)
+    b = neural.resized(a, (8, 2))
+    assert b.shape == (8, 2) and np.linalg.norm(b) == pytest.approx(np.linalg.norm(a))
+    assert np.allclose(b / b[0, 0], np.concatenate([a[:2], a[:2], a[2:], a[2:]]) / a[0, 0])
+    assert neural.resized(a, (3, 2)).shape == (3, 2)
+    with pytest.raises(ValueError):
+        neural.resized(np.ones((3, 2)), (6, 2))
+
+
+def drawn(draw, **shapes):
+    return {k.replace("__", "."): draw.normal(size=v) for k, v in shapes.items()}
+
+
+def test_convolutions_equal_loops():
+    draw = np.random.default_rng(2)
+    x, w = draw.normal(size=(2, 6, 3)), drawn(draw, conv2__w=(2, 3, 4), conv2__b=(4,), conv3__w=(3, 3, 4), conv3__b=(4,))
+    want = np.zeros((2, 8))
+    for b in range(2):
+        for n, width in enumerate((2, 3)):
+            for f in range(4):
+                at = [sum(x[b, t + k, c] * w[f"conv{width}.w"][k, c, f] for k in range(width) for c in range(3)) + w[f"conv{width}.b"][f] for t in range(7 - width)]
+                want[b, n * 4 + f] = max(0, max(at))
+    assert neural.text_cnn(x, w, (2, 3)) == pytest.approx(want)
+    same = neural.conv1d(x, w["conv3.w"], w["conv3.b"], same=True)
+    assert same.shape == (2, 6, 4) and same[:, 1:-1] == pytest.approx(neural.conv1d(x, w["conv3.w"], w["conv3.b"]))
+    assert neural.halved(np.arange(5.0)[None, :, None])[0, :, 0].tolist() == [1, 3, 4]
+    assert neural.k_max(np.array([3.0, 1, 4, 1, 5])[None, :, None], 3)[0, :, 0].tolist() == [3, 4, 5]
+
+
+def test_fast_text_equals_its_formula():
+    draw = np.random.default_rng(3)
+    x, w = draw.normal(size=(2, 5, 3)), drawn(draw, hidden__w=(6, 4), hidden__b=(4,), out__w=(4, 2), out__b=(2,))
+    for b in range(2):
+        h = [max(0, sum(z * w["hidden.w"][i, j] for i, z in enumerate([*x[b].max(0), *x[b].mean(0)])) + w["hidden.b"][j]) for j in range(4)]
+        e = [math.exp(sum(h[i] * w["out.w"][i, j] for i in range(4)) + w["out.b"][j]) for j in range(2)]
+        assert neural.fast_text(x, w)[b] == pytest.approx([v / sum(e) for v in e])
+
+
+def test_masked_logits_equal_their_formula():
+    draw = np.random.default_rng(4)
+    x, w = draw.normal(size=(1, 2, 3)), drawn(draw, mlm__w=(3, 3), mlm__b=(3,), mlm__g=(3,), mlm__beta=(3,), token=(7, 3), mlm__bias=(7,))
+    for t in range(2):
+        h = [sum(x[0, t, i] * w["mlm.w"][i, j] for i in range(3)) + w["mlm.b"][j] for j in range(3)]
+        h = [0.5 * v * (1 + math.tanh(math.sqrt(2 / math.pi) * (v + 0.044715 * v**3))) for v in h]
+        m, s = sum(h) / 3, math.sqrt(sum((v - sum(h) / 3) ** 2 for v in h) / 3)
+        h = [(v - m) / s * g + b for v, g, b in zip(h, w["mlm.g"], w["mlm.beta"])]
+        assert neural.masked_logits(x, w)[0, t] == pytest.approx([sum(v * k for v, k in zip(h, row)) + b for row, b in zip(w["token"], w["mlm.bias"])], rel=1e-6)
+
+
+def test_recurrent_and_deep_networks():
+    draw = np.random.default_rng(5)
+    x, w = draw.normal(size=(2, 4, 3)), drawn(draw, a__w=(3, 8), a__u=(2, 8), a__b=(8,))
+    h = c = np.zeros((2, 2))
+    for t in range(4):
+        z = x[:, t] @ w["a.w"] + h @ w["a.u"] + w["a.b"]
+        s = lambda v: 1 / (1 + np.exp(-v))
+        c = s(z[:, 2:4]) * c + s(z[:, :2]) * np.tanh(z[:, 4:6])
+        h = s(z[:, 6:]) * np.tanh(c)
+        assert neural.lstm(x, w, "a")[:, t] == pytest.approx(h)
+    assert neural.lstm(x[:, ::-1], w, "a")[:, -1] == pytest.approx(neural.lstm(x, w, "a", True)[:, 0])
+    w |= drawn(draw, conv2__w=(2, 3, 4), conv2__b=(4,), norm__g=(4,), norm__beta=(4,), norm__mean=(4,), gate0__w=(4, 4), gate0__b=(4,), carry0__w=(4, 4), carry0__b=(4,), forward__w=(4, 8), forward__u=(2, 8), forward__b=(8,), backward__w=(4, 8), backward__u=(2, 8), backward__b=(8,))
+    w["norm.var"] = np.ones(4)
+    y = neural.batch_norm(neural.text_cnn(x, w, (2,)), w, "norm")
+    gate = 1 / (1 + np.exp(-(y @ w["gate0.w"] + w["gate0.b"])))
+    y = gate * np.maximum(y @ w["carry0.w"] + w["carry0.b"], 0) + (1 - gate) * y
+    assert neural.char_cnn(x, w, (2,), 1)[:, :2] == pytest.approx(neural.lstm(y[:, None], w, "forward")[:, 0])
+    deep = drawn(draw, first__w=(3, 3, 2), first__b=(2,))
+    for n in range(2):
+        for k in (1, 2):
+            deep |= {f"cb{n}.c{k}.w": np.zeros((3, 2, 2)), f"cb{n}.c{k}.b": np.zeros(2), f"cb{n}.n{k}.mean": np.zeros(2), f"cb{n}.n{k}.var": np.ones(2), f"cb{n}.n{k}.g": np.ones(2), f"cb{n}.n{k}.beta": np.zeros(2)}
+    # blocks of zeros pass their input by
+    first = neural.halved(neural.conv1d(x, deep["first.w"], deep["first.b"], same=True))
+    assert neural.deep_cnn(x, deep, 2, 2) == pytest.approx(neural.k_max(first, 2).reshape(2, -1))
