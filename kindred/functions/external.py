@@ -31,8 +31,10 @@ def sentence_pieces(df: DataFrame, text_col: str, out_col: str = "ids", model: s
     def run(col: pd.Series) -> pd.Series:
         m = _model(data.value)
         if decode:
-            return col.map(lambda ids: None if ids is None else m.decode([int(i) for i in ids]))
-        return col.map(lambda t: None if t is None else m.encode(t))
+            out = m.decode([[] if ids is None else [int(i) for i in ids] for ids in col])
+        else:
+            out = m.encode(col.fillna("").tolist())
+        return pd.Series(out, index=col.index, dtype=object).where(col.notna(), None)
 
     return df.withColumn(out_col, run(F.col(text_col)))
 

@@ -102,25 +102,26 @@ def max_sim(tokens: int, metric: str = "cosine") -> Measure:
 
 
 def vector_blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """(ids, flat, n) of (id, vec): up to `size` vectors a row; null ids and vectors are left out. All vectors are of one length."""
+    """(ids, flat, parts, n) of (id, vec) or (id, vec, part): up to `size` vectors a row; null ids and vectors are left out. All vectors are of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, size):
-                ids, vec = (c.slice(low, size) for c in batch.columns)
+                ids, vec, part = (c.slice(low, size) for c in batch.columns)
                 flat = vec.flatten()
                 if len(flat) % len(ids):
                     raise ValueError("vectors of different lengths")
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids.cast(pa.int64()), flat.cast(pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*lists, pa.array([len(ids)], pa.int32())], ["ids", "flat", "n"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids.cast(pa.int64()), flat.cast(pa.float64()), part.cast(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([len(ids)], pa.int32())], ["ids", "flat", "parts", "n"])
 
-    rows = vectors.toDF("id", "vec").where("id IS NOT NULL AND vec IS NOT NULL")
-    return rows.mapInArrow(run, "ids array<bigint>, flat array<double>, n int")
+    rows = vectors if len(vectors.columns) == 3 else vectors.withColumn("part", F.lit(0).cast("bigint"))
+    rows = rows.toDF("id", "vec", "part").where("id IS NOT NULL AND vec IS NOT NULL AND part IS NOT NULL")
+    return rows.mapInArrow(run, "ids array<bigint>, flat array<double>, parts array<bigint>, n int")
 
 
 def measured(items: DataFrame, queries: DataFrame, measures: dict[str, Measure], *, size: int = 512) -> DataFrame:
     """(query_id, item_id, *measures) of (item_id, vec) and (query_id, vec): every query with every item but the one of its own id. What is undefined is null; an empty side gives an empty result."""
-    met = vector_blocks(items, size).crossJoin(vector_blocks(queries, size).toDF("q_ids", "q_flat", "q_n"))
+    met = vector_blocks(items, size).crossJoin(vector_blocks(queries, size).toDF("q_ids", "q_flat", "q_parts", "q_n"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

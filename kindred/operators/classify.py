@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kindred.functions.text import char_ngrams, split_literal, word_ngrams, word_tokens
 from kindred.operators.pairs import stratified_folds
 from kindred.operators.rank import bm25_document, idf
-from kindred.session import cut
+from kindred.session import cut, salted_join
 from kindred.sources import readers
 
 
@@ -28,9 +28,9 @@ def lexical_features(pairs: DataFrame, id_col: str, *, low: int = 1, high: int =
     grams = pairs.select(F.col(id_col), F.explode(char_ngrams(joint_text(), low, high, strip_blanks=True)).alias("term"))
     tf = grams.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
     lengths = tf.groupBy(id_col).agg(F.sum("cnt").alias("doc_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("total"))
+    df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("cnt").alias("total")))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    joined = tf.join(lengths, id_col).join(df.where(F.col("total") > rarer_than), "term").crossJoin(F.broadcast(stats))
+    joined = salted_join(tf.join(lengths, id_col), df.where(F.col("total") > rarer_than), "term", df.select("term", F.col("df").alias("n"))).crossJoin(F.broadcast(stats))
     share = F.col("cnt") / F.col("doc_len")
     weight = idf(F.col("n_docs"), F.col("df")) * (share if method == "tfidf" else bm25_document(share, F.col("doc_len"), F.col("avg_len")))
     return joined.select(id_col, "term", weight.alias("weight"))

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kindred.operators.blocks import vector_blocks
+
 
 def word_probabilities(words: DataFrame) -> DataFrame:
     """(token, p) from rows with a token column."""
@@ -122,35 +124,28 @@ def word_vectors(segments: DataFrame, *, size: int = 128, window: int = 5, min_c
     return model.fit(segments.select("tokens")).getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096, digits: int = 6, group: str | None = None, above: float = -2.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 1024, digits: int = 6, group: str | None = None, above: float = -2.0) -> DataFrame:
     """(query_id, item_id, cosine, rank) of (item_id, vec) and (query_id, vec): exact neighbours of each query, itself left out.
 
     With `group`, a whole number that both tables have, only items of the query's group are neighbours; `above` bounds the cosine from below. Both hold before the k best are taken.
-    Queries go out in blocks of at most `block` vectors, against all rows: a task multiplies its batches with a block and keeps
-    its own k best a query, and one group-by joins those. Zero vectors have no neighbours; ties go to the smaller id.
+    Blocks of at most `block` queries meet blocks of items, each pair once (`blocks.vector_blocks`): one matrix product, of which the k best a query
+    are kept, and one group-by joins those; nothing goes through the driver. Zero vectors have no neighbours; ties go to the smaller id.
     """
     kept = F.lit(0) if group is None else F.col(group)
-    asked = queries.where("vec IS NOT NULL").select("query_id", "vec", kept.cast("bigint").alias("part"))
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for part in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part).collect()
-        if not rows:
-            continue
-        ids, parts = np.array([r["query_id"] for r in rows]), np.array([r["part"] for r in rows])
-        q = np.array([r["vec"] for r in rows], np.float64)
-        size = np.linalg.norm(q, axis=1)
-        ids, parts, q = ids[size > 0], parts[size > 0], q[size > 0] / size[size > 0, None]
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, parts=parts, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                every = batch.column(0).to_numpy(zero_copy_only=False)
-                m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                own = batch.column(2).to_numpy(zero_copy_only=False)
-                size = np.linalg.norm(m, axis=1)
-                every, own, m = every[size > 0], own[size > 0], m[size > 0] / size[size > 0, None]
+    sides = [vector_blocks(x.select(key, "vec", kept.cast("bigint").alias("part")), block) for x, key in ((vectors, "item_id"), (queries, "query_id"))]
+    met = sides[0].crossJoin(sides[1].toDF("q_ids", "q_flat", "q_parts", "q_n"))
+
+    def unit(ids: np.ndarray, flat: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        m = flat.reshape(len(ids), -1)
+        size = np.linalg.norm(m, axis=1)
+        return ids[size > 0], m[size > 0] / size[size > 0, None], parts[size > 0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                held = {c: batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "flat", "parts", "q_ids", "q_flat", "q_parts")}
+                every, m, own = unit(held["ids"], held["flat"], held["parts"])
+                ids, q, parts = unit(held["q_ids"], held["q_flat"], held["q_parts"])
                 for p in np.intersect1d(own, parts):
                     item, asks = every[own == p], ids[parts == p]
                     c = np.round(m[own == p] @ q[parts == p].T, digits)
@@ -160,9 +155,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, block: int = 4096
                     keep = value > -2
                     yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(asks, order.shape)[keep]), pa.array(item[order][keep]), pa.array(value[keep])], ["query_id", "item_id", "cosine"])
 
-        best = vectors.where("vec IS NOT NULL").select("item_id", "vec", kept.cast("bigint").alias("part")).mapInArrow(run, "query_id bigint, item_id bigint, cosine double")
-        found = best if found is None else found.unionAll(best)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id bigint, item_id bigint, cosine double")
+    found = met.mapInArrow(run, "query_id bigint, item_id bigint, cosine double")
     window = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "item_id")
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)

@@ -21,7 +21,7 @@ def sentence_id(text: Column) -> Column:
 def sentences(pairs: DataFrame, a: str = "text_a", b: str = "text_b") -> DataFrame:
     """(sid, sentence): the distinct texts of both columns; null ones are none."""
     both = pairs.select(F.col(a).alias("sentence")).unionAll(pairs.select(F.col(b))).where("sentence IS NOT NULL")
-    return both.distinct().select(sentence_id(F.col("sentence")).alias("sid"), "sentence")
+    return both.groupBy(sentence_id(F.col("sentence")).alias("sid")).agg(F.first("sentence").alias("sentence"))
 
 
 def edges(pairs: DataFrame, a: str = "text_a", b: str = "text_b", label: str = "labels") -> DataFrame:
@@ -71,7 +71,7 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
 
 def sentence_components(pairs: DataFrame) -> DataFrame:
     """(sid, component) of all sentences."""
-    nodes = sentences(pairs).select(F.col("sid").alias("id"))
+    nodes = pairs.select(F.explode(F.array(sentence_id(F.col("text_a")), sentence_id(F.col("text_b")))).alias("id")).where("id IS NOT NULL")
     return components(nodes, edges(pairs)).withColumnRenamed("id", "sid")
 
 

@@ -112,9 +112,9 @@ def ngram_features(tokens: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
     """(doc_id, term, weight): word n-grams with idf ln((1 + n) / (1 + df)) + 1, scaled to length 1 per document."""
     grams = tokens.select("doc_id", F.explode(word_ngrams(F.col("tokens"), low, high)).alias("term"))
     tf = grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = tokens.agg(F.count(F.lit(1)).alias("n"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("raw", F.col("cnt") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    raw = salted_join(tf, df, "term", df.select("term", F.col("df").alias("n"))).crossJoin(F.broadcast(n)).withColumn("raw", F.col("cnt") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return raw.select("doc_id", "term", (F.col("raw") / length).alias("weight"))
 

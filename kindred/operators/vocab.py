@@ -84,7 +84,8 @@ def map_rare_words(records: DataFrame, frequencies: DataFrame, id_col: str, colu
         return records.select(F.col(id_col).alias("id"), F.lit(field).alias("field"), F.posexplode(F.split(F.col(c), sep)).alias("pos", "token"))
 
     both = words(columns[0], 0).unionAll(words(columns[1], 1)).where("token <> ''")
-    joined = both.join(frequencies.where(F.col("cnt") >= min_freq).select("token", "idx"), "token", "left")
+    frequent, _ = broadcast_upto(cut(frequencies.where(F.col("cnt") >= min_freq).select("token", "idx")), MOST_SENT)
+    joined = both.join(frequent, "token", "left")
     known = joined.where("idx IS NOT NULL").select("id", "field", "pos", "token", "idx")
     rare = joined.where("idx IS NULL").select("id", "field", "pos", "token")
     first = rare.withColumn("first", F.min(F.struct("field", "pos")).over(Window.partitionBy("id", "token")))

@@ -266,7 +266,7 @@ def colbert_bce(spark, folder):
     return _scored(spark, folder).agg(F.round(loss, 8).alias("loss"))
 
 
-def _layer(rows: DataFrame, f, width: int) -> DataFrame:
+def _layer(rows: DataFrame, f, width: int, digits: int = 6) -> DataFrame:
     """(item_id, pos, x): what a function makes of the matrix of a batch's vectors, by position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def _layer(rows: DataFrame, f, width: int) -> DataFrame:
                 m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 out = f(m)
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), width)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(width, dtype=np.int32), batch.num_rows)), pa.array(np.round(out.reshape(-1), 6))], ["item_id", "pos", "x"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(width, dtype=np.int32), batch.num_rows)), pa.array(np.round(out.reshape(-1), digits))], ["item_id", "pos", "x"])
 
     return rows.mapInArrow(run, "item_id bigint, pos int, x double")
 
@@ -360,6 +360,53 @@ def nn_pooling(spark, folder):
     return _layer(_vectors(spark, folder), pool, 8)
 
 
+@query(f"""WITH {MATRICES}, t AS (SELECT item_id, p, m[p + 1] AS a, m[p + 2] AS b FROM m, (SELECT unnest(range(7)) AS p)),
+u AS (SELECT item_id, p, f, list_sum(list_transform(range(8), lambda c: a[c + 1] * ((((c * 3 + f * 5) % 7) - 3) / 10.0::DOUBLE) + b[c + 1] * ((((1 + c * 3 + f * 5) % 7) - 3) / 10.0::DOUBLE))) - f / 20.0 AS x FROM t, (SELECT unnest(range(4)) AS f))
+SELECT item_id, f::INTEGER AS pos, round(greatest(max(x), 0), 6) AS x FROM u GROUP BY item_id, f""")
+def nn_text_cnn(spark, folder):
+    """The greatest response of four filters of width two over eight token vectors."""
+    k, c, f = np.indices((2, 8, 4))
+    w = {"conv2.w": ((k + c * 3 + f * 5) % 7 - 3) / 10, "conv2.b": -np.arange(4) / 20}
+    return _layer(_vectors(spark, folder), lambda m: neural.text_cnn(m.reshape(len(m), 8, 8), w, (2,)), 4)
+
+
+@query(f"""WITH {MATRICES}, u AS (SELECT item_id, d, list_transform(m, lambda t: t[d + 1]) AS x FROM m, (SELECT unnest(range(8)) AS d)),
+i AS (SELECT item_id, d AS i, list_max(x) AS x FROM u UNION ALL SELECT item_id, d + 8, list_sum(x) / 8 FROM u),
+h AS (SELECT item_id, j, greatest(sum(x * {WEIGHT}) + max(j) / 10.0, 0) AS h FROM i, (SELECT unnest(range(3)) AS j) GROUP BY item_id, j),
+o AS (SELECT item_id, k, exp(sum(h * {WEIGHT.replace('i', '(a.j)').replace('j * 3', 'k * 3')}) + max(k) / 10.0) AS e FROM h a, (SELECT unnest(range(2)) AS k) GROUP BY item_id, k)
+SELECT item_id, k::INTEGER AS pos, round(e / sum(e) OVER (PARTITION BY item_id), 6) AS x FROM o""")
+def nn_fast_text(spark, folder):
+    """Class probabilities from the greatest and mean token values through one hidden layer."""
+    w = {"hidden.w": _weights(16, 3), "hidden.b": np.arange(3) / 10, "out.w": _weights(3, 2), "out.b": np.arange(2) / 10}
+    return _layer(_vectors(spark, folder), lambda m: neural.fast_text(m.reshape(len(m), 8, 8), w), 2)
+
+
+QW = "((((i * 7 + j * 3) % 11) - 5) / 10.0::DOUBLE)"
+
+
+def _project(source: str, weight: str) -> str:
+    return f"list_transform({source}, lambda t: list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda i: t[i + 1] * {weight}))))"
+
+
+@query(f"""WITH {MATRICES}, q AS (SELECT item_id, m, {_project('m', QW)} AS q, {_project('m', QW.replace('* 7', '* 5'))} AS k, {_project('m', QW.replace('* 7', '* 2'))} AS v FROM m),
+s AS (SELECT item_id, p, h, m, list_transform(k, lambda t: exp(list_inner_product(q[p + 1][h * 4 + 1 : h * 4 + 4], t[h * 4 + 1 : h * 4 + 4]) / 2.0::DOUBLE)) AS e, v FROM q, (SELECT unnest(range(8)) AS p), (SELECT unnest(range(2)) AS h)),
+c AS (SELECT item_id, p, h * 4 + d AS c, m, list_sum(list_transform(range(1, 9), lambda n: e[n] * v[n][h * 4 + d + 1])) / list_sum(e) AS x FROM s, (SELECT unnest(range(4)) AS d)),
+a AS (SELECT item_id, p, j, m[1][1] AS any, first(m[p + 1][j + 1]) + sum(x * {QW.replace('i * 7', 'c * 4')}) AS x FROM c, (SELECT unnest(range(8)) AS j) GROUP BY item_id, p, j, m[1][1]),
+n AS (SELECT item_id, p, j, (x - avg(x) OVER w) / sqrt(var_pop(x) OVER w + 1e-12) AS x FROM a WINDOW w AS (PARTITION BY item_id, p))
+SELECT item_id, (p * 8 + j)::INTEGER AS pos, round(x, 5) AS x FROM n""")
+def nn_attention_block(spark, folder):
+    """The first half of an encoder's block: two-headed self-attention with projections, added to its input and normalised."""
+    i, j = np.indices((8, 8))
+    w = {f"b.{part}.w": ((i * f + j * 3) % 11 - 5) / 10 for part, f in {"q": 7, "k": 5, "v": 2, "o": 4}.items()} | {f"b.{part}.b": np.zeros(8) for part in "qkvo"}
+
+    def block(m: np.ndarray) -> np.ndarray:
+        x = m.reshape(len(m), 8, 8)
+        out = x + neural.self_attention(x, w, "b", 2, np.ones((len(m), 8)))
+        return neural.layer_norm(out, np.ones(8), np.zeros(8)).reshape(len(m), 64)
+
+    return _layer(_vectors(spark, folder), block, 64, 5)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
