@@ -136,6 +136,17 @@ def masked_logits(x: np.ndarray, w: Weights) -> np.ndarray:
     return h @ w["token"].T + w["mlm.bias"]
 
 
+def next_sentence(states: list[np.ndarray], w: Weights) -> np.ndarray:
+    """Probabilities that the second text follows the first, or does not, from the pooled first token."""
+    return softmax(dense(pooled(states, np.ones(states[-1].shape[:2]), w, "pooler"), w, "nsp"))
+
+
+def pair_probabilities(ids: np.ndarray, segments: np.ndarray, w: Weights, *, how: str = "pooler", **options) -> np.ndarray:
+    """The task head of pair classification: an encoder over both texts as one sequence, pooled, and a dense layer with softmax."""
+    _, states = transformer(ids, segments, w, **options)
+    return softmax(dense(pooled(states, (ids != 0).astype(float), w, how), w, "head"))
+
+
 def conv1d(x: np.ndarray, kernel: np.ndarray, bias: np.ndarray, stride: int = 1, same: bool = False) -> np.ndarray:
     """[batch, length, channels] with [width, channels, filters]."""
     width = len(kernel)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import external
 from kindred.functions import vectors as V
-from kindred.operators import blocks, classify, corpus, embed, encode, lsh, metrics, neural, pairs, rank, vocab
+from kindred.operators import blocks, classify, corpus, embed, encode, lsh, metrics, neural, pairs, rank, vocab, weights
 from kindred.operators.corpus import CorpusIndex
 from kindred.session import salted_join
 from kindred.sources import readers
@@ -472,3 +472,40 @@ def test_recurrent_and_deep_networks():
     # blocks of zeros pass their input by
     first = neural.halved(neural.conv1d(x, deep["first.w"], deep["first.b"], same=True))
     assert neural.deep_cnn(x, deep, 2, 2) == pytest.approx(neural.k_max(first, 2).reshape(2, -1))
+
+
+def test_weights_by_published_names(spark, tmp_path):
+    config = weights.EncoderConfig.of('{"vocab_size": 30, "hidden_size": 8, "num_hidden_layers": 2, "num_attention_heads": 2, "intermediate_size": 16, "max_position_embeddings": 6, "hidden_act": "gelu"}')
+    own = config.random(3)
+    ids = np.array([[3, 4, 5, 0, 0, 0], [7, 8, 9, 1, 2, 3]])
+    want = neural.transformer(ids, ids * 0, own, **config.options())[0]
+    for scoped in (False, True):
+        names = weights.published_names(2, scoped)
+        published = {names[k]: v.T if not scoped and k.endswith(".w") else v for k, v in own.items()}
+        got, missing = weights.imported(published, config, scoped=scoped)
+        assert missing == [] and neural.transformer(ids, ids * 0, got, **config.options())[0] == pytest.approx(want)
+    assert names["block1.q.w"] == "bert/encoder/layer_1/attention/self/query/kernel" and names["token"] == "bert/embeddings/word_embeddings"
+    published.pop(names["pooler.b"])
+    part, missing = weights.imported(published, config, scoped=True, keep=[1, 2, 5], compound=[[0, 1], ([0, 2], [3, 1])])
+    t = own["token"]
+    assert missing == [names["pooler.b"]] and part["token"] == pytest.approx(np.stack([t[1], t[2], t[5], (t[1] + t[2]) / 2, (3 * t[1] + t[5]) / 4]))
+    with pytest.raises(ValueError):
+        weights.imported(published | {names["pooler.w"]: np.ones((2, 2))}, config, scoped=True)
+    kept = weights.Checkpoints(spark, str(tmp_path / "steps"))
+    kept.save(1, {"a": np.ones((2, 3))})
+    kept.save(5, own)
+    step, back = kept.load()
+    assert step == 5 and kept.steps() == [1, 5] and all((back[k] == v).all() for k, v in own.items()) and kept.load(1)[1]["a"].shape == (2, 3)
+    with pytest.raises(KeyError):
+        kept.load(2)
+
+
+def test_heads_are_probabilities_by_their_formula():
+    config = weights.EncoderConfig(30, 8, 1, 2, 16, 6)
+    draw = np.random.default_rng(1)
+    w = config.random() | {f"{h}.{k}": draw.normal(size=s) for h in ("nsp", "head") for k, s in (("w", (8, 2)), ("b", (2,)))}
+    ids = np.array([[3, 4, 5, 0], [7, 8, 9, 1]])
+    _, states = neural.transformer(ids, ids * 0, w, **config.options())
+    for name, got in (("head", neural.pair_probabilities(ids, ids * 0, w, **config.options())), ("nsp", neural.next_sentence(states, w))):
+        z = np.tanh(states[-1][:, 0] @ w["pooler.w"] + w["pooler.b"]) @ w[f"{name}.w"] + w[f"{name}.b"]
+        assert got == pytest.approx(np.exp(z) / np.exp(z).sum(1, keepdims=True))
