@@ -74,23 +74,67 @@ def positional_index(docs: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, part bigint, terms array<bigint>, pos array<int>")
 
 
-def _runs(item: np.ndarray, terms: np.ndarray, pos: np.ndarray) -> list[tuple[int, int, int]]:
-    """(item position, document position, tokens) of the longest exact runs that both hold; `item` has the terms of an item by position."""
-    order = np.argsort(item, kind="stable")
-    ranked = item[order]
-    low, high = np.searchsorted(ranked, terms, "left"), np.searchsorted(ranked, terms, "right")
-    n = high - low
-    if not n.any():
-        return []
-    there = np.repeat(pos, n)
-    here = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    by = np.lexsort((here, there - here))
-    here, there = here[by], there[by]
+class Wordings(NamedTuple):
+    """The terms of items, sorted, with the item (its place in `ids`) and position of each, and the items' sizes in tokens."""
+
+    ranked: np.ndarray
+    item: np.ndarray
+    at: np.ndarray
+    ids: np.ndarray
+    size: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, terms: np.ndarray, at: np.ndarray, size: np.ndarray) -> Wordings:
+        """From one entry a term: its item, the term, its position and the item's size."""
+        known, first, code = np.unique(ids, return_index=True, return_inverse=True)
+        terms = terms.view(np.uint64)
+        order = np.argsort(terms, kind="stable")
+        return Wordings(terms[order], code[order], at[order].astype(np.int64), known, size[first])
+
+
+def _runs(known: Wordings, wanted: np.ndarray, terms: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rows of (item, document position, item position, tokens), in this order: the longest exact runs that a document and each of the `wanted` items both hold."""
+    low = np.searchsorted(known.ranked, terms)
+    n = np.searchsorted(known.ranked, terms, "right") - low
+    hit = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    asked = np.zeros(len(known.ids), bool)
+    asked[np.searchsorted(known.ids, wanted)] = True
+    kept = asked[known.item[hit]]
+    hit, there = hit[kept], np.repeat(pos, n)[kept].astype(np.int64)
+    item, here = known.item[hit], known.at[hit]
+    by = np.lexsort((here, there - here, item))
+    item, here, there = item[by], here[by], there[by]
     opens = np.ones(len(here), bool)
-    opens[1:] = (here[1:] != here[:-1] + 1) | (there[1:] != there[:-1] + 1)
+    opens[1:] = (here[1:] != here[:-1] + 1) | (there[1:] != there[:-1] + 1) | (item[1:] != item[:-1])
     start = np.nonzero(opens)[0]
     length = np.diff(np.append(start, len(here))) + 1
-    return sorted(zip(here[start].tolist(), there[start].tolist(), length.tolist()))
+    out = np.stack([item[start], there[start], here[start], length], 1)
+    return out[np.lexsort((out[:, 2], out[:, 1], out[:, 0]))]
+
+
+def near_clusters(runs: np.ndarray, gap: int, least: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(item, its runs as rows of item position, document position, tokens) of each cluster of runs that could be a passage.
+
+    Runs that are farther apart than `gap` in the document are in no chain together; a cluster counts if its runs cover least[item] tokens of the item.
+    """
+    if not len(runs):
+        return []
+    item, there, here, n = runs.T
+    # items one after the other, far apart
+    place = there + item * (there.max() + n.max() + gap + 2)
+    reached = np.maximum.accumulate(place + n)
+    opens = np.nonzero(np.append(True, place[1:] - reached[:-1] > gap))[0]
+    ends, out = np.append(opens[1:], len(runs)), []
+    for k in np.nonzero(np.add.reduceat(n, opens) >= least[item[opens]])[0].tolist():
+        own = slice(opens[k], ends[k])
+        a, m = here[own], n[own]
+        covered = np.zeros(int((a + m).max()) + 1, np.int64)
+        np.add.at(covered, a, 1)
+        np.add.at(covered, a + m, -1)
+        if (np.cumsum(covered) > 0).sum() >= least[item[opens[k]]]:
+            own = np.stack([a, there[own], m], 1)
+            out.append((int(item[opens[k]]), own[np.lexsort((own[:, 2], own[:, 1], own[:, 0]))]))
+    return out
 
 
 def best_passage(runs: list[tuple[int, int, int]], gap: int) -> tuple[int, int, int, int, int]:
@@ -124,7 +168,7 @@ def best_passage(runs: list[tuple[int, int, int]], gap: int) -> tuple[int, int,
 
 
 def accepted_passage(runs: list[tuple[int, int, int]], gap: int, size: int, share: float, density: float) -> tuple[int, int, int, int, int] | None:
-    """The chain of runs that holds most among those that span `share` of the item's `size` tokens with at least `density` of them held; None if no chain does.
+    """The chain of a cluster's runs that holds most among those that span `share` of the item's `size` tokens with at least `density` of them held; None if no chain does.
 
     The chain of the highest score is tried first. Where it falls short, the most that any chain from one run to another holds is
     found for all pairs of a first and a last run, so a shorter, denser passage is not lost behind a longer, sparser one.
@@ -136,12 +180,7 @@ def accepted_passage(runs: list[tuple[int, int, int]], gap: int, size: int, shar
     best = best_passage(runs, gap)
     if fits(*best[:3]):
         return best
-    a, b, n = (np.array(x) for x in zip(*runs))
-    covered = np.zeros(size + 1, np.int64)
-    np.add.at(covered, a, 1)
-    np.add.at(covered, np.minimum(a + n, size), -1)
-    if (np.cumsum(covered[:size]) > 0).sum() < density * share * size - 1e-9:
-        return None
+    a, b, n = np.array(runs).T
     before, gains = [], []
     for k in range(len(runs)):
         over = np.maximum(0, np.maximum(a[:k] + n[:k] - a[k], b[:k] + n[:k] - b[k]))
@@ -175,7 +214,7 @@ def leaked_items(
     *,
     share: float = 0.5,
     density: float = 0.75,
-    spare: float = 0.6,
+    spare: float = 0.2,
     gap: int = 10,
     shared_by: int = 3,
     most_terms: int = 1_000_000,
@@ -221,29 +260,41 @@ def leaked_items(
     few, small = broadcast_upto(anchors, broadcast_rows)
     hits = postings.join(few, "term") if small else salted_join(postings, few, "term", frequency)
     near = hits.groupBy("doc_id", "part", "item", "need").agg(F.count(F.lit(1)).alias("n")).where("n >= need").select("doc_id", "part", "item")
-    by_item = asked.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"), F.max("size").alias("size")).select("item", F.col("t.term").alias("wording"), "size")
-    wordings = broadcast_upto(asked, broadcast_rows)[1]
-    pairs = near.join(index, ["doc_id", "part"]).join(F.broadcast(by_item) if wordings else by_item, "item")
+    if broadcast_upto(asked, broadcast_rows)[1]:
+        # a row a document, with the numbers of its candidates; the wordings of all items are with the tasks
+        sent = asked.select("item", "term", "at", "size").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(Wordings.of(*(sent[c].to_numpy() for c in ("item", "term", "at", "size"))))
+        pairs = near.groupBy("doc_id", "part").agg(F.collect_list("item").alias("items")).join(index, ["doc_id", "part"]).select("doc_id", "items", "terms", "pos")
+    else:
+        shared = None
+        by_item = asked.groupBy("item").agg(F.collect_list("term").alias("wording"), F.collect_list("at").alias("at"), F.max("size").alias("size"))
+        pairs = near.join(index, ["doc_id", "part"]).join(by_item, "item").select("doc_id", F.array("item").alias("items"), "terms", "pos", "wording", "at", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, pos, item = (batch.column(k) for k in ("terms", "pos", "wording"))
             out = []
-            for row, size in enumerate(batch.column("size").to_pylist()):
-                own = item[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                runs = _runs(own, doc[row].values.to_numpy(zero_copy_only=False).view(np.uint64), pos[row].values.to_numpy(zero_copy_only=False))
-                best = accepted_passage(runs, gap, size, share, density) if runs else None
-                if best:
-                    held, start, end, first, last = best
-                    out.append((row, held, (end - start) / size, held / (end - start), first, last))
-            columns = list(zip(*out)) or [()] * 6
-            at = pa.array(columns[0], pa.int64())
-            kinds = [pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("item").take(at), *(pa.array(c, q) for c, q in zip(columns[1:], kinds))], ["doc_id", "item", "held", "item_share", "density", "doc_from", "doc_to"])
+            for row in range(batch.num_rows):
+                own = {c: batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in ("doc_id", "size")}
+                if shared:
+                    known = shared.value
+                else:
+                    n = len(own["wording"])
+                    known = Wordings.of(np.repeat(own["items"], n), own["wording"], own["at"], np.repeat(batch.column("size")[row].as_py(), n))
+                runs = _runs(known, own["items"], own["terms"].view(np.uint64), own["pos"])
+                for item, cluster in near_clusters(runs, gap, density * share * known.size - 1e-9):
+                    size = int(known.size[item])
+                    best = accepted_passage([tuple(r) for r in cluster.tolist()], gap, size, share, density)
+                    if best:
+                        held, start, end, first, last = best
+                        out.append((row, int(known.ids[item]), held, (end - start) / size, held / (end - start), first, last))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(columns[0], pa.int64())), *(pa.array(c, q) for c, q in zip(columns[1:], kinds))], ["doc_id", "item", "held", "item_share", "density", "doc_from", "doc_to"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item bigint, held int, item_share double, density double, doc_from int, doc_to int"
-    found = pairs.select("doc_id", "item", "terms", "pos", "wording", "size").mapInArrow(run, schema)
+    # few bytes, much to compute: a number of parts that adaptive execution does not lower
+    pairs = pairs.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism * 2))
+    found = pairs.mapInArrow(run, f"doc_id {kind}, item bigint, held int, item_share double, density double, doc_from int, doc_to int")
     named = found.join(broadcast_upto(items.select("item", "item_id"), broadcast_rows)[0], "item")
     best = F.max_by(F.struct("held", "item_share", "density", "doc_from", "doc_to"), F.struct("held", -F.col("doc_from")))
     return named.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

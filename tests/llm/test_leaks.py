@@ -1,6 +1,8 @@
 import random
 
-from kindred.llm.leaks import accepted_passage, best_passage, leaked_items
+import numpy as np
+
+from kindred.llm.leaks import accepted_passage, best_passage, leaked_items, near_clusters
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string, held string", "item_id bigint, text string, n string"
 RULE = "Please choose the best answer below."
@@ -48,6 +50,13 @@ def test_a_dense_passage_is_found_behind_a_sparser_one():
     assert accepted_passage([(0, 100, 10), (32, 132, 2)], 10, 40, 0.5, 0.75) is None
 
 
+def test_clusters_part_where_no_chain_goes_on():
+    runs = np.array([(0, 5, 0, 4), (0, 19, 4, 4), (0, 40, 8, 9), (1, 6, 0, 3)])
+    got = near_clusters(runs, 10, np.array([8, 4]))
+    assert [(i, r.tolist()) for i, r in got] == [(0, [[0, 5, 4], [4, 19, 4]]), (0, [[8, 40, 9]])]
+    assert near_clusters(runs[:0], 10, np.array([8, 4])) == []
+
+
 def test_ids_of_any_type_and_one_id_with_two_texts(spark):
     docs = spark.createDataFrame([("a", "x y z w v u"), ("a", "one two three four five six"), ("b", "other words")], "doc_id string, text string")
     items = spark.createDataFrame([("i", "x y z w v u"), ("j", "one two three four five six"), ("j", "x y z w v u")], "item_id string, text string")
