@@ -23,7 +23,7 @@ LEET = ("@$013457", "asoieast")
 FILLERS = "*~～.·_-xX|/^+#"
 # Ends of sentences; the first ones only before a blank or the end.
 ENDS, CJK_ENDS = ".?!", "。？！；;\n"
-# Words by which a weak label of a category is given to a stretch of a text that reviewers call toxic.
+# Words by which a group of toxic stretches is named.
 SEEDS = {
     "sexual": "fuck lick nudes naked porn xxx tits moan sex strip horny 裸 呻 脱 炮 骚 爽 妇 色",
     "threat": "choke punched kill burn slapped die dead hurt beat disappear hope swear 死 打 杀 扔 砍 弄",
@@ -234,13 +234,65 @@ def _seeded(s: Stretches, words: str) -> np.ndarray:
     return np.add.reduceat(has, s.start // 3) > 0
 
 
-def fit_chain(spark: SparkSession, texts: list[str], toxic: list[float], *, folds: int = 3, doubt: float = 0.6, seeds: dict[str, str] | None = None) -> Chain:
+def word_groups(s: Stretches, chosen: np.ndarray, groups: int, rounds: int = 20) -> np.ndarray:
+    """For each of the `chosen` stretches its group of like wording, -1 for those of rare words alone: spherical k-means over their words, weighted by how
+    many stretches of all hold them, from centres that are each the stretch farthest from those before."""
+    size = np.diff(np.append(s.start, len(s.feature))) // 3
+    owner = np.repeat(np.arange(len(size)), size)
+    words, code = np.unique(s.token, return_inverse=True)
+    pairs = np.unique(owner * len(words) + code)
+    held_by = np.bincount(pairs % len(words), minlength=len(words))
+    row = np.full(len(size), -1)
+    row[chosen] = np.arange(len(chosen))
+    own, word = row[pairs // len(words)], pairs % len(words)
+    own, word = own[own >= 0], word[row[pairs // len(words)] >= 0]
+    column, word = np.unique(word, return_inverse=True)
+    often = np.bincount(word) >= 3
+    slot, weight = np.cumsum(often) - 1, np.log(len(size) / held_by[column])
+    x = np.zeros((len(chosen), int(often.sum())), np.float32)
+    kept = often[word]
+    x[own[kept], slot[word[kept]]] = weight[word[kept]]
+    norm = np.linalg.norm(x, axis=1)
+    some = np.nonzero(norm > 0)[0]
+    out = np.full(len(chosen), -1)
+    if not len(some):
+        return out
+    x = x[some] / norm[some, None]
+    centres = [x[0]]
+    nearest = x @ centres[0]
+    while len(centres) < min(groups, len(x)):
+        centres.append(x[int(nearest.argmin())])
+        nearest = np.maximum(nearest, x @ centres[-1])
+    c = np.array(centres)
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, at, x)
+        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    out[some] = (x @ c.T).argmax(1)
+    return out
+
+
+def named_groups(s: Stretches, chosen: np.ndarray, group: np.ndarray, seeds: dict[str, str]) -> np.ndarray:
+    """For each of the `chosen` stretches the number of its group's category, -1 for none: the one whose words the group holds most above their share among all chosen ones."""
+    has = np.stack([_seeded(s, words)[chosen] for words in seeds.values()], 1).astype(float)
+    share = has.mean(0) if len(chosen) else np.zeros(len(seeds))
+    names = np.full(int(group.max(initial=-1)) + 2, -1)
+    for g in range(len(names) - 1):
+        members = group == g
+        lift = (has[members].sum(0) + share) / (members.sum() + 1) / np.maximum(share, 1e-9)
+        if has[members].any():
+            names[g] = int(lift.argmax())
+    return names[group]
+
+
+def fit_chain(spark: SparkSession, texts: list[str], toxic: list[float], *, folds: int = 3, doubt: float = 0.6, groups: int = 24, seeds: dict[str, str] | None = None) -> Chain:
     """The chain: one linear model for each category of `seeds` (SEEDS), in their order, then one for toxicity as such.
 
     Reviewers call documents toxic, not sentences, so stretches are learnt from first with their document's label and twice
     more with labels cleaned by out-of-fold probabilities: of a toxic document those above one half, or the highest if it is at least 0.15, later 0.3; a
-    toxic document without any and a harmless one with a stretch of at least `doubt` are taken for wrong labels. A category's
-    label is the stretch's, given a word of the category. Every link learns from the stretches' features and the out-of-fold
+    toxic document without any and a harmless one with a stretch of at least `doubt` are taken for wrong labels. Categories are
+    groups of like wording among the toxic stretches (`word_groups`), learnt without words given; a few words only name them (`named_groups`). Every link learns from the stretches' features and the out-of-fold
     probabilities of the links before it, so that it meets at prediction what it met in training. The threshold is the one with
     the best F1 of out-of-fold document scores, the end of the first quarter of those within 0.01 of it. The models of a step's folds are fitted in tasks side by side.
     """
@@ -262,8 +314,11 @@ def fit_chain(spark: SparkSession, texts: list[str], toxic: list[float], *, fold
         wrong = ~positive & (p >= doubt)
         importance = np.where(positive & (y == 0), 0.1, 1.0) * ~wrong
     links, before = [], none
-    for words in seeds.values():
-        p, link = fits.run(before, y * _seeded(s, words), importance, True)
+    toxic_ones = np.nonzero(y > 0)[0]
+    kind = np.full(len(y), -1)
+    kind[toxic_ones] = named_groups(s, toxic_ones, word_groups(s, toxic_ones, groups), seeds)
+    for number in range(len(seeds)):
+        p, link = fits.run(before, (kind == number).astype(float), importance, True)
         links.append(link)
         before = np.column_stack([before, p])
     p, link = fits.run(before, y, importance, True)
