@@ -126,7 +126,8 @@ def is_cjk(char: Column) -> Column:
 
 
 def is_control(char: Column) -> Column:
-    return ~is_space(char) & char.rlike(r"^[\p{Cc}\p{Cf}]$")
+    """Controls and format characters; tab, line feed and carriage return are such, and blanks as well."""
+    return char.rlike(r"^[\p{Cc}\p{Cf}]$")
 
 
 def is_special(token: Column) -> Column:

@@ -349,7 +349,8 @@ def siamese_scores(pairs: DataFrame, id_col: str, a: str = "text_a", b: str = "t
                 windows = np.maximum(1, -(-n // window))  # of each text
                 first = np.cumsum(windows) - windows
                 pos = np.arange(len(t.row)) - (np.cumsum(n) - n)[t.row]
-                ids = padded(first[t.row] + pos // window, (t.hash % np.uint64(vocab - 1)).astype(np.int64) + 1, int(windows.sum()), window)
+                width = min(window, max(1, int(n.max(initial=1))))
+                ids = padded(first[t.row] + pos // window, (t.hash % np.uint64(vocab - 1)).astype(np.int64) + 1, int(windows.sum()), width)
                 parts = []
                 for at in range(0, len(ids), 512):
                     part = ids[at : at + 512]

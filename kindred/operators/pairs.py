@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kindred.functions.arrays import drop_at, pad, segments, truncated_sizes, with_markers
 from kindred.functions.binding import let
 from kindred.operators.corpus import ranked_rows
-from kindred.session import cut
+from kindred.session import cut, salted_join
 
 UNLABELLED = 2
 
@@ -31,22 +31,27 @@ def edges(pairs: DataFrame, a: str = "text_a", b: str = "text_b", label: str = "
     return known.select(F.least(s, d).alias("src"), F.greatest(s, d).alias("dst")).distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60, hub_links: int = 1_000_000) -> DataFrame:
     """(id, component): of (id) and (src, dst), each node with the smallest id of its component; nodes without links are their own.
 
     Large stars and small stars in turn (Kiveris et al., 2014): each round rewires every node to the least neighbour, first among
     larger ones, then among all, so the number of rounds grows with the logarithm of the longest path. Each round's links are cut to the
-    checkpoint folder; the loop ends when a round changes nothing, told by the count and a hash sum of the links.
+    checkpoint folder; the loop ends when a round changes nothing, told by the count and a hash sum of the links. Where a node has `hub_links` links or more,
+    the next round joins with salts for hot nodes.
     """
 
-    def star(links: DataFrame, large: bool) -> DataFrame:
+    def star(links: DataFrame, large: bool, hub: bool) -> DataFrame:
         both = links.select(F.col("src").alias("u"), F.col("dst").alias("v"))
         if large:
             both = both.unionAll(links.select(F.col("dst"), F.col("src")))
         else:
             both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-        joined = both.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "low").alias("m"), "n")
+        if hub:
+            low = cut(low)
+            joined = salted_join(both, low.select("u", "m"), "u", low.select("u", "n"))
+        else:
+            joined = both.join(low.drop("n"), "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         else:
@@ -54,12 +59,14 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
         return out.where("src <> dst").distinct()
 
     def state(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+        by_end = links.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h"))
+        return tuple(by_end.agg(F.sum("n"), F.sum("h"), F.max("n")).first())
 
     now = cut(links.where("src <> dst").distinct())
-    before = None
+    before = state(now)
     for _ in range(most_rounds):
-        now = cut(star(star(now, True), False))
+        hub = (before[2] or 0) >= hub_links
+        now = cut(star(star(now, True, hub), False, hub))
         if (told := state(now)) == before:
             break
         before = told

@@ -122,16 +122,16 @@ def similar_words(matches: DataFrame, most: int = 15, least: float = 0.68) -> Da
 
 
 def ngram_meta(words: DataFrame, matches: DataFrame, **how) -> DataFrame:
-    """(word, ids, n, similar) of (word): the code points of its characters, its length, and those of the words like it by `similar_words` of
+    """(word, ids, n, likes) of (word): the code points of its characters, its length, and those of the words like it by `similar_words` of
     (word, other, similarity), best first; words without a vector or a like are kept."""
 
     def points(w: Column) -> Column:
         return F.array_join(F.transform(F.split(w, ""), lambda c: F.ascii(c)).cast("array<string>"), " ")
 
     near = similar_words(matches, **how).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "other"))).alias("s"))
-    named = near.select("word", F.array_join(F.transform("s", lambda x: points(x["other"])), "|").alias("similar"))
+    named = near.select("word", F.array_join(F.transform("s", lambda x: points(x["other"])), "|").alias("likes"))
     distinct = words.select("word").where("word <> ''").distinct()
-    return distinct.join(named, "word", "left").select("word", points(F.col("word")).alias("ids"), F.length("word").alias("n"), F.coalesce("similar", F.lit("")).alias("similar"))
+    return distinct.join(named, "word", "left").select("word", points(F.col("word")).alias("ids"), F.length("word").alias("n"), F.coalesce("likes", F.lit("")).alias("likes"))
 
 
 def rare_word_lines(records: DataFrame, id_col: str, columns: tuple[str, str], label_col: str, *, min_freq: int = 5, first_rare: int = 35_000, sep: str = " ") -> DataFrame:

@@ -615,12 +615,15 @@ def oov_map(spark, folder):
 @query
 def similar_words(spark, folder):
     """For each word of the queries the most similar other ones of its length, by hashed vectors."""
+    return vocab.similar_words(_like_words(spark, folder))
+
+
+def _like_words(spark, folder):
     words = table(spark, folder, "queries").select("query_id", T.word_tokens(F.col("query_text")).alias("tokens"))
     known = corpus.ranked_rows(word_vectors(words), [F.asc("token")], "item_id").withColumn("len", F.length("token"))
     met = embed.nearest(known, known.select(F.col("item_id").alias("query_id"), "vec", "len"), 15, group="len", above=0.68)
     a, b = known.select(F.col("item_id").alias("query_id"), F.col("token").alias("word")), known.select("item_id", F.col("token").alias("other"))
-    near = met.join(a, "query_id").join(b, "item_id").select("word", "other", F.col("cosine").alias("similarity"))
-    return vocab.similar_words(near)
+    return met.join(a, "query_id").join(b, "item_id").select("word", "other", F.col("cosine").alias("similarity"))
 
 
 @query

@@ -239,6 +239,19 @@ def oov_lines(spark, folder):
     return vocab.rare_word_lines(table(spark, folder, "pairs"), "pair_id", ("text_a", "text_b"), "labels")
 
 
+POINTS = "array_to_string(list_transform(string_split({0}, ''), lambda c: unicode(c)), ' ')"
+
+
+@query(f"""WITH s AS ({SQL["similar_words"]}), g AS (SELECT word, string_agg({POINTS.format('other')}, '|' ORDER BY rank) AS likes FROM s GROUP BY word),
+q AS (SELECT DISTINCT unnest({filters_sql('query_text')}) AS word FROM queries) SELECT word, {POINTS.format('word')} AS ids, length(word) AS n, coalesce(likes, '') AS likes FROM q LEFT JOIN g USING (word)""")
+def ngram_meta(spark, folder):
+    """The words of the queries with the code points of their characters and of the words like them."""
+    from kindred.plans.catalogue import _like_words
+
+    words = table(spark, folder, "queries").select(F.explode(T.word_tokens(F.col("query_text"))).alias("word"))
+    return vocab.ngram_meta(words, _like_words(spark, folder))
+
+
 @query()
 def lexical_inference(spark, folder):
     """The pairs of unknown label, by models of the labelled ones."""

@@ -226,7 +226,7 @@ SELECT doc_id, token, round(weight, 6) AS weight, rank FROM (SELECT *, (row_numb
     "bert_basic_tokens": f"SELECT pair_id, unnest(range(len(w)))::INTEGER AS pos, unnest(w) AS token FROM (SELECT pair_id, {basic_sql('text_a')} AS w FROM pairs WHERE text_a IS NOT NULL)",
     "char_classes": f"""WITH c AS (SELECT DISTINCT unnest(string_split(query_text, '')) AS c FROM queries WHERE query_text <> ''),
 s AS (SELECT c, c IN (' ', chr(10), chr(13), chr(9)) OR regexp_matches(c, '^\\p{{Zs}}$') AS space FROM c)
-SELECT c, space, regexp_matches(c, '^[{PUNCTUATION_CLASS}]$') AS punctuation, regexp_matches(c, '^[{CJK_CLASS}]$') AS cjk, NOT space AND regexp_matches(c, '^[\\p{{Cc}}\\p{{Cf}}]$') AS control FROM s""",
+SELECT c, space, regexp_matches(c, '^[{PUNCTUATION_CLASS}]$') AS punctuation, regexp_matches(c, '^[{CJK_CLASS}]$') AS cjk, regexp_matches(c, '^[\\p{{Cc}}\\p{{Cf}}]$') AS control FROM s""",
     "levenshtein_pairs": "SELECT p_brand, p_type, levenshtein(p_brand, p_type)::INTEGER AS distance FROM (SELECT DISTINCT p_brand, p_type FROM part)",
     "pad_truncate": f"""{LOWER_BASE}, {VOCAB.format(1)}, seqs AS (SELECT d.doc_id, coalesce(s.seq, []) AS seq FROM docs d LEFT JOIN (SELECT doc_id, list(idx ORDER BY pos) AS seq FROM words JOIN vocab USING (token) GROUP BY doc_id) s USING (doc_id)),
 modes AS (SELECT doc_id, p || '-' || t AS mode, p, CASE WHEN len(seq) <= 12 THEN seq WHEN t = 'pre' THEN seq[len(seq) - 11 : len(seq)] ELSE seq[1:12] END AS kept FROM seqs, (VALUES ('pre'), ('post')) a(p), (VALUES ('pre'), ('post')) b(t)),

@@ -89,8 +89,9 @@ def test_components_equal_union_find(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     df = spark.createDataFrame(links, "src bigint, dst bigint")
-    got = pairs.components(spark.createDataFrame([(k,) for k in nodes], "id bigint"), df)
-    assert {r["id"]: r["component"] for r in got.collect()} == {k: find(k) for k in nodes}
+    for hub in (1, 10**6):
+        got = pairs.components(spark.createDataFrame([(k,) for k in nodes], "id bigint"), df, hub_links=hub)
+        assert {r["id"]: r["component"] for r in got.collect()} == {k: find(k) for k in nodes}
 
 
 PAIRS = "pair_id bigint, text_a string, text_b string, labels int"
@@ -394,7 +395,7 @@ def test_word_vectors_and_meta(spark):
     tokens = spark.createDataFrame([(["a", "b"],), (["a", "c"],)] * 20, "tokens array<string>")
     assert {r["token"]: len(r["vec"]) for r in embed.word_vectors(tokens, size=4, epochs=1).collect()} == {"a": 4, "b": 4, "c": 4}
     near = spark.createDataFrame([("ab", "cd", 0.9), ("ab", "ce", 0.95), ("ab", "x", 0.99), ("ab", "zz", 0.1)], "word string, other string, similarity double")
-    got = {r["word"]: (r["ids"], r["n"], r["similar"]) for r in vocab.ngram_meta(spark.createDataFrame([("ab",), ("q",), (None,), ("ab",)], "word string"), near).collect()}
+    got = {r["word"]: (r["ids"], r["n"], r["likes"]) for r in vocab.ngram_meta(spark.createDataFrame([("ab",), ("q",), (None,), ("ab",)], "word string"), near).collect()}
     assert got == {"ab": ("97 98", 2, "99 101|99 100"), "q": ("113", 1, "")}
 
 
