@@ -5,8 +5,11 @@ from __future__ import annotations
 import base64
 import math
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -77,48 +80,99 @@ class Bins:
                 self.fill[source] -= int(self.sizes[item])
                 self.fill[target] += int(self.sizes[item])
 
-    def gain(self, donor: int, receiver: int) -> tuple[int, list[int], list[int]]:
-        """The exchange that brings the receiver closest to full: a document moved, one or two for one.
+    def search(self) -> bool:
+        """Exchanges until none between any two bins gains: a document moved, one or two for one, into a bin that is at least as full. Whether there were any.
 
-        The receiver is at least as full as the donor, so every gain increases the sum of squared fills.
+        Underfull bins are filled, fullest first, each time by the exchange that brings them closest to full, of equal ones from the emptiest bin. Every exchange
+        makes a fuller bin fuller, which increases the sum of squared fills, so the search ends. Partners are looked up by size among all bins, none is passed over.
         """
-        gap = self.capacity - self.fill[receiver]
-        give, take = np.array(self.items[donor]), np.array(self.items[receiver])
-        g, t = self.sizes[give], np.concatenate([[0], self.sizes[take]])
-        best = (0, [], [])
-        ones = g[:, None] - t[None, :]
-        ones = np.where(ones <= gap, ones, 0)
-        k, m = np.unravel_index(int(ones.argmax()), ones.shape)
-        if ones[k, m] > 0:
-            best = (int(ones[k, m]), [int(give[k])], [int(take[m - 1])] if m else [])
-        if best[0] < gap and len(give) > 1:
-            p, q = np.triu_indices(len(give), 1)
-            twos = (g[p] + g[q])[:, None] - t[None, 1:]
-            twos = np.where(twos <= gap, twos, 0)
-            if twos.size and twos.max() > best[0]:
-                k, m = np.unravel_index(int(twos.argmax()), twos.shape)
-                best = (int(twos[k, m]), [int(give[p[k]]), int(give[q[k]])], [int(take[m])])
-        return best
-
-    def search(self, donors: int = 24) -> None:
-        """Fills underfull bins, fullest first, from the `donors` emptiest ones until those are empty or no exchange gains.
-
-        Every exchange makes a fuller bin fuller, so the search ends; a bin weighs its exchanges with `donors` others, whatever the number of bins.
-        """
-        improved = True
+        exchanged, improved = False, True
         while improved:
             improved = False
             under = sorted((b for b in range(len(self.items)) if 0 < self.fill[b] < self.capacity), key=lambda b: (-self.fill[b], b))
+            offers = Offers(self)
+            for bin_ in under:
+                offers.add(bin_)
+            passed: list[int] = []
             for receiver in under:
-                while 0 < self.fill[receiver] < self.capacity:
-                    poor = [b for b in reversed(under) if 0 < self.fill[b] <= self.fill[receiver] and b != receiver][:donors]
-                    options = [(*self.gain(d, receiver), d) for d in poor]
-                    options = [o for o in options if o[0] > 0]
-                    if not options:
-                        break
-                    _, given, taken, donor = max(options, key=lambda o: (o[0], -self.fill[o[3]]))
+                if passed and self.fill[receiver] < self.fill[passed[-1]]:
+                    for bin_ in passed:  # fuller than all that follow
+                        offers.drop(bin_)
+                    passed = []
+                offers.drop(receiver)
+                while 0 < self.fill[receiver] < self.capacity and (found := offers.best(receiver)):
+                    given, taken, donor = found
                     self.move(given, taken, donor, receiver)
-                    improved = True
+                    offers.drop(donor)
+                    if self.fill[donor]:
+                        offers.add(donor)
+                    exchanged = improved = True
+                if 0 < self.fill[receiver] < self.capacity:
+                    offers.add(receiver)
+                    passed.append(receiver)
+        return exchanged
+
+
+class Offers:
+    """What bins can give, by size: single items and pairs of items, each size with its bins, emptiest first."""
+
+    def __init__(self, bins: Bins) -> None:
+        self.bins = bins
+        self.turn = [0] * len(bins.items)
+        # sizes as the bits of a number, for either kind, and for each size a heap of (fill, bin, turn), of which older turns no longer count
+        self.sizes = [0, 0]
+        self.holders: list[dict[int, list[tuple[int, int, int]]]] = [{}, {}]
+
+    def drop(self, bin_: int) -> None:
+        self.turn[bin_] += 1
+
+    def add(self, bin_: int) -> None:
+        held = Counter(self.bins.sizes[self.bins.items[bin_]].tolist())
+        entry = (self.bins.fill[bin_], bin_, self.turn[bin_])
+        pairs = {a + b for a, b in combinations(held, 2)} | {2 * a for a, n in held.items() if n > 1}
+        for kind, values in enumerate((held, pairs)):
+            for value in values:
+                heappush(self.holders[kind].setdefault(value, []), entry)
+                self.sizes[kind] |= 1 << value
+
+    def _largest(self, kind: int, low: int, high: int, fill: int) -> tuple[int, int] | None:
+        """The largest size above `low`, up to `high`, that a bin filled up to `fill` gives, and the emptiest such bin."""
+        mask = self.sizes[kind] >> (low + 1) & ((1 << (high - low)) - 1)
+        while mask:
+            value = low + mask.bit_length()
+            heap = self.holders[kind][value]
+            while heap and self.turn[heap[0][1]] != heap[0][2]:
+                heappop(heap)
+            if heap and heap[0][0] <= fill:
+                return value, heap[0][1]
+            if not heap:
+                self.sizes[kind] ^= 1 << value
+            mask ^= 1 << (value - low - 1)
+        return None
+
+    def best(self, receiver: int) -> tuple[list[int], list[int], int] | None:
+        """(items given, items taken, donor) of the exchange that brings the receiver closest to full, or None."""
+        bins, fill = self.bins, self.bins.fill
+        gap, best, gain = bins.capacity - fill[receiver], None, (0, 0)
+        own = {int(bins.sizes[item]): item for item in bins.items[receiver]}
+        for kind in (0, 1):
+            for size in (own if kind else (0, *own)):
+                found = self._largest(kind, size, size + gap, fill[receiver])
+                if found and (found[0] - size, -fill[found[1]]) > gain:
+                    gain, best = (found[0] - size, -fill[found[1]]), (kind, found[0], size, found[1])
+            if gain[0] == gap:
+                break
+        if best is None:
+            return None
+        kind, value, size, donor = best
+        items: dict[int, list[int]] = {}
+        for item in bins.items[donor]:
+            items.setdefault(int(bins.sizes[item]), []).append(item)
+        if kind == 0:
+            given = [items[value][0]]
+        else:
+            given = next([*items[a][:1], *items[value - a][-1:]] for a in items if value - a in items and (2 * a != value or len(items[a]) > 1))
+        return given, [own[size]] if size else [], donor
 
 
 def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -132,6 +186,20 @@ def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+def improve_group(sizes: np.ndarray, capacity: int, start: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The bin of each item once exchanges end that start from the bins `start` (numbered from 0), and whether there were any."""
+    bins = Bins(sizes, capacity)
+    bins.items = [[] for _ in range(int(start.max()) + 1)]
+    for item, bin_ in enumerate(start.tolist()):
+        bins.items[bin_].append(item)
+    bins.fill = [int(sizes[x].sum()) for x in bins.items]
+    exchanged = bins.search()
+    out = np.empty(len(sizes), np.int64)
+    for number, items in enumerate(bins.items):
+        out[items] = number
+    return out, exchanged
+
+
 def pack_texts(
     df: DataFrame,
     capacity: int,
@@ -147,7 +215,7 @@ def pack_texts(
     their own; no other is split. Items are dealt by a hash of id and piece into groups of about `group_items`, whatever
     their source or size, and each group is packed in one task: best fit, largest first, then exchanges between
     underfull bins. Items of all bins that are not full to the last token are dealt anew into fewer groups, so that exchanges reach across groups, until one group is left or no
-    more groups go away; so little space stays unused however many groups there are.
+    more groups go away; the bins that are then left exchange on across groups (`_settled`). No exchange between any two containers gains in the end, however many groups there are.
 
     Null and empty texts come out with 0 tokens and no container. Rows that share an id are items of their own. An empty
     table gives an empty result; other columns are not read.
@@ -164,10 +232,10 @@ def pack_texts(
         groups = max(1, math.ceil(n / group_items))
         placed, left_over = _round(left, capacity, groups, first)
         first += groups
+        done.append(placed)
         if groups == 1 or groups >= before:
-            done.append(placed.unionAll(left_over))
+            done.extend([left_over] if groups == 1 else _settled(left_over, capacity, group_items))
             break
-        done.append(placed)
         left, before = left_over.drop("container_id"), groups
         if left.isEmpty():
             break
@@ -192,3 +260,36 @@ def _round(items: DataFrame, capacity: int, groups: int, first: int) -> tuple[Da
     schema = f"doc_id {kind}, piece int, start_token bigint, n_tokens bigint, item bigint, container_id bigint, full boolean"
     packed = cut(dealt.select("doc_id", "piece", "start_token", "n_tokens", "item", "grp").groupBy("grp").applyInPandas(run, schema))
     return packed.where("full").drop("full"), packed.where("NOT full").drop("full")
+
+
+def _settled(items: DataFrame, capacity: int, group_items: int) -> list[DataFrame]:
+    """The items, in parts, with their containers once no exchange between any two of these gains.
+
+    Containers of equal sizes are alike, so two of each kind stand for all: they meet in one group, the others are dealt into groups by a hash, and
+    all groups exchange from the containers that they have. Where those two of each kind find no exchange, there is none at all. One job a turn; every turn but the
+    last increases the sum of squared fills.
+    """
+    kind = items.schema["doc_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item"], ignore_index=True)
+        ids, start = np.unique(pdf["container_id"].to_numpy(), return_inverse=True)
+        sizes = pdf["n_tokens"].to_numpy()
+        bins, exchanged = improve_group(sizes, capacity, start)
+        pdf["container_id"], pdf["full"] = ids[bins], np.bincount(bins, weights=sizes)[bins] >= capacity
+        pdf["exchanged"] = exchanged & (pdf["grp"].to_numpy() == 0)
+        return pdf.drop(columns="grp")
+
+    schema = f"doc_id {kind}, piece int, start_token bigint, n_tokens bigint, item bigint, container_id bigint, full boolean, exchanged boolean"
+    columns, done, turn = items.columns, [], 0
+    while True:
+        kinds = items.groupBy("container_id").agg(F.sort_array(F.collect_list("n_tokens")).alias("sizes"))
+        two = kinds.groupBy("sizes").agg(F.min("container_id").alias("low"), F.max("container_id").alias("high"))
+        two = two.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("container_id"), F.lit(0).alias("meet"))
+        groups = max(1, math.ceil(items.count() / group_items))
+        dealt = items.join(two, "container_id", "left").withColumn("grp", F.coalesce("meet", 1 + F.pmod(F.xxhash64("container_id", F.lit(turn)), F.lit(groups))))
+        packed = cut(dealt.select("doc_id", "piece", "start_token", "n_tokens", "item", "container_id", "grp").groupBy("grp").applyInPandas(run, schema))
+        if packed.where("exchanged").isEmpty():
+            return [*done, packed.select(columns)]
+        done.append(packed.where("full").select(columns))
+        items, turn = packed.where("NOT full").select(columns), turn + 1

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -64,3 +65,54 @@ def test_items_that_cannot_share_and_empty_tables(spark):
     got = pack_texts(spark.createDataFrame(rows, SCHEMA), 64, group_items=10).collect()
     assert len({r["container_id"] for r in got}) == 120
     assert pack_texts(spark.createDataFrame([], SCHEMA), 64).collect() == []
+
+
+def gains(bins):
+    """Pairs of bins between which an exchange gains, by trying all."""
+    out = []
+    for r, d in itertools.permutations(range(len(bins.items)), 2):
+        gap = bins.capacity - bins.fill[r]
+        if 0 < bins.fill[d] <= bins.fill[r] < bins.capacity:
+            given = bins.sizes[bins.items[d]].tolist()
+            taken = bins.sizes[bins.items[r]].tolist()
+            sums = [g - t for g in given for t in (0, *taken)] + [a + b - t for a, b in itertools.combinations(given, 2) for t in taken]
+            out += [(r, d)] if any(0 < s <= gap for s in sums) else []
+    return out
+
+
+def test_a_partner_behind_many_that_do_not_fit_is_found():
+    bins = Bins(np.array([97, 52, 3] + [51] * 30), 100)
+    bins.items, bins.fill = [[0], [1, 2], *([k] for k in range(3, 33))], [97, 55] + [51] * 30
+    bins.search()
+    assert bins.fill[0] == 100 and sorted(i for x in bins.items for i in x) == list(range(33))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=120), st.integers(0, 5))
+def test_no_exchange_gains_in_the_end(sizes, seed):
+    bins = Bins(np.array(sizes), 60)
+    draw = random.Random(seed)
+    for item, size in enumerate(sizes):
+        if seed and bins.items and bins.fill[-1] + size <= 60 and draw.random() < 0.7:
+            bins.items[-1].append(item)
+            bins.fill[-1] += size
+        else:
+            bins.items.append([item])
+            bins.fill.append(size)
+    bins.search()
+    assert gains(bins) == [] and sorted(i for x in bins.items for i in x) == list(range(len(sizes)))
+    assert all(f == sum(sizes[i] for i in x) <= 60 for f, x in zip(bins.fill, bins.items))
+
+
+def test_containers_of_different_groups_exchange(spark):
+    lengths = [50] * 200 + [30] * 5 + [34] * 5
+    rows = [(k, " the" * n, None, None) for k, n in enumerate(lengths)]
+    got = pack_texts(spark.createDataFrame(rows, SCHEMA), 64, group_items=10).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in got) == list(enumerate(lengths))
+    bins = Bins(np.array(lengths), 64)
+    where = {c: k for k, c in enumerate(sorted({r["container_id"] for r in got}))}
+    bins.items = [[] for _ in where]
+    for r in got:
+        bins.items[where[r["container_id"]]].append(r["doc_id"])
+    bins.fill = [int(bins.sizes[x].sum()) for x in bins.items]
+    assert max(bins.fill) == 64 and gains(bins) == [] and len(where) == 205
