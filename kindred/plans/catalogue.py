@@ -768,12 +768,12 @@ def running_avg(spark, folder):
 
 @query
 def lexical_classifier_features(spark, folder):
-    return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id").withColumn("weight", rounded("weight"))
+    return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id", digits=6)
 
 
 @query
 def lexical_bm25_features(spark, folder):
-    return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id", method="bm25").withColumn("weight", rounded("weight"))
+    return classify.lexical_features(table(spark, folder, "pairs").where("labels IN (0, 1)"), "pair_id", method="bm25", digits=6)
 
 
 @query
