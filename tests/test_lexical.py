@@ -24,3 +24,18 @@ def test_lexical_features_of_chunks(spark, monkeypatch):
     found = got.collect()
     assert len(found) == len(wanted) and {(r["pair_id"], r["term"]): r["weight"] for r in found} == pytest.approx(wanted)
     assert classify.lexical_features(pairs_.limit(0), "pair_id").collect() == []
+
+
+def test_lexical_bm25_features_of_chunks(spark, monkeypatch):
+    monkeypatch.setattr(classify, "CHUNK", 30, raising=False)
+    rows = [(i, "ab c" * (1 + i % 3), "你好" if i % 2 else None) for i in range(9)]
+    got = classify.lexical_features(spark.createDataFrame(rows, "pair_id bigint, text_a string, text_b string"), "pair_id", high=3, method="bm25", digits=6)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    texts = {i: (a + (b or "")).replace(" ", "") for i, a, b in rows}
+    tf = {i: Counter(t[k : k + n] for n in (1, 2) for k in range(len(t) - n + 1)) for i, t in texts.items()}
+    total, df = sum(tf.values(), Counter()), Counter(t for own in tf.values() for t in own)
+    size = {i: sum(own.values()) for i, own in tf.items()}
+    mean = sum(size.values()) / len(size)
+    share = {(i, t): n / size[i] for i, own in tf.items() for t, n in own.items() if total[t] > 2}
+    wanted = {(i, t): round(math.log((len(tf) + 0.5) / (df[t] + 0.5)) * 3 * s / (2 * (0.25 + 0.75 * size[i] / mean) + s), 6) for (i, t), s in share.items()}
+    assert {(r["pair_id"], r["term"]): r["weight"] for r in got.collect()} == pytest.approx(wanted)
